@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +42,7 @@ def slices(batches, text: int, rows: int = 1024, limit: int = 8 << 20):
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        size = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+        size = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         done, total = 0, np.cumsum(size)
         while done < batch.num_rows:
             before = total[done - 1] if done else 0
