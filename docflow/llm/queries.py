@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docflow.llm import bpe, token_count
+from docflow.llm import bpe, media, sharding, token_count, token_files
 
 
 def tokenizer(name: str) -> str:
@@ -32,9 +33,29 @@ def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), 4096)
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_digests(token_files.write(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
+#: Dimensions that equal texts share, so that copies meet in one shard as far as a shard holds them.
+SHARD_DIMENSIONS = ["size", "lang", "text_crc32"]
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents"), 40, SHARD_DIMENSIONS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_token_count": op3_token_count,
+    "op4_token_files": op4_token_files,
+    "op6_media": op6_media,
+    "op7_sharding": op7_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
