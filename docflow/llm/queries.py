@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import bpe, media, sharding, token_count, token_files
+from docflow.llm import bpe, media, minhash, mixing, sharding, token_count, token_files, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -29,6 +29,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights are the square roots of the sources' bytes; blocks of 64 KiB."""
+    return mixing.report(table(spark, sf_dir, "documents"), exponent=0.5, block_bytes=1 << 16)
+
+
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), 4096)
 
@@ -37,6 +42,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(token_files.write(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents"))
 
@@ -50,12 +59,19 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_mixing": op2_mixing,
     "op3_token_count": op3_token_count,
     "op4_token_files": op4_token_files,
+    "op5_toxicity": op5_toxicity,
     "op6_media": op6_media,
     "op7_sharding": op7_sharding,
+    "op8_minhash": op8_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
