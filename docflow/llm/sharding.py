@@ -77,7 +77,7 @@ def metadata(docs: DataFrame, dimensions: list[str], key: str = "doc_id", text:
         scale = ((1 << COORDINATE_BITS) - 1) / (b - a) if b > a else 0.0
         keys.append((F.floor((F.col(f"__c{k}") - a) * scale).cast("long") * (1 << TIE_BITS) + tie).alias(f"k{k}"))
     names = [f"k{k}" for k in range(len(dimensions))]
-    return rows.select("key", "size", "text_crc32", *keys), names
+    return written(rows.select("key", "size", "text_crc32", *keys), "keys"), names
 
 
 def _split(rows: DataFrame, tree: Node, nodes: list[Node], keys: list[str], whole: list[float]) -> None:
