@@ -283,9 +283,9 @@ def load(path: str) -> SpeculativeBpe:
     return SpeculativeBpe(path)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """Adds the ids of every whole text as array<int>; a column of that name is replaced."""
-    kept = [c for c in docs.columns if c != into]
+def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids", drop: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the ids of every whole text as array<int>; a column of that name is replaced, those of drop are left out."""
+    kept = [c for c in docs.columns if c not in (into, *drop)]
     plain = docs.select(*[docs[c] for c in kept], text_or_empty(text).alias("__text"))
     schema = docs.select(*[docs[c] for c in kept], F.array(F.lit(0)).alias(into)).schema
 
