@@ -209,8 +209,6 @@ class SpeculativeBpe:
 
     def _learn(self, words: list[str]) -> None:
         """Encodes words that the cache lacks: propose for all, verify for all, merge what fails."""
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
         raw = [w.encode() for w in words]
         size = np.array([len(x) for x in raw])
         joined = "Ā".join(x.decode("latin-1") for x in raw)
@@ -255,17 +253,14 @@ class SpeculativeBpe:
                 parts.append([w for k, x in enumerate(self.special_at.split(text)) for w in ([("", x)] if k % 2 else self.split(x))])
             else:
                 parts.append(self.split(text))
-        fresh = set().union(*parts) - self.cache.keys()
-        fresh = {w for w in fresh if isinstance(w, str)}
+        every = {w for w in set().union(*parts) if isinstance(w, str)}
+        fresh = every - self.cache.keys()
+        if len(self.cache) + len(fresh) > CACHE_WORDS:
+            self.cache.clear()
+            fresh = every
         if fresh:
-            before = len(self.cache)
             self._learn(sorted(fresh))
-            if len(self.cache) < before + len(fresh):  # the cache started anew
-                missing = {w for p in parts for w in p if isinstance(w, str)} - self.cache.keys()
-                if missing:
-                    self._learn(sorted(missing))
-        for content, k in self.special.items():
-            self.cache[("", content)] = np.array([k], "<i4").tobytes()
+        self.cache.update((("", content), np.array([k], "<i4").tobytes()) for content, k in self.special.items())
         get = self.cache.__getitem__
         return [np.frombuffer(b"".join(map(get, p)), "<i4") for p in parts]
 
