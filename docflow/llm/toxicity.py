@@ -27,8 +27,9 @@ from docflow.llm.common import slices, text_or_empty, written
 
 #: Bounds of fitting, documented above.
 FIT_ROWS, MAX_FEATURES = 4000, 4096
-#: A feature must be in so many toxic rows of the sample and that much likelier there.
-LEAST_ROWS, LEAST_LOG_ODDS = 3, 2.0
+#: A feature must be that much likelier in toxic rows of the sample, by a log-likelihood ratio of at least this
+#: (20: chance gives one such feature in some hundred thousand).
+LEAST_LOG_ODDS, LEAST_RATIO = 2.0, 20.0
 GRADES = 4
 CUT = 0.5
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -57,21 +58,20 @@ class OrdinalModel:
         return float(sum(1 / (1 + np.exp(min(50.0, t - x))) for t in self.thresholds))
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, width: int, steps: int = 400, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, weight: np.ndarray, width: int, steps: int = 600, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the cumulative logit, by gradient steps with adaptive moments on the whole sample.
 
-    rows, cols, values: the sparse matrix of the sample; thresholds are a start and positive gaps.
+    rows, cols, values: the sparse matrix of the sample, weight: of its rows; thresholds are a start and positive gaps.
     """
     n, k = len(grades), GRADES - 1
     w, t = np.zeros(width), np.array([1.0, *[0.0] * (k - 1)])
-    balance = np.where(grades > 0, n / max(1, 2 * (grades > 0).sum()), n / max(1, 2 * (grades == 0).sum()))
     moment, square = np.zeros(width + k), np.zeros(width + k)
     for step in range(1, steps + 1):
         gap = np.exp(t[1:])
         cut = t[0] + np.concatenate([[0.0], np.cumsum(gap)])
         score = np.bincount(rows, w[cols] * values, n)
         above = 1 / (1 + np.exp(np.clip(cut[None, :] - score[:, None], -50, 50)))
-        error = (above - (grades[:, None] > np.arange(k))) * balance[:, None] / n
+        error = (above - (grades[:, None] > np.arange(k))) * weight[:, None] / weight.sum()
         to_cut = -error.sum(axis=0)
         to_gap = np.cumsum(to_cut[::-1])[::-1]
         gradient = np.concatenate([np.bincount(cols, error.sum(axis=1)[rows] * values, width) + l2 * w, [to_gap[0]], to_gap[1:] * gap])
@@ -104,13 +104,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return OrdinalModel({}, [0.0] * (GRADES - 1))
     flat = used.select("key", "toxic", F.explode(F.arrays_zip("f", "n")).alias("u")).select("key", "toxic", "u.f", "u.n")
     odds = lambda c, n: F.log((F.col(c) + 0.5) / (n - F.col(c) + 0.5))
-    spread = sum((1 / (F.col(c) + 0.5) + 1 / (n - F.col(c) + 0.5) for c, n in (("a", size.a), ("b", size.b))), F.lit(0.0))
+    a, b, n = F.col("a"), F.col("b"), size.a + size.b
+    part = lambda c, share: F.when(c > 0, c * F.log(c / ((a + b) * share))).otherwise(0.0)
     best = (
         flat.groupBy("f").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b"))
-        .where(F.col("a") >= LEAST_ROWS)
-        .withColumn("gain", odds("a", size.a) - odds("b", size.b))
-        .where(F.col("gain") >= LEAST_LOG_ODDS)
-        .orderBy((F.col("gain") / F.sqrt(spread)).desc(), "f").limit(MAX_FEATURES)
+        .where(odds("a", size.a) - odds("b", size.b) >= LEAST_LOG_ODDS)
+        .withColumn("ratio", 2 * (part(a, size.a / n) + part(b, size.b / n)))
+        .where(F.col("ratio") >= LEAST_RATIO)
+        .orderBy(F.col("ratio").desc(), "f").limit(MAX_FEATURES)
         .select("f")
     )
     names = sorted(r.f for r in best.collect())
@@ -128,7 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     use = np.bincount(rows, values, len(keys))
     low, high = np.quantile(use[toxic], [1 / 3, 2 / 3])
     grades = np.where(toxic, 1 + (use > low) + (use > high), 0)
-    w, t = fit_ordinal(rows, cols, values, grades, len(names))
+    every = known.agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b")).first()
+    weight = np.where(toxic, every.a / size.a, every.b / size.b)  # the sample has as many of each kind as it may
+    w, t = fit_ordinal(rows, cols, values, grades, weight, len(names))
     return OrdinalModel({f: float(x) for f, x in zip(names, w, strict=True)}, t.tolist())
 
 
