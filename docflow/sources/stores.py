@@ -20,10 +20,13 @@ def long_form(documents: DataFrame, column: str, value: str, into: str) -> DataF
     return folders.select("folder_name", F.explode("files").alias("file_name", into))
 
 
-def read_store(spark: SparkSession, path: str, value: str = LINES, into: str = "lines") -> DataFrame:
-    """A nested JSON file as a long table; a missing or malformed file is an empty store."""
+def read_store(spark: SparkSession, path: str, value: str = LINES, into: str = "lines", by_line: bool = False) -> DataFrame:
+    """A nested JSON file, or one JSON text a line, as a long table; a missing or malformed file is an empty store.
+
+    A folder that one text names twice has the files of both.
+    """
     try:
-        text = spark.read.text(path, wholetext=True)
+        text = spark.read.text(path, wholetext=not by_line)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -43,11 +46,19 @@ def nested(rows: DataFrame, value: str = "lines") -> DataFrame:
 
 
 def write_store(rows: DataFrame, path: str, value: str = "lines") -> None:
-    """JSON lines {folder: {file: value}}, a folder a line; the write commits whole or not at all."""
+    """JSON lines {folder: {file: value}}, a folder a line; the write commits whole or not at all. Read it by line."""
     text = F.to_json(F.map_from_arrays(F.array("folder_name"), F.array("files")))
     nested(rows, value).select(text.alias("value")).write.mode("overwrite").text(path)
 
 
+def write_document(rows: DataFrame, path: str, value: str = "lines") -> None:
+    """One JSON text for all folders, as tools that load the whole store want it; so it is made by one task."""
+    every = F.map_from_entries(F.sort_array(F.collect_list(F.struct("folder_name", F.to_json("files")))))
+    folders = nested(rows, value).agg(every.alias("m")).select(F.transform(F.map_entries("m"), lambda e: F.concat(F.to_json(F.struct(e["key"].alias("k"))), F.lit(" "), e["value"])).alias("e"))
+    body = F.array_join(F.transform("e", lambda x: F.regexp_replace(x, r'^\{"k":("(?:[^"\\]|\\.)*")\} ', "$1:")), ",")
+    folders.select(F.concat(F.lit("{"), body, F.lit("}")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def last_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of each key the row that comes last in order."""
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])

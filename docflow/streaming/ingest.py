@@ -55,5 +55,5 @@ def ingest(items: DataFrame, folder: str, checkpoint: str, work: Callable[[DataF
 
 def image_stream(spark: SparkSession, root: str) -> DataFrame:
     """Image files below a folder as a stream: (file_id, file_name, content)."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(root)
     return only_images(files.selectExpr("path as file_id", "regexp_extract(path, '([^/]*)/[^/]*$', 1) as folder_name", "regexp_extract(path, '([^/]*)$', 1) as file_name", "content"))
