@@ -2,7 +2,7 @@
 
 Frames are grey, of one size, and coded alone by lossless JPEG (process 14: each sample is predicted from its
 left neighbour, the first of a line from the one above, and the difference is Huffman-coded by its size).
-An AVI file is RIFF with a header list, a list of '00dc' chunks and the index 'idx1'. All frames of a batch
+Clips are also found in files whose frames are baseline JPEG (see jpeg). An AVI file is RIFF with a header list, a list of '00dc' chunks and the index 'idx1'. All frames of a batch
 of files are coded and decoded in step, one array operation for each sample position and not for each frame.
 
 Shots are found by the histogram difference of neighbouring frames: a cut is where it exceeds the mean of the
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docflow.llm.common import slices, text_or_empty
+from docflow.llm.jpeg import luminance
 
 WIDTH = HEIGHT = 24
 FRAME = WIDTH * HEIGHT
@@ -237,6 +238,11 @@ def shots(d: np.ndarray) -> list[int]:
     return [0, *(np.flatnonzero(peak & (d > FACTOR * level + MARGIN)) + 1).tolist()]
 
 
+def timed(cuts: list[int], frames: int, fps: float) -> list[dict]:
+    """Clips between cuts, with their times in seconds."""
+    return [{"clip": k, "first_frame": a, "frames": b - a, "start_s": a / fps, "end_s": b / fps} for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], frames], strict=True))]
+
+
 CLIPS = "array<struct<clip: int, first_frame: int, frames: int, start_s: double, end_s: double>>"
 
 
@@ -254,8 +260,26 @@ class Studio:
             at += len(p) // FRAME
         return files
 
+    def clips(self, files: list[bytes]) -> list[list[dict]]:
+        """Clips of each file; files of other frames than this store's may be baseline JPEG of any one size."""
+        own = [k for k, f in enumerate(files) if self._is_own(f)]
+        found = dict(zip(own, self.read([files[k] for k in own])[1], strict=True)) if own else {}
+        for k, f in enumerate(files):
+            if k not in found:
+                frames, fps, *_ = parse_avi(f)
+                pictures = [luminance(j) for j in frames]
+                if len({p.shape for p in pictures}) > 1:
+                    raise ValueError("frames of several sizes")
+                d = histogram_differences(np.stack(pictures), np.array([len(frames) - 1]))[:-1] if pictures else np.zeros(0)
+                found[k] = timed(shots(d), len(frames), fps) if pictures else []
+        return [found[k] for k in range(len(files))]
+
+    def _is_own(self, file: bytes) -> bool:
+        frames, _, width, height = parse_avi(file)
+        return (width, height) == (WIDTH, HEIGHT) and bool(frames) and all(f.startswith(self.jpeg.head) for f in frames)
+
     def read(self, files: list[bytes]) -> tuple[list[bytes], list[list[dict]]]:
-        """Payload and clips of each file, both from the decoded frames."""
+        """Payload and clips of each file of this store, both from the decoded frames."""
         parsed = [parse_avi(f) for f in files]
         if any((w, h) != (WIDTH, HEIGHT) for _, _, w, h in parsed):
             raise ValueError(f"frames must have {WIDTH} x {HEIGHT} samples")
@@ -266,9 +290,7 @@ class Studio:
         for (frames, fps, *_), e in zip(parsed, end.tolist(), strict=True):
             first = e - len(frames)
             payloads.append(samples[first:e].tobytes())
-            cuts = shots(d[first : e - 1])
-            ends = [*cuts[1:], len(frames)]
-            clips.append([{"clip": k, "first_frame": a, "frames": b - a, "start_s": a / fps, "end_s": b / fps} for k, (a, b) in enumerate(zip(cuts, ends, strict=True))])
+            clips.append(timed(shots(d[first : e - 1]), len(frames), fps))
         return payloads, clips
 
 
@@ -306,7 +328,7 @@ def clips(rows: DataFrame, media: str = "media", key: str = "doc_id") -> DataFra
         studio = Studio()
         kind = pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()), ("frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
         for b in _batches(batches, 1):
-            found = studio.read(b.column(1).to_pylist())[1]
+            found = studio.clips(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], names=names)
 
     return plain.mapInArrow(run, schema).select(F.col(key), F.inline("clips"))

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docflow.llm import chat, media, mixing, toxicity
+from docflow.llm import chat, jpeg, media, mixing, toxicity
 
 # --- chat ---------------------------------------------------------------------------------------------------
 
@@ -228,3 +228,36 @@ def test_media_tables(edge, empty):
     clips = media.clips(media.store(edge, into="film"), "film").collect()
     assert {r.doc_id for r in clips} == set(texts) and all(r.end_s > r.start_s for r in clips)
     assert media.round_trip(empty).count() == 0 and media.clips(media.store(empty)).count() == 0
+
+
+def jvm_jpeg(spark, pixels: np.ndarray) -> bytes:
+    """A baseline JPEG that the JVM's encoder writes; grey or colour."""
+    jvm = spark._jvm
+    kind = 5 if pixels.ndim == 3 else 10
+    image = jvm.java.awt.image.BufferedImage(pixels.shape[1], pixels.shape[0], kind)
+    flat = spark.sparkContext._gateway.new_array(jvm.int, pixels.size)
+    for k, x in enumerate(pixels.ravel().tolist()):
+        flat[k] = x
+    image.getRaster().setPixels(0, 0, pixels.shape[1], pixels.shape[0], flat)
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    return bytes(out.toByteArray())
+
+
+def test_baseline_frames(spark):
+    y, x = np.indices((21, 30))
+    grey = (40 + 5 * x + 3 * y).clip(0, 255).astype(np.uint8)
+    data = jvm_jpeg(spark, grey)
+    assert np.abs(jpeg.luminance(data).astype(int) - grey).mean() < 3
+    at = data.index(b"\xff\xc4")
+    size = int.from_bytes(data[at + 2 : at + 4], "big") + 2
+    assert (jpeg.luminance(data[:at] + data[at + size :]) == jpeg.luminance(data)).all()
+    colour = np.stack([grey, 255 - grey, grey // 2], axis=2)
+    luma = colour @ np.array([0.299, 0.587, 0.114])
+    assert np.abs(jpeg.luminance(jvm_jpeg(spark, colour)) - luma).mean() < 6
+    dark, light = jvm_jpeg(spark, grey // 8), jvm_jpeg(spark, 255 - grey // 8)
+    film = media.avi([dark] * 7 + [light] * 5, 30, 21, 10)
+    assert [(c["first_frame"], c["start_s"], c["end_s"]) for c in media.Studio().clips([film])[0]] == [(0, 0.0, 0.7), (7, 0.7, 1.2)]
+    for bad in (b"", data[:50], data.replace(b"\xff\xc0", b"\xff\xc2")):
+        with pytest.raises(ValueError):
+            jpeg.luminance(bad)
