@@ -6,8 +6,9 @@ place is found without sorting or moving rows: sums of bytes by bin, then by fin
 that holds it, until that bin holds a single row. The driver sees at most BINS sums for each node of a level.
 
 Each dimension is one integer per row: its scaled coordinate, then bits of the text's hash, then bits of the
-key's hash. So rows that are equal in a coordinate still have an order, rows of equal texts stand side by
-side in all orders and part only where a split falls into their group (a group can be larger than a shard).
+key's hash. So rows that are equal in a coordinate still have an order, and rows of equal texts stand side by
+side in all orders. A split goes beside their group if that is at most as large as the largest row, else through
+it (a group can be larger than a shard).
 
 Defined results: null texts have 16 bytes, null metadata the lowest coordinate. Repeated rows are placed one by
 one. An empty table gives no rows. Shards may be empty if there are fewer rows than shards.
@@ -24,6 +25,8 @@ from docflow.llm.common import text_or_empty, written
 
 OVERHEAD = 16
 COORDINATE_BITS, TIE_BITS = 24, 38
+#: Keys of one coordinate and one hash of the text.
+GROUP = 1 << (TIE_BITS // 2)
 BINS = 4096
 #: Rows of a slot bucket, on average; the numbering of a shard is put together from its buckets.
 BUCKET_ROWS = 20_000
@@ -80,7 +83,13 @@ def metadata(docs: DataFrame, dimensions: list[str], key: str = "doc_id", text:
     return written(rows.select("key", "size", "text_crc32", *keys), "keys"), names
 
 
-def _split(rows: DataFrame, tree: Node, nodes: list[Node], keys: list[str], whole: list[float]) -> None:
+def _width(low: int, high: int) -> int:
+    """Width of a bin; whole groups as long as there are several."""
+    width = (high - low) // BINS + 1
+    return -(-width // GROUP) * GROUP if high - low >= GROUP else width
+
+
+def _split(rows: DataFrame, tree: Node, nodes: list[Node], keys: list[str], whole: list[float], largest: int) -> None:
     """Splits all nodes of a level; one job for their extents and one for each refinement of the bins."""
     placed = rows.withColumn("node", tree.number(keys))
     some = placed.where(F.col("node").isin([n.first for n in nodes]))
@@ -98,12 +107,12 @@ def _split(rows: DataFrame, tree: Node, nodes: list[Node], keys: list[str], whol
         extent = [(r["b" + k] - r["a" + k]) / w for k, w in zip(keys, whole, strict=True)]
         n.dimension = extent.index(max(extent))
         k = keys[n.dimension]
-        spans[n.first] = [n, r["a" + k], r["b" + k], r["size"] * (n.shards // 2) / n.shards, 0]
+        spans[n.first] = [n, r["a" + k] // GROUP * GROUP, r["b" + k] // GROUP * GROUP + GROUP - 1, r["size"] * (n.shards // 2) / n.shards, 0]
     while spans:
         at = F.lit(None).cast("long")
         for first, (n, low, high, _, _) in spans.items():
             k = F.col(keys[n.dimension])
-            width = (high - low) // BINS + 1
+            width = _width(low, high)
             at = F.when((F.col("node") == first) & k.between(low, high), F.expr(f"({keys[n.dimension]} - {low}L) div {width}L")).otherwise(at)
         sums = (
             some.where(F.col("node").isin(list(spans)))
@@ -118,13 +127,13 @@ def _split(rows: DataFrame, tree: Node, nodes: list[Node], keys: list[str], whol
             by.setdefault(r.node, []).append((r.bin, r["size"], r.n))
         for first in list(spans):
             n, low, high, target, before = spans[first]
-            width = (high - low) // BINS + 1
+            width = _width(low, high)
             for bin_, size, count in sorted(by[first]):
                 if before + size >= target:
                     break
                 before += size
             start, end = low + bin_ * width, min(high, low + (bin_ + 1) * width - 1)
-            if count == 1 or start == end:
+            if count == 1 or start == end or (end - start + 1 == GROUP and size <= largest):
                 n.threshold = end if target - before > before + size - target else start - 1
                 del spans[first]
             else:
@@ -134,11 +143,11 @@ def _split(rows: DataFrame, tree: Node, nodes: list[Node], keys: list[str], whol
 def assign(docs: DataFrame, shards: int, dimensions: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, size, text_crc32, shard (0 to shards - 1) and slot (gapless from 0 within the shard)."""
     rows, keys = metadata(docs, dimensions, key, text)
-    total = rows.agg(F.count("*").alias("n"), *[(F.max(k) - F.min(k)).cast("double").alias(k) for k in keys]).first()
+    total = rows.agg(F.count("*").alias("n"), F.max("size").alias("largest"), *[(F.max(k) - F.min(k)).cast("double").alias(k) for k in keys]).first()
     tree = Node(0, shards)
     level = [tree] if shards > 1 and total.n else []
     while level:
-        _split(rows, tree, level, keys, [max(1.0, total[k]) for k in keys])
+        _split(rows, tree, level, keys, [max(1.0, total[k]) for k in keys], total.largest)
         level = [c for n in level for c in (n.low, n.high) if c.shards > 1]
     buckets = max(8, -(-total.n // (shards * BUCKET_ROWS)))
     placed = rows.select("key", "size", "text_crc32", tree.number(keys).alias("shard"), F.pmod(F.xxhash64("key", "text_crc32"), F.lit(buckets)).alias("bucket"))
