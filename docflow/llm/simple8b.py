@@ -17,13 +17,14 @@ WIDTH = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 MOST = int(COUNT.max())
 
 
+#: The narrowest width for a number of bits; 64, which no selector has, for more than 60.
+FIT = np.array([0, *(int(WIDTH[1:][WIDTH[1:] >= b].min()) if b <= 60 else 64 for b in range(1, 66))], np.uint8)
+
+
 def bit_width(x: np.ndarray) -> np.ndarray:
-    """Bits that each value needs; 64 for those of more than 60 bits."""
-    width = (x > 0).astype(np.uint8)
-    for low, high in zip(WIDTH[1:-1].tolist(), WIDTH[2:].tolist(), strict=True):
-        width[x >= np.uint64(1 << low)] = high
-    width[x >= np.uint64(1 << 60)] = 64
-    return width
+    """The narrowest width that holds each value. Values of more than 53 bits may get the next one, as they pass
+    through floating point, which rounds up at most."""
+    return FIT[np.frexp(x.astype(np.float64))[1]]
 
 
 def _selectors(width: np.ndarray) -> np.ndarray:
@@ -40,8 +41,10 @@ def _selectors(width: np.ndarray) -> np.ndarray:
         return most[n]
 
     best = np.zeros(width.shape, np.uint8)
+    dense = (window(8)[:, : BLOCK - 8] <= WIDTH[7]).any()  # else none of more than 8 values fits, but for a block's end
     for s in range(len(COUNT) - 1, 0, -1):
-        best[window(int(COUNT[s])) <= WIDTH[s]] = s
+        if dense or COUNT[s] <= 8:
+            np.copyto(best, s, where=window(int(COUNT[s])) <= WIDTH[s])
     return best
 
 
@@ -92,7 +95,7 @@ def decode(words: np.ndarray, words_of: np.ndarray, n: int) -> np.ndarray:
     if not blocks:
         return np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(blocks), words_of)
-    sel = (words & np.uint64(15)).astype(np.int64)
+    sel = np.minimum((words & np.uint64(15)).astype(np.int64), len(COUNT) - 1)  # whole words of escaped values have any bits
     count = COUNT[sel]
     first = np.concatenate([[0], np.cumsum(words_of)])[:-1]
     before = np.cumsum(count) - count

@@ -112,6 +112,12 @@ def test_simple8b_any_numbers(values):
     assert of.sum() == len(words) and (simple8b.decode(words, of, len(x)) == x).all()
 
 
+def test_simple8b_escapes():
+    x = np.array([2**64 - 1, 2**60 - 1, 2**60, 2**60 + 15, 3] * 700, np.uint64)
+    words, of = simple8b.encode(x)
+    assert (simple8b.decode(words, of, len(x)) == x).all()
+
+
 def test_simple8b_packs():
     words, _ = simple8b.encode(np.ones(60 * 100, np.uint64))
     assert len(words) < 120
