@@ -145,7 +145,7 @@ def least_estimate(threshold: float) -> float:
 
 
 def links(keys: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join the similar among classes: a forest whose trees are the components.
+    """Links of classes to the least of those that verified links join them to: a star for each component.
 
     side: 0 for classes that are compared with all, else of two blocks only pairs across them are.
     """
@@ -153,7 +153,7 @@ def links(keys: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: i
     order = np.argsort(keys, kind="stable")
     size = np.array([len(x) for x in sets])
     words = np.ascontiguousarray(packed(minima(sets))).view(np.uint64)
-    floor, found, component = least_estimate(percent / 100), [], np.arange(n)
+    floor, component = least_estimate(percent / 100), np.arange(n)
     held: dict[int, set] = {}
 
     def of(i: int) -> set:
@@ -178,10 +178,11 @@ def links(keys: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: i
                 j, near = near[0], near[1:]
                 both = len(of(int(i)) & of(int(j)))
                 if 100 * both >= percent * (size[i] + size[j] - both):
-                    found.append((int(keys[i]), int(keys[j])))
                     component[component == component[j]] = component[i]
                     near = near[component[near] != component[i]]
-    return found
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, component, keys)
+    return [(int(k), int(m)) for k, m in zip(keys, least[component], strict=True) if k != m]
 
 
 SIGNED = "key bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>"
