@@ -18,6 +18,7 @@ import re
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from docflow.llm.common import shared_dir, slices, text_or_empty, written
 
 MAGIC = b"DFTOKS8B"
 #: Words that a worker's cache holds at most before it starts anew; results don't depend on it.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_000_000
 #: Ids that a writer or reader holds at a time, beyond those of one document.
 CHUNK_IDS = 1 << 19
 #: Separator for encoding many words in one call, and the strings that would be mistaken for it or for
@@ -85,11 +86,10 @@ class WordEncoder:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         parts = [self.split(x) for x in texts]
-        every = set().union(*parts)
-        fresh = every - self.cache.keys()
+        fresh = set(filterfalse(self.cache.__contains__, chain.from_iterable(parts)))
         if len(self.cache) + len(fresh) > CACHE_WORDS:
             self.cache.clear()
-            fresh = every
+            fresh = set().union(*parts)
         if fresh:
             self._learn(list(fresh))
         return [b"".join(map(self.cache.__getitem__, p)) for p in parts]
