@@ -1,37 +1,46 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 The rows of a source, in a fixed random order, are cut into blocks of block_bytes. A source of weight w gets
-for its i-th block the release time floor((i - 1) / w) and the deadline ceil(i / w), in slots. Of the released
-blocks the one of earliest deadline takes the next slot. As the weights sum to 1, every block is placed within
-its window, so at any slot each source has its share to less than one block.
+T(i / w) slots for its first i blocks, where T(v) is the number of slots at which every source s has had w(s) * v
+blocks, or all of its own if these are fewer. Its i-th block has the release time floor(T((i - 1) / w)) and the
+deadline ceil(T(i / w)). Of the released blocks the one of earliest deadline takes the next slot. At any slot the
+rates of the sources sum to 1, so every block is placed within its window, and each source has its share of the
+slots to less than one block, from the first slot to the last. Weights are taken exactly as given, as fractions.
 
-Weights are multiples of 1 / RESOLUTION, so a schedule repeats after that many slots: the driver makes one
-period for each phase, and a row finds its slot by the number of its block. A phase ends when a source runs
-out; the others go on with their weights scaled up, so every row is placed once and none is repeated.
+A phase ends at the slot at which a source has run out; the others go on with their weights scaled up, so every
+row is placed once and none is repeated. One rule holds for any number of sources: one task takes the sources by
+falling weight and keeps only those that have begun and have blocks left, and the distinct sizes of sources, of
+which there are at most block_bytes and one for each source of several blocks. Blocks find their slots by a join.
 
 Defined results: a null source is a source of its own. Null and empty texts count 1 byte. A row longer than a
 block is in the block in which it starts, and the blocks that it runs over keep their slots. Repeated rows are
-placed one by one. An empty table gives an empty table. Beyond MAX_SOURCES sources, those without a given
-weight are pooled by hash.
+placed one by one. An empty table gives an empty table. Sources of weight 0 (those not given, if the given
+weights leave nothing) follow when all others have run out, in shares of their bytes.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from fractions import Fraction
+from functools import cmp_to_key
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.llm.common import text_or_empty, written
 
 RESOLUTION = 4096
-MAX_SOURCES = 256
 #: Bytes of input for each of the buckets into which every source is dealt.
 BUCKET_BYTES = 8 << 20
+#: Blocks that the scheduling task hands over at once.
+BATCH = 1 << 16
 
 
 def quantised(weights: dict[str, float], resolution: int = RESOLUTION) -> dict[str, int]:
-    """Shares as whole numbers of at least 1 that sum to the resolution, by largest remainder."""
+    """Shares as whole numbers of at least 1 that sum to the resolution, by largest remainder. Schedules don't use it."""
     total = sum(weights.values())
     exact = {s: w * resolution / total for s, w in weights.items()}
     share = {s: max(1, int(x)) for s, x in exact.items()}
@@ -44,51 +53,154 @@ def quantised(weights: dict[str, float], resolution: int = RESOLUTION) -> dict[s
     return share
 
 
-def period(share: dict[str, int]) -> dict[str, list[int]]:
-    """One period of the schedule: by source, the slots of its blocks."""
-    n = sum(share.values())
-    slots: dict[str, list[int]] = {s: [] for s in share}
-    release = [(0, s) for s in sorted(share)]
-    heapq.heapify(release)
-    ready: list[tuple[int, str]] = []
-    for t in range(n):
-        while release and release[0][0] <= t:
-            s = heapq.heappop(release)[1]
-            heapq.heappush(ready, (-(-(len(slots[s]) + 1) * n // share[s]), s))
-        deadline, s = heapq.heappop(ready)
+class Ends:
+    """T by phases, from the distinct (weight, blocks) of all sources and how many sources have them.
+
+    Phase k lies before the k-th end, at blocks[k] / weights[k]; in it T(v) = done[k] + rate[k] * v.
+    """
+
+    def __init__(self, sizes: dict[tuple[float, int], int]):
+        exact = {w: Fraction(w) for w, _ in sizes}
+        self.scale = max((x.denominator for x in exact.values()), default=1)
+        found = [(n, self.whole(w), c) for (w, n), c in sizes.items()]
+        found.sort(key=cmp_to_key(lambda a, b: a[0] * b[1] - b[0] * a[1]))
+        self.blocks, self.weights, self.done, self.rate = [], [], [], []
+        done, rate = 0, sum(w * c for _, w, c in found)
+        starts = set()
+        for n, w, c in found:
+            if not self.blocks or n * self.weights[-1] != self.blocks[-1] * w:
+                self.blocks.append(n)
+                self.weights.append(w)
+                self.done.append(done)
+                self.rate.append(rate)
+                starts.add(done - (-rate * n // w))
+            done, rate = done + n * c, rate - w * c
+        #: Slots at which the phases after the first begin.
+        self.starts = sorted(starts)
+        self.slots = done
+
+    def whole(self, weight: float) -> int:
+        """The weight in units in which all are whole: denominators of floats are powers of two."""
+        x = Fraction(weight)
+        return x.numerator * (self.scale // x.denominator)
+
+    def phase(self, k: int, i: int, w: int) -> int:
+        """The phase of i / w, sought from phase k."""
+        while self.blocks[k] * w < i * self.weights[k]:
+            k += 1
+        while k and self.blocks[k - 1] * w >= i * self.weights[k - 1]:
+            k -= 1
+        return k
+
+
+def scheduled_blocks(sources: Iterable[tuple[str, float, int]], ends: Ends) -> Iterator[tuple[str, int, int, int]]:
+    """(source, block, slot, phase) in order of slots, from (source, weight, blocks) by falling weight."""
+    ready: list[tuple] = []
+    later: list[tuple] = []
+    k0 = 0
+
+    def window(number, s, i, n, w, k):
+        """Block i from 0 with its deadline first and the release of the next one last."""
+        k = ends.phase(k, i + 1, w)
+        at = ends.done[k] * w + ends.rate[k] * (i + 1)
+        return -(-at // w), number, s, i, n, w, k, at // w
+
+    def firsts():
+        nonlocal k0
+        for number, (s, weight, n) in enumerate(sources):
+            found = window(number, s, 0, n, ends.whole(weight), k0)
+            k0 = found[6]
+            yield found
+
+    new = firsts()
+    first = next(new, None)
+    number = 0
+    for t in range(ends.slots):
+        while later and later[0][0] <= t:
+            heapq.heappush(ready, heapq.heappop(later)[1])
+        if first is not None and (not ready or first[:2] < ready[0][:2]):
+            block, first = first, next(new, None)
+        else:
+            block = heapq.heappop(ready)
+        deadline, of, s, i, n, w, k, after = block
         if t >= deadline:
             raise AssertionError("a block missed its deadline")
+        while number < len(ends.starts) and ends.starts[number] <= t:
+            number += 1
+        yield s, i, t, number
+        if i + 1 < n:
+            heapq.heappush(later, (after, window(of, s, i + 1, n, w, k)))
+
+
+def _scheduled(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int, int, int]]:
+    """The schedule of sources at hand."""
+    sources = [(s, weights[s], n) for s, n in blocks.items() if n > 0]
+    return scheduled_blocks(sorted(sources, key=lambda x: (-x[1], x[0])), Ends(Counter((w, n) for _, w, n in sources)))
+
+
+def period(share: dict[str, int]) -> dict[str, list[int]]:
+    """The schedule of as many blocks as each source's share: by source, the slots of its blocks."""
+    slots: dict[str, list[int]] = {s: [] for s in share}
+    for s, _, t, _ in _scheduled(share, share):
         slots[s].append(t)
-        if len(slots[s]) < share[s]:
-            heapq.heappush(release, (len(slots[s]) * n // share[s], s))
     return slots
 
 
 def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[tuple]:
-    """Rows (phase, source, first block, block after the last, share, first slot, slots of a period)."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done, start, found, number = dict.fromkeys(left, 0), 0, [], 0
-    while left:
-        share = quantised({s: weights[s] for s in left})
-        slots = period(share)
-        place = lambda s, i: i // share[s] * RESOLUTION + slots[s][i % share[s]]
-        length = min(place(s, n - 1) + 1 for s, n in left.items())
-        whole, rest = divmod(length, RESOLUTION)
-        for s in sorted(left):
-            n = whole * share[s] + sum(t < rest for t in slots[s])
-            if n:
-                found.append((number, s, done[s], done[s] + n, share[s], start, slots[s]))
-            done[s] += n
-            left[s] -= n
-        left = {s: n for s, n in left.items() if n > 0}
-        start, number = start + length, number + 1
-    return found
+    """Rows (phase, source, first block, block after the last)."""
+    found: dict[tuple[int, str], tuple[int, int]] = {}
+    for s, i, _, number in _scheduled(blocks, weights):
+        found[number, s] = found.get((number, s), (i, i))[0], i + 1
+    return [(number, s, a, b) for (number, s), (a, b) in found.items()]
 
 
 def _plan_bytes(docs: DataFrame) -> int:
     return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def _plan(total: DataFrame, given: dict[str, float], exponent: float, block_bytes: int) -> DataFrame:
+    """(__class, __block, __slot, __phase) of all blocks, from (__class, bytes) by source."""
+    if any(not 0 <= w < float("inf") for w in given.values()):
+        raise ValueError("weights must be finite and not below 0")
+    spare = max(0.0, 1.0 - sum(given.values()))
+    own = F.col("__class").isin(list(given)) if given else F.lit(False)
+    known = {r["__class"]: r["bytes"] for r in total.where(own).collect()}
+    sizes = {r["bytes"]: r["n"] for r in total.where(~own).groupBy("bytes").agg(F.count("*").alias("n")).collect()}
+    rest = sum(b * n for b, n in sizes.items()) or 1
+    late = bool(given) and spare == 0
+
+    def weight(size: int) -> float:
+        """Of a source without a given weight."""
+        return float(size) if late else spare * size / rest if given else float(size) ** exponent
+
+    count = lambda size: -(-size // block_bytes)
+    named = [[(s, given[s], count(b)) for s, b in known.items() if given[s] > 0], [(s, float(b), count(b)) for s, b in known.items() if given[s] == 0]]
+    others = Counter()
+    for b, n in sizes.items():
+        others[weight(b), count(b)] += n
+    ends = [Ends(Counter((w, n) for _, w, n in x) + (others if k == late else Counter())) for k, x in enumerate(named)]
+    order = lambda x: (-x[1], x[0])
+
+    def run(batches):
+        stream = ((s, weight(b), count(b)) for pdf in batches for s, b in zip(pdf["__class"], pdf["bytes"].tolist(), strict=True))
+        slot = phase = 0
+        for k in range(2):
+            own = sorted(named[k], key=order)
+            batch = []
+            for s, i, t, p in scheduled_blocks(heapq.merge(own, stream, key=order) if k == late else own, ends[k]):
+                batch.append((s, i, slot + t, phase + p))
+                if len(batch) == BATCH:
+                    yield pd.DataFrame(batch, columns=["__class", "__block", "__slot", "__phase"])
+                    batch = []
+            if batch:
+                yield pd.DataFrame(batch, columns=["__class", "__block", "__slot", "__phase"])
+            slot, phase = slot + ends[k].slots, phase + len(ends[k].starts)
+
+    falls = F.col("bytes").asc() if not given and exponent < 0 else F.col("bytes").desc()
+    one = total.where(~own).coalesce(1).sortWithinPartitions(falls, "__class")
+    return written(one.mapInPandas(run, "__class string, __block long, __slot long, __phase int"), "plan")
+
+
 def scheduled(
     docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.5, block_bytes: int = 1 << 16, key: str = "doc_id", source: str = "source", text: str = "text", kept: list[str] | None = None
 ) -> DataFrame:
@@ -109,31 +221,22 @@ def scheduled(
     rows = docs.select(*[docs[c] for c in kept], *made)
     given = {"s" + s: w for s, w in (weights or {}).items()}
     sums = written(rows.groupBy("__class", "__bucket").agg(F.sum("__size").alias("bytes")), "sums")
-    many = sums.select("__class").distinct().limit(MAX_SOURCES + 1).count() > MAX_SOURCES
-    if many:
-        pooled = F.concat(F.lit("pool"), F.pmod(F.xxhash64("__class"), F.lit(MAX_SOURCES // 2)).cast("string"))
-        pooled = F.when(F.col("__class").isin(list(given)), F.col("__class")).otherwise(pooled) if given else pooled
-        rows, sums = rows.withColumn("__class", pooled), sums.withColumn("__class", pooled).groupBy("__class", "__bucket").agg(F.sum("bytes").alias("bytes"))
-    total = {r["__class"]: r["bytes"] for r in sums.groupBy("__class").agg(F.sum("bytes").alias("bytes")).collect()}
-    rest = sum(total[s] for s in total.keys() - given.keys()) or 1
-    spare = max(0.0, 1.0 - sum(given.values()))
-    weight = {s: (given[s] if s in given else (spare or 1e-6) * n / rest) if given else float(n) ** exponent for s, n in total.items()}
-    plan = phases({s: -(-n // block_bytes) for s, n in total.items()}, weight)
+    total = written(sums.groupBy("__class").agg(F.sum("bytes").alias("bytes")), "totals")
+    plan = _plan(total, given, exponent, block_bytes)
 
     before = Window.partitionBy("__class").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    start = sums.select("__class", "__bucket", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("__start"))
+    start = sums.select("__class", "__bucket", "bytes", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("__start"))
+    first, last = F.floor(F.col("__start") / block_bytes), F.floor((F.col("__start") + F.col("bytes") - 1) / block_bytes)
+    held = start.select("__class", "__bucket", "__start", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("__block"))
+    found = F.array_sort(F.collect_list(F.struct("__block", "__slot", "__phase")))
+    start = held.join(plan, ["__class", "__block"]).groupBy("__class", "__bucket", "__start").agg(found.alias("__slots"))
     inside = Window.partitionBy("__class", "__bucket").orderBy("__order", key).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__before", F.coalesce(F.sum("__size").over(inside), F.lit(0))).join(start, ["__class", "__bucket"])
+    rows = rows.withColumn("__before", F.coalesce(F.sum("__size").over(inside), F.lit(0))).join(written(start, "starts"), ["__class", "__bucket"])
     at = F.col("__start") + F.col("__before")
     rows = rows.withColumn("__block", F.floor(at / block_bytes).cast("long")).withColumn("__offset", at - F.col("__block") * block_bytes)
-
-    spark = docs.sparkSession
-    # At most MAX_SOURCES phases of MAX_SOURCES sources; the slots of a period sum to RESOLUTION for each phase.
-    table = spark.createDataFrame(plan, "__phase int, __class string, __first long, __end long, __share long, __slot0 long, __slots array<int>")
-    index = F.col("__block") - F.col("__first")
-    slot = F.col("__slot0") + F.floor(index / F.col("__share")).cast("long") * RESOLUTION + F.element_at("__slots", (index % F.col("__share")).cast("int") + 1)
-    joined = rows.join(F.broadcast(table), "__class").where("__block >= __first and __block < __end").withColumn("__slot", slot.cast("long"))
-    return joined.select(*kept, "__class", "__phase", "__block", "__slot", "__offset", "__order")
+    place = F.element_at("__slots", (F.col("__block") - F.col("__slots")[0]["__block"]).cast("int") + 1)
+    rows = rows.withColumn("__slot", place["__slot"]).withColumn("__phase", place["__phase"])
+    return rows.select(*kept, "__class", "__phase", "__block", "__slot", "__offset", "__order")
 
 
 def report(docs: DataFrame, key: str = "doc_id", source: str = "source", **more) -> DataFrame:

@@ -125,6 +125,39 @@ def test_mixing_many_sources(spark):
     assert mixing.report(docs, block_bytes=4).select("slot").distinct().count() == 600
 
 
+def plain_shares(blocks: dict, weights: dict, slots: int) -> dict:
+    """Blocks that each source would have by then if slots could be shared out at will."""
+    from fractions import Fraction
+
+    left, got, t = {s: Fraction(n) for s, n in blocks.items() if n}, dict.fromkeys(blocks, Fraction(0)), Fraction(slots)
+    while left and t > 0:
+        rate = {s: Fraction(weights[s]) / sum(Fraction(weights[k]) for k in left) for s in left}
+        step = min(t, *(left[s] / rate[s] for s in left))
+        for s in rate:
+            got[s] += rate[s] * step
+            left[s] -= rate[s] * step
+        left, t = {s: n for s, n in left.items() if n > 0}, t - step
+    return got
+
+
+def test_mixing_gives_each_of_many_sources_its_share(spark):
+    """300 sources, one of which has a third of the bytes: each follows its own bytes to the power of 0.5."""
+    block = 64
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit("x" * 16).alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 299).cast("string")).alias("source"))
+    rows = mixing.report(docs, block_bytes=block).collect()
+    assert len({r.doc_id for r in rows}) == len(rows) == 9000
+    count, slots = {}, {}
+    for r in rows:
+        count[r.source] = count.get(r.source, 0) + 1
+        slots.setdefault(r.source, {})[r.block] = r.slot
+    blocks = {s: -(-n * 16 // block) for s, n in count.items()}
+    assert len(count) == 300 and {s: len(x) for s, x in slots.items()} == blocks
+    assert sorted(t for x in slots.values() for t in x.values()) == list(range(sum(blocks.values())))
+    for t in (1, 100, 700, 1500, 2100, sum(blocks.values()) - 1):
+        share = plain_shares(blocks, {s: float(n * 16) ** 0.5 for s, n in count.items()}, t)
+        assert all(abs(sum(x < t for x in slots[s].values()) - share[s]) < 1 for s in slots)
+
+
 # --- toxicity -----------------------------------------------------------------------------------------------
 
 
