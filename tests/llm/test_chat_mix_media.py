@@ -158,6 +158,44 @@ def test_mixing_gives_each_of_many_sources_its_share(spark):
         assert all(abs(sum(x < t for x in slots[s].values()) - share[s]) < 1 for s in slots)
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.dictionaries(st.text("abcdef", min_size=1, max_size=3), st.tuples(st.floats(1e-5, 100), st.integers(1, 400)), min_size=1, max_size=8))
+def test_schedule_stays_within_a_block_of_given_weights(sources):
+    weights, blocks = {s: w for s, (w, _) in sources.items()}, {s: n for s, (_, n) in sources.items()}
+    seen = dict.fromkeys(sources, 0)
+    for k, (s, i, t, _) in enumerate(mixing._scheduled(blocks, weights)):
+        assert (i, t) == (seen[s], k)
+        seen[s] += 1
+        if k % 37 == 0:
+            share = plain_shares(blocks, weights, t + 1)
+            assert all(abs(seen[x] - share[x]) < 1 for x in seen)
+    assert seen == blocks
+
+
+def test_schedule_keeps_small_weights_over_many_slots():
+    weights = {"a": 1 / 3 + 1e-4, "b": 2 / 3 - 1e-4 - 1e-5, "rare": 1e-5}
+    total = sum(weights.values())
+    seen, n = dict.fromkeys(weights, 0), 210_000
+    for s, _, t, number in mixing._scheduled({"a": n, "b": n, "rare": n}, weights):
+        if t == n:
+            break
+        seen[s] += 1
+        assert number == 0
+        if t % 100 == 99:
+            assert all(abs(seen[x] - weights[x] / total * (t + 1)) < 1 + 1e-6 for x in seen)
+    assert seen["rare"] in (2, 3)
+
+
+def test_sources_of_no_weight_come_last(spark):
+    docs = spark.createDataFrame([(k, "x" * 100, "abcn"[k % 4]) for k in range(400)], "doc_id long, text string, source string")
+    rows = mixing.report(docs, weights={"a": 0.75, "b": 0.25, "n": 0.0}, block_bytes=1000).collect()
+    slots = {s: {r.slot for r in rows if r.source == s} for s in "abcn"}
+    assert max(slots["a"] | slots["b"]) == 19 and slots["c"] | slots["n"] == set(range(20, 40)) and len(rows) == 400
+    assert {r.phase for r in rows if r.source in "cn"} == {2}
+    with pytest.raises(ValueError):
+        mixing.report(docs, weights={"a": -1.0})
+
+
 # --- toxicity -----------------------------------------------------------------------------------------------
 
 
