@@ -1,7 +1,9 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text's tokens are its runs of characters other than white space, in pieces of at most PIECE characters. The
-hash of K tokens is a polynomial of theirs modulo a prime; it is rolled by doubling: hashes of two tokens from
+A text's tokens are its runs of characters other than white space; a run of more than PIECE characters gives the
+PIECE characters from each of its places on. So a passage within runs has the same tokens wherever it starts, also
+in text without white space. (On request, runs are cut at every PIECE characters instead, which loses passages at
+other offsets.) The hash of K tokens is a polynomial of theirs modulo a prime; it is rolled by doubling: hashes of two tokens from
 those of one, of four from two, of five from four and one, for all places at once. Minima of WINDOW hashes are
 made likewise from those of 2, 4 and 8. A value holds the hash above and the complement of its place below, so
 the least of a window is the least hash and, among equals, the rightmost. The distinct minima with their
@@ -21,6 +23,9 @@ from pyspark.sql import functions as F
 from docflow.llm.common import text_or_empty
 
 K, WINDOW, PIECE = 5, 16, 8
+#: Tokens cut from the start of a run, and (group 1) those of every place of a long run and short runs as a whole.
+CUT = rf"\S{{1,{PIECE}}}"
+ROLLED = rf"(?=(\S{{{PIECE}}}|(?<!\S)\S{{1,{PIECE - 1}}}(?!\S)))\S"
 #: A prime below 2^31 and a base below it.
 PRIME, BASE = 2147483647, 1000003
 #: Quantiles of the key between which buckets are even, rows of a bucket, and buckets at most.
@@ -40,13 +45,17 @@ def _rolled(width: int):
     return lambda x, y: (x * F.lit(factor).cast("long") + y) % F.lit(PRIME).cast("long")
 
 
-def with_fingerprint(rows: DataFrame, text: str, into: str) -> DataFrame:
-    """Adds the fingerprint as array<bigint>, hash * 2^31 + 2^31 - 1 - place, in order of place."""
+def with_fingerprint(rows: DataFrame, text: str, into: str, rolled: bool = False) -> DataFrame:
+    """Adds the fingerprint as array<bigint>, hash * 2^31 + 2^31 - 1 - place, in order of place.
+
+    rolled: long runs give a token for each place, not for each PIECE characters.
+    """
     t, h, g, v = (f"__{into}_{c}" for c in "thgv")
     none = F.array().cast("array<bigint>")
     whole = F.aggregate(h, F.lit(0).cast("long"), _rolled(1))
     packed = lambda x, i: x * F.lit(1 << 31) + (F.lit(PRIME).cast("long") - i)
-    rows = rows.withColumn(t, F.regexp_extract_all(text, F.lit(rf"\S{{1,{PIECE}}}"), F.lit(0)))
+    tokens = (ROLLED, 1) if rolled else (CUT, 0)
+    rows = rows.withColumn(t, F.regexp_extract_all(text, F.lit(tokens[0]), F.lit(tokens[1])))
     rows = rows.withColumn(h, F.transform(t, lambda x: F.xxhash64(x).bitwiseAND(F.lit(PRIME).cast("long")) % F.lit(PRIME).cast("long"))).drop(t)
     rows = rows.withColumn(g, _pairs(h, 1, _rolled(1)))
     rows = rows.withColumn(g, _pairs(g, 2, _rolled(2)))
@@ -81,10 +90,10 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(every == 0, F.lit(1.0)).otherwise(common / every)
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", rolled: bool = False) -> DataFrame:
     """Per row: the key and its fingerprint as an array of (hash, place)."""
     rows = docs.select(F.col(key).alias("__key"), text_or_empty(text).alias("__text"))
-    return with_fingerprint(rows, "__text", "__print").select(F.col("__key").alias(key), places(F.col("__print")).alias("fingerprint"))
+    return with_fingerprint(rows, "__text", "__print", rolled).select(F.col("__key").alias(key), places(F.col("__print")).alias("fingerprint"))
 
 
 def _buckets(docs: DataFrame) -> tuple[Column, int]:
@@ -108,7 +117,7 @@ def _buckets(docs: DataFrame) -> tuple[Column, int]:
     return p * each + F.greatest(F.lit(0), F.least(F.lit(each - 1), inside)).cast("int"), parts * each
 
 
-def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def compared(docs: DataFrame, key: str = "doc_id", text: str = "text", rolled: bool = False) -> DataFrame:
     """Per row: fingerprints of its text and of its edited text, and how alike its own is to that and to the next row's.
 
     The edited text has its last floor(n / 2) characters replaced by as many first ones of the next text in
@@ -132,7 +141,7 @@ def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     rows = rows.withColumn("n_chars", F.char_length("text"))
     rows = rows.withColumn("cut", F.floor(F.col("n_chars") / 2).cast("int"))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - F.col("cut")), F.substring("next", F.lit(1), F.col("cut")))).drop("next", "cut")
-    rows = with_fingerprint(with_fingerprint(rows, "text", "own"), "edited", "other")
+    rows = with_fingerprint(with_fingerprint(rows, "text", "own", rolled), "edited", "other", rolled)
     rows = rows.select("key", "b", "x", "text", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "other")
     rows = rows.withColumn("a", hashes(F.col("own")))
     after = F.when(known, F.lead("a").over(order))

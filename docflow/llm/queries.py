@@ -75,7 +75,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.compared(table(spark, sf_dir, "documents"))
+    return fingerprint.compared(table(spark, sf_dir, "documents"), rolled=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

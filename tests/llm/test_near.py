@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from docflow.llm import components, fingerprint, minhash, sharding
+from docflow.llm.queries import QUERIES
 
 
 def brute(rows: list[tuple], words: int, percent: int) -> dict:
@@ -141,6 +142,40 @@ def test_fingerprint_guarantee():
     assert {h for h, _ in winnowed(a)} & {h for h, _ in winnowed(b)}
 
 
+def test_fingerprint_guarantee_without_spaces(spark):
+    """A passage within long runs is found at every offset, of Chinese, base64 and code points beyond 16 bits."""
+    r = random.Random(3)
+    signs = [[chr(0x4E00 + k) for k in range(3000)], list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), [chr(0x20000 + k) for k in range(500)]]
+    n = fingerprint.WINDOW + fingerprint.K + fingerprint.PIECE - 2
+    rows = []
+    for a, letters in enumerate(signs):
+        some = lambda size: "".join(r.choice(letters) for _ in range(size))  # noqa: E731, B023
+        shared = some(n)
+        rows += [(100 * a + k, some(50 + k) + shared + some(70)) for k in range(2 * fingerprint.PIECE)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: {m.hash for m in x.fingerprint} for x in fingerprint.fingerprints(docs, rolled=True).collect()}
+    for k in got:
+        assert got[k] & got[k // 100 * 100]
+    assert not got[0] & got[100]
+
+
+def test_query_rolls_over_long_runs(spark, tmp_path):
+    r = random.Random(5)
+    text = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(600))
+    spark.createDataFrame([(k, text[k:]) for k in range(8)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in QUERIES["op10_fingerprint"](spark, str(tmp_path)).collect()}
+    assert len(got) == 8 and all(got[k].near_next > 0.9 for k in range(7))
+
+
+def test_rolled_tokens(spark):
+    plain = "a bb  twelvetwelve 12345678\n1234567 \U0001f600\U0001f601 end"
+    table = spark.createDataFrame([(plain,)], "text string")
+    tokens = table.select(F.regexp_extract_all("text", F.lit(fingerprint.ROLLED), F.lit(1)).alias("t")).first().t
+    assert tokens == ["a", "bb", "twelvetw", "welvetwe", "elvetwel", "lvetwelv", "vetwelve", "12345678", "1234567", "\U0001f600\U0001f601", "end"]
+    short = spark.createDataFrame([(1, "one two three four five six " * 9), (2, "x"), (3, ""), (4, None)], "doc_id long, text string")
+    assert fingerprint.fingerprints(short, rolled=True).collect() == fingerprint.fingerprints(short).collect()
+
+
 def test_compared(documents, texts, edge, empty):
     got = {r.doc_id: r for r in fingerprint.compared(documents).collect()}
     keys = sorted(texts)
