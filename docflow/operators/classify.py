@@ -85,14 +85,21 @@ def cascade(pages: DataFrame, tabular, page_scores, tile_scores, settings: Setti
     """Decisions by stages, each on the pages that those before left open, as each is dearer than the last.
 
     tabular, page_scores and tile_scores take and give DataFrames with the keys: of (keys, tabular), (keys,
-    p_printed, p_handwritten) and (keys, tile_row, tile_col, ink, p_printed, p_handwritten).
+    p_printed, p_handwritten) and (keys, tile_row, tile_col, ink, p_printed, p_handwritten). tile_scores may add
+    error: a row where it isn't null makes its page's decision one of failed().
     """
     lines = pages.join(tabular(pages), KEYS, "left").withColumn("tabular", F.coalesce("tabular", F.lit(False)))
     scores = page_scores(lines.where(~F.col("tabular")).select(*pages.columns))
     scored = lines.join(scores, KEYS, "left")
     open_ = scored.where(~F.col("tabular") & page_shortcut(F.col("p_printed"), F.col("p_handwritten"), settings).isNull())
-    votes = tile_votes(tile_scores(open_.select(*pages.columns)), KEYS, settings)
-    return decided(scored.join(votes, KEYS, "left"), settings).select(*pages.columns, "decision")
+    tiles = tile_scores(open_.select(*pages.columns))
+    if "error" not in tiles.columns:
+        return decided(scored.join(tile_votes(tiles, KEYS, settings), KEYS, "left"), settings).select(*pages.columns, "decision")
+    votes = tile_votes(tiles.where("error is null"), KEYS, settings)
+    errors = tiles.where("error is not null").groupBy(*KEYS).agg(F.min("error").alias("__error"))
+    found = decided(scored.join(votes, KEYS, "left"), settings).join(errors, KEYS, "left")
+    decision = F.when(F.col("__error").isNotNull(), failed(F.col("__error"), settings)).otherwise(F.col("decision"))
+    return found.select(*pages.columns, decision.alias("decision"))
 
 
 def cache_split(items: DataFrame, cache: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:

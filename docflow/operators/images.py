@@ -1,21 +1,24 @@
 """Image kernels on NumPy, and the columns made of them.
 
-Images are arrays height x width x 3 of bytes in BGR order. Spark's image source decodes files on the JVM;
-decode() here also reads PNG alone, so that bytes can be read inside a Python stage.
+Images are arrays height x width x 3 of bytes in BGR order. decode_png reads PNG of all kinds inside a Python
+stage; with_png has Spark's image source decode all other files on the JVM.
 """
 
 from __future__ import annotations
 
 import base64
 import struct
+import uuid
 import zlib
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.config import DEFAULTS
+from docflow.sources.work import work_dir, written
 
 MIME = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png"}
 
@@ -40,47 +43,77 @@ def from_spark(height: int, width: int, channels: int, data: bytes) -> np.ndarra
     return three_channels(np.frombuffer(data, np.uint8).reshape(height, width, channels))
 
 
+SIGNATURE = b"\x89PNG\r\n\x1a\n"
+#: Colour types of PNG: bit depths and samples of a pixel.
+KINDS = {0: ((1, 2, 4, 8, 16), 1), 2: ((8, 16), 3), 3: ((1, 2, 4, 8), 1), 4: ((8, 16), 2), 6: ((8, 16), 4)}
+#: Passes of an interlaced PNG: first line and column, steps of lines and columns.
+PASSES = [(0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1)]
+
+
+def given(data: bytes | None) -> bytes:
+    """The bytes of a column; null is an error."""
+    if data is None:
+        raise ImageError("the image can't be decoded")
+    return bytes(data)
+
+
 def decode_png(data: bytes) -> np.ndarray:
-    """A PNG of 8 bits a sample, not interlaced, in BGR."""
-    if data[:8] != b"\x89PNG\r\n\x1a\n":
+    """A PNG in BGR; of samples of 16 bits the upper 8."""
+    if data[:8] != SIGNATURE:
         raise ImageError("not a PNG file")
     at, head, palette, parts = 8, None, None, []
-    while at + 8 <= len(data):
-        size, kind = struct.unpack(">I4s", data[at : at + 8])
-        body = data[at + 8 : at + 8 + size]
-        if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", body)
-        elif kind == b"PLTE":
-            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
-        elif kind == b"IDAT":
-            parts.append(body)
-        at += 12 + size
-    if head is None or head[2] != 8 or head[6] != 0 or head[3] not in (0, 2, 3, 4, 6):
-        raise ImageError("a PNG of another kind than 8 bits without interlace")
-    width, height, _, kind, *_ = head
-    n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
     try:
-        raw = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(height, 1 + width * n)
-    except (zlib.error, ValueError) as e:
-        raise ImageError(f"damaged PNG data: {e}") from e
-    pixels = np.zeros((height, width * n), np.uint8)
-    above = np.zeros(width * n, np.uint8)
+        while at + 8 <= len(data):
+            size, kind = struct.unpack(">I4s", data[at : at + 8])
+            body = data[at + 8 : at + 8 + size]
+            if kind == b"IHDR":
+                head = struct.unpack(">IIBBBBB", body)
+            elif kind == b"PLTE":
+                palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+            elif kind == b"IDAT":
+                parts.append(body)
+            at += 12 + size
+        if head is None or head[2] not in KINDS.get(head[3], ((), 0))[0] or head[6] not in (0, 1) or not head[0] or not head[1]:
+            raise ImageError("a PNG without a valid header")
+        width, height, depth, kind, *_, laced = head
+        n, raw = KINDS[kind][1], np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8)
+        image = np.zeros((height, width, n), np.uint8)
+        for y, x, down, right in PASSES if laced else [(0, 0, 1, 1)]:
+            part = image[y::down, x::right]
+            if part.size:
+                samples, raw = _samples(raw, *part.shape, depth)
+                part[:] = samples * (255 // (2**depth - 1)) if depth < 8 and kind == 0 else samples
+        if kind == 3:
+            image = palette[image[:, :, 0]]
+    except (zlib.error, struct.error, ValueError, IndexError, TypeError) as e:
+        raise e if isinstance(e, ImageError) else ImageError(f"damaged PNG data: {e}") from e
+    image = three_channels(image)
+    return image[:, :, ::-1] if kind in (2, 3, 6) else image
+
+
+def _samples(raw: np.ndarray, height: int, width: int, n: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Samples height x width x n of filtered lines, and the data after them."""
+    size, step = -(-width * n * depth // 8), max(1, n * depth // 8)
+    lines = raw[: height * (1 + size)].reshape(height, 1 + size)
+    pixels = np.zeros((height, size), np.uint8)
+    above = np.zeros(size, np.uint8)
     for y in range(height):
-        line, filter_ = raw[y, 1:], raw[y, 0]
+        line, filter_ = lines[y, 1:], lines[y, 0]
         if filter_ == 0:
             above = line
         elif filter_ == 1:
-            above = (np.cumsum(line.reshape(width, n).astype(np.int64), axis=0) & 255).astype(np.uint8).ravel()
+            above = (np.cumsum(line.reshape(-1, step).astype(np.int64), axis=0) & 255).astype(np.uint8).ravel()
         elif filter_ == 2:
             above = line + above
         else:
-            above = _slow_filter(line, above, n, int(filter_))
+            above = _slow_filter(line, above, step, int(filter_))
         pixels[y] = above
-    image = pixels.reshape(height, width, n)
-    if kind == 3:
-        image = palette[image[:, :, 0]]
-    image = three_channels(image)
-    return image[:, :, ::-1] if kind in (2, 3, 6) else image
+    if depth == 16:
+        pixels = pixels[:, ::2]
+    elif depth < 8:
+        bits = np.unpackbits(pixels, axis=1).reshape(height, -1, depth)
+        pixels = (bits @ (1 << np.arange(depth)[::-1])).astype(np.uint8)[:, : width * n]
+    return pixels.reshape(height, width, n), raw[height * (1 + size) :]
 
 
 def _slow_filter(line: np.ndarray, above: np.ndarray, n: int, kind: int) -> np.ndarray:
@@ -216,6 +249,43 @@ def ink_column(data: Column, width: Column, height: Column) -> Column:
     return run(data, width, height)
 
 
+def with_png(pages: DataFrame, content: str = "content", cap: int = DEFAULTS.classifier_max_side) -> DataFrame:
+    """Adds png: a PNG's own bytes; of any other file a PNG, shrunk to the cap, of what Spark's image source reads.
+
+    It is null where that can't read the file. The source reads files only, so tasks write the bytes of these pages
+    to the work folder, each attempt to files of its own; only those of the job that succeeded are joined.
+    """
+    spark = pages.sparkSession
+    folder = work_dir(spark)
+    system, path = fs.FileSystem.from_uri(folder)
+    system.create_dir(path, recursive=True)
+    plain = F.coalesce(F.substring(content, 1, 8) == F.lit(SIGNATURE), F.lit(False))
+
+    def store(batches):
+        system, path = fs.FileSystem.from_uri(folder)
+        for pdf in batches:
+            out = pdf[["__digest"]].copy()
+            out["__file"] = [uuid.uuid4().hex for _ in range(len(pdf))]
+            for name, data in zip(out["__file"], pdf[content], strict=True):
+                with system.open_output_stream(f"{path}/{name}") as file:
+                    file.write(bytes(data) if data is not None else b"")
+            yield out
+
+    def convert(batches):
+        for pdf in batches:
+            out = pdf[["__file"]].copy()
+            out["__png"] = [encode_png(shrunk(from_spark(h, w, n, bytes(d)), cap)) for h, w, n, d in zip(pdf["height"], pdf["width"], pdf["nChannels"], pdf["data"], strict=True)]
+            yield out
+
+    digest = F.sha2(content, 256)
+    kept = written(pages.where(~plain).select(digest.alias("__digest"), content).mapInPandas(store, "__digest string, __file string")).dropDuplicates(["__digest"])
+    read = spark.read.format("image").option("ignoreCorruptFiles", True).load(folder)
+    found = read.select(F.regexp_extract("image.origin", "([^/]*)$", 1).alias("__file"), "image.height", "image.width", "image.nChannels", "image.data").where("height > 0 and width > 0")
+    made = written(kept.join(found.mapInPandas(convert, "__file string, __png binary"), "__file").drop("__file"))
+    both = pages.withColumn("__digest", digest).join(made, "__digest", "left")
+    return both.select(*pages.columns, F.when(plain, F.col(content)).otherwise(F.col("__png")).alias("png"))
+
+
 def tiles_of(pages: DataFrame, keys: list[str], content: str = "content", grid: tuple[int, int] = DEFAULTS.tile_grid, cap: int = DEFAULTS.classifier_max_side) -> DataFrame:
     """Tiles of each page with their ink and PNG bytes; a page that can't be decoded gives one row with the error."""
     schema = ", ".join(f"`{k}` string" for k in keys) + ", tile_row int, tile_col int, ink double, data binary, error string"
@@ -226,7 +296,7 @@ def tiles_of(pages: DataFrame, keys: list[str], content: str = "content", grid:
             for row in pdf.itertuples(index=False):
                 key = [getattr(row, k) for k in keys]
                 try:
-                    image = shrunk(decode_png(bytes(getattr(row, content) or b"")), cap)
+                    image = shrunk(decode_png(given(getattr(row, content))), cap)
                     rows += [(*key, r, c, ink_density(t), encode_png(t), None) for r, c, t in cut_tiles(image, grid)]
                 except ImageError as e:
                     rows.append((*key, None, None, None, None, str(e)))
@@ -244,7 +314,7 @@ def segments_of(pages: DataFrame, keys: list[str], content: str = "content", cap
             rows = []
             for row in pdf.itertuples(index=False):
                 try:
-                    image = shrunk(decode_png(bytes(getattr(row, content) or b"")), cap)
+                    image = shrunk(decode_png(given(getattr(row, content))), cap)
                 except ImageError:
                     continue
                 rows += [(*[getattr(row, k) for k in keys], *image.shape[:2], *s) for s in ruled_segments(image)]

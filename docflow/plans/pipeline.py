@@ -13,15 +13,22 @@ from docflow.operators import classify, images, layout, models
 from docflow.schemas import KEYS
 from docflow.sources import stores
 from docflow.sources.manifest import manifest, union_keys, without
+from docflow.sources.work import written
 
 
 def classified(items: DataFrame, cache: DataFrame, scorer: Callable = models.stand_in_scorer, settings: Settings = DEFAULTS) -> DataFrame:
     """Items (keys, content, scan_pos) with their decision, cached or new."""
     hits, misses = classify.cache_split(items, cache, settings)
-    open_ = misses.select(*KEYS, "content")
-    tabular = lambda p: classify.ruled_lines(images.segments_of(p, KEYS), KEYS, settings).select(*KEYS, "tabular")
-    page = lambda p: models.scored(p, KEYS, scorer, "content").select(*KEYS, "p_printed", "p_handwritten")
-    tiles = lambda p: models.scored(images.tiles_of(p, KEYS).where("error is null").select(*KEYS, "ink", "data"), KEYS, scorer)
+    open_ = images.with_png(misses.select(*KEYS, "content"))
+    tabular = lambda p: written(classify.ruled_lines(images.segments_of(p, KEYS, "png"), KEYS, settings).select(*KEYS, "tabular"))
+    page = lambda p: written(models.scored(p, KEYS, scorer, "content").select(*KEYS, "p_printed", "p_handwritten"))
+
+    def tiles(pages: DataFrame) -> DataFrame:
+        """Scored tiles, and a row with the error of each page that can't be read."""
+        found = written(images.tiles_of(pages, KEYS, "png"))
+        good = models.scored(found.where("error is null").select(*KEYS, "ink", "data"), KEYS, scorer)
+        return good.unionByName(found.where("error is not null").select(*KEYS, "error"), allowMissingColumns=True)
+
     decided = classify.cascade(open_, tabular, page, tiles, settings).select(*KEYS, "decision")
     return hits.unionByName(misses.join(decided, KEYS))
 

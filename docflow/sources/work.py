@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
@@ -14,3 +14,10 @@ def work_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; where that is unset (tests), a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.setdefault("base", "file://" + tempfile.mkdtemp(prefix="docflow-"))
     return f"{base.rstrip('/')}/docflow-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """Writes rows to a new work folder and reads them again, so that what made them runs once."""
+    path = f"{work_dir(rows.sparkSession)}/rows"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -3,7 +3,9 @@
 import base64
 import json
 import os
+import struct
 import threading
+import zlib
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import numpy as np
@@ -267,6 +269,69 @@ def test_whole_run_is_resumed(spark, folder):
     assert other["printed"] == other["images"] == 5
 
 
+def png(head: tuple, raw: bytes, palette: bytes = b"") -> bytes:
+    chunk = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+    return images.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", *head)) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_png_of_all_kinds():
+    r = np.random.default_rng(7)
+    grey = r.integers(0, 256, (11, 13)).astype(np.uint8)
+    deep = b"".join(b"\0" + np.stack([line, 255 - line], 1).tobytes() for line in grey)
+    assert (images.decode_png(png((13, 11, 16, 0, 0, 0, 0), deep))[..., 1] == grey).all()
+    laced = b"".join(b"\0" + line.tobytes() for y, x, down, right in images.PASSES for line in grey[y::down, x::right])
+    assert (images.decode_png(png((13, 11, 8, 0, 0, 0, 1), laced))[..., 0] == grey).all()
+    for depth in (1, 2, 4):
+        low = (grey >> (8 - depth)).astype(np.uint8)
+        bits = np.unpackbits(low[:, :, None], axis=2)[:, :, 8 - depth :].reshape(11, -1)
+        raw = b"".join(b"\0" + line.tobytes() for line in np.packbits(bits, axis=1))
+        assert (images.decode_png(png((13, 11, depth, 0, 0, 0, 0), raw))[..., 2] == low * (255 // (2**depth - 1))).all()
+        table = r.integers(0, 256, (2**depth, 3)).astype(np.uint8)
+        assert (images.decode_png(png((13, 11, depth, 3, 0, 0, 0), raw, table.tobytes())) == table[low][:, :, ::-1]).all()
+
+
+def jvm_jpeg(spark, grey: np.ndarray) -> bytes:
+    jvm = spark._jvm
+    image = jvm.java.awt.image.BufferedImage(grey.shape[1], grey.shape[0], 10)
+    flat = spark.sparkContext._gateway.new_array(jvm.int, grey.size)
+    for k, x in enumerate(grey.ravel().tolist()):
+        flat[k] = x
+    image.getRaster().setPixels(0, 0, grey.shape[1], grey.shape[0], flat)
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    return bytes(out.toByteArray())
+
+
+def test_open_jpeg_pages_and_pages_that_cannot_be_read(spark, tmp_path):
+    page = np.full((120, 96), 255, np.uint8)
+    for y in range(8, 120, 24):
+        for x in range(8, 96, 24):
+            page[y : y + 8, x : x + 8] = 0
+    ruled = np.full((160, 160), 255, np.uint8)
+    for y in range(8, 160, 16):
+        ruled[y : y + 4, 4:156] = 0
+    ruled[4:156, 78:82] = 0
+    good, table = jvm_jpeg(spark, page), jvm_jpeg(spark, ruled)
+    deep = png((96, 120, 16, 0, 0, 0, 0), b"".join(b"\0" + np.repeat(line, 2).tobytes() for line in page))
+    files = {"a.jpg": good, "b.JPEG": good, "c.png": deep, "ruled.jpg": table, "cut.jpg": good[:40], "bad.jpeg": b"no image", "bad.png": images.SIGNATURE}
+    for name, data in files.items():
+        (tmp_path / "in" / "f").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / "f" / name).write_bytes(data)
+    whole = list(files.values())
+    hand = lambda: lambda batch: [(0.5, 0.5) if x in whole else (0.05, 0.95) for x in batch]
+    items = manifest.image_files(spark, f"file://{tmp_path}/in").withColumn("scan_pos", F.xxhash64("file_id"))
+    echo = lambda: lambda image, mime: f"read {mime}"
+    counts = pipeline.run(spark, items, f"file://{tmp_path}/out", echo, hand, settings=Settings(fetch_limit=None, max_raw_scan=None, attempts=1), tasks=2, wait=0.0)
+    got = {r.file_name: r.decision for r in spark.read.parquet(f"{tmp_path}/out/decisions").collect()}
+    assert set(got) == set(files)
+    for name in ("a.jpg", "b.JPEG", "c.png"):
+        assert (got[name].decision, got[name].is_handwritten, got[name].error) == ("tile_vote", True, None)
+    assert got["ruled.jpg"].decision == "structural_table_override"
+    for name in ("cut.jpg", "bad.jpeg", "bad.png"):
+        assert got[name].decision == "error" and got[name].error and not got[name].is_handwritten
+    assert counts == {"images": 7, "printed": 4, "handwritten": 3}
+
+
 def test_stream_takes_up_where_it_ended(spark, tmp_path):
     src = tmp_path / "src"
     src.mkdir()
