@@ -56,7 +56,10 @@ def turn_events(rows: DataFrame, conversation: str = "conv_id", turn: str = "tur
 
 
 def folded(events: DataFrame) -> DataFrame:
-    """Final messages: (conversation, message, role, text)."""
+    """Final messages: (conversation, message, role, text).
+
+    The role is the last one that an event of the message gives, as streamed deltas often carry it on the first only.
+    """
     restart = F.col("kind").isin("edit", "regenerate")
     log = events.select("conversation", "sequence", "message", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     by_message = log.repartition("conversation").groupBy("conversation", "message").agg(
@@ -66,10 +69,12 @@ def folded(events: DataFrame) -> DataFrame:
     )
     earlier = Window.partitionBy("conversation").orderBy("message").rowsBetween(Window.unboundedPreceding, -1)
     void = F.max("again").over(earlier)
-    counts = by_message.withColumn("void", void).withColumn(
+    roles = F.filter(F.transform("parts", lambda p: p["role"]), lambda r: r != "")
+    role = F.when(F.size(roles) > 0, F.element_at(roles, -1)).otherwise(F.lit(""))
+    counts = by_message.withColumn("void", void).withColumn("role", role).withColumn(
         "parts", F.filter("parts", lambda p: (F.col("own").isNull() | (p["sequence"] >= F.col("own"))) & (F.col("void").isNull() | (p["sequence"] > F.col("void"))))
     )
-    return counts.where(F.size("parts") > 0).select("conversation", "message", F.element_at("parts", -1)["role"].alias("role"), F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
+    return counts.where(F.size("parts") > 0).select("conversation", "message", "role", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
 
 
 def rendered(messages: DataFrame) -> DataFrame:

@@ -63,6 +63,16 @@ def test_fold_of_deltas_edits_and_regenerations(spark):
     assert got == {c: plain_fold([x[1:] for x in rows if x[0] == c]) for c in range(40)}
 
 
+def test_role_on_the_first_delta_only(spark):
+    rows = [(1, 1, 1, "delta", "user", "q"), (1, 2, 2, "delta", "assistant", "a"), (1, 3, 2, "delta", None, "b"), (1, 4, 2, "delta", "", "c"), (1, 5, 3, "delta", None, "d")]
+    rows += [(2, 1, 1, "delta", "user", "q"), (2, 2, 2, "delta", "assistant", "a"), (2, 3, 2, "edit", None, "new"), (2, 4, 2, "delta", None, "er")]
+    events = spark.createDataFrame(rows, "conversation long, sequence long, message long, kind string, role string, text string")
+    messages = chat.folded(events)
+    got = {(x.conversation, x.message): (x.role, x.text) for x in messages.collect()}
+    assert got == {(1, 1): ("user", "q"), (1, 2): ("assistant", "abc"), (1, 3): ("", "d"), (2, 1): ("user", "q"), (2, 2): ("assistant", "newer")}
+    assert {r.conversation: r.learned for r in chat.parsed(chat.rendered(messages)).collect()} == {1: ["abc"], 2: ["newer"]}
+
+
 def test_chat_is_native(spark):
     table = spark.createDataFrame([(1, 1, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = chat.digests(chat.rendered(chat.folded(chat.turn_events(table))))._jdf.queryExecution().executedPlan().toString()
