@@ -182,11 +182,17 @@ def avi(frames: list[bytes], width: int = WIDTH, height: int = HEIGHT, fps: int
 
 
 def parse_avi(data: bytes) -> tuple[list[bytes], float, int, int]:
-    """Frames in the order of the index, frames a second, width and height."""
+    """Frames in the order of the index, frames a second, width and height.
+
+    Files that go on behind their first RIFF chunk (OpenDML) or have several video streams are errors, not cut or merged.
+    """
     if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
+    size = struct.unpack_from("<I", data, 4)[0]
+    if len(data) > 8 + size + (size & 1):
+        raise ValueError("bytes remain behind the first RIFF chunk; files of several parts (OpenDML) aren't read")
     fps = width = height = movi = index = None
-    todo = [(12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0]))]
+    todo = [(12, min(len(data), 8 + size))]
     while todo:
         at, end = todo.pop()
         while at + 8 <= end:
@@ -198,6 +204,8 @@ def parse_avi(data: bytes) -> tuple[list[bytes], float, int, int]:
                 else:
                     todo.append((body + 4, min(end, body + size)))
             elif name == b"strh" and data[body : body + 4] == b"vids":
+                if fps is not None:
+                    raise ValueError("a file of several video streams")
                 scale, rate = struct.unpack_from("<II", data, body + 20)
                 fps = rate / max(1, scale)
             elif name == b"strf" and width is None:

@@ -289,6 +289,20 @@ def test_media_faults():
             studio.read([bad])
 
 
+def test_files_of_several_parts_or_streams_are_refused():
+    good = media.Studio().store([media.padded(b"abc" * 500)])[0]
+    assert media.parse_avi(good)[0]
+    with pytest.raises(ValueError, match="behind the first RIFF"):
+        media.parse_avi(good + media._chunk(b"RIFF", b"AVIX" + media._chunk(b"LIST", b"movi" + media._chunk(b"00dc", b"frame"))))
+    at = good.index(b"strl") - 8
+    stream = good[at : at + 8 + int.from_bytes(good[at + 4 : at + 8], "little")]
+    body = good[8:at] + stream + good[at:]
+    head = body.index(b"hdrl") - 4
+    size = int.from_bytes(body[head : head + 4], "little") + len(stream)
+    with pytest.raises(ValueError, match="several video streams"):
+        media.parse_avi(media._chunk(b"RIFF", body[:head] + size.to_bytes(4, "little") + body[head + 4 :]))
+
+
 def test_shots_are_found():
     level = lambda v, n: np.full((n, 24, 24), v, np.uint8)
     frames = np.concatenate([level(10, 12), level(200, 9), level(90, 14)])
