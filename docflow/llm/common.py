@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow.compute as pc
@@ -52,6 +53,29 @@ def slices(batches, text: int, rows: int = 1024, limit: int = 8 << 20):
             done = end
 
 
+class WordCache:
+    """Values by word, about `most` of them. A generation takes up all words asked for; when it has half of that, a new
+    one starts and the one before goes, so that words in use stay. Values must not be None."""
+
+    def __init__(self, most: int):
+        self.half, self.new, self.old = max(1, most // 2), {}, {}
+
+    def values(self, words: list, make: Callable[[list], Iterable]) -> list:
+        """The values of distinct words; those of new ones come from `make`."""
+        if self.new and len(self.new) + len(words) > self.half:
+            self.old, self.new = self.new, {}
+        found = list(map(self.new.get, words))
+        lacking = [w for w, v in zip(words, found, strict=True) if v is None]
+        if not lacking:
+            return found
+        before = list(map(self.old.get, lacking))
+        self.new.update((w, v) for w, v in zip(lacking, before, strict=True) if v is not None)
+        fresh = [w for w, v in zip(lacking, before, strict=True) if v is None]
+        if fresh:
+            self.new.update(zip(fresh, make(fresh), strict=True))
+        return list(map(self.new.__getitem__, words))
+
+
 class ByteTable:
     """Byte strings by number, joined for whole arrays of numbers without a Python loop."""
 

@@ -21,9 +21,15 @@ MOST = int(COUNT.max())
 FIT = np.array([0, *(int(WIDTH[1:][WIDTH[1:] >= b].min()) if b <= 60 else 64 for b in range(1, 66))], np.uint8)
 
 
+#: The same by value, for values below 2^16.
+SMALL = FIT[np.frexp(np.arange(1 << 16, dtype=np.float64))[1]]
+
+
 def bit_width(x: np.ndarray) -> np.ndarray:
     """The narrowest width that holds each value. Values of more than 53 bits may get the next one, as they pass
     through floating point, which rounds up at most."""
+    if x.size and x.max() < len(SMALL):
+        return SMALL[x]
     return FIT[np.frexp(x.astype(np.float64))[1]]
 
 
@@ -49,43 +55,47 @@ def _selectors(width: np.ndarray) -> np.ndarray:
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words of all blocks, and per block the number of its words; the last block may be short."""
+    """The words of all blocks, and per block the number of its words; the last block may be short. Values are unsigned."""
     n = len(values)
     blocks = -(-n // BLOCK)
     if not blocks:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    x = np.zeros((blocks, BLOCK + MOST), np.uint64)
-    flat = np.zeros(blocks * BLOCK, np.uint64)
+    x = np.zeros((blocks, BLOCK + MOST), values.dtype)
+    flat = np.zeros(blocks * BLOCK, values.dtype)
     flat[:n] = values
     x[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    best = _selectors(bit_width(x))
-    size = np.full(blocks, BLOCK)
-    size[-1] = n - (blocks - 1) * BLOCK
-    at, live, row, col = np.zeros(blocks, np.int64), np.arange(blocks), [], []
-    while len(live):
-        row.append(live)
-        col.append(at[live])
-        at[live] += COUNT[best[live, at[live]]]
-        live = live[at[live] < size[live]]
-    row, col = np.concatenate(row), np.concatenate(col)
-    order = np.lexsort((col, row))
-    row, col = row[order], col[order]
-    sel = best[row, col]
+    best = _selectors(bit_width(x)).ravel()
+    taken = COUNT.astype(np.int32)[best]
+    first = np.zeros(len(best), bool)
+    width = BLOCK + MOST
+    end = np.arange(blocks) * width + BLOCK
+    end[-1] -= blocks * BLOCK - n
+    at = np.arange(blocks) * width
+    while len(at):
+        first[at] = True
+        at = at + taken[at]
+        live = at < end
+        if not live.all():
+            at, end = at[live], end[live]
+    start = np.flatnonzero(first)
+    row = start // width
+    sel = best[start]
     word = sel.astype(np.uint64)
-    start = row * x.shape[1] + col
     flat = x.ravel()
     for s in range(1, len(COUNT)):
         of = np.flatnonzero(sel == s)
         if len(of):
-            part = flat[start[of][:, None] + np.arange(COUNT[s])] << (4 + WIDTH[s] * np.arange(COUNT[s])).astype(np.uint64)
-            word[of] |= np.bitwise_or.reduce(part, axis=1)
+            from_, whole = start[of], np.zeros(len(of), np.uint64)
+            for k in range(COUNT[s]):
+                whole |= flat[from_ + k].astype(np.uint64) << np.uint64(4 + WIDTH[s] * k)
+            word[of] |= whole
     escaped = np.flatnonzero(sel == 0)
     words_of = np.bincount(row, minlength=blocks)
     if len(escaped):
         extra = np.bincount(row[escaped], minlength=blocks)
         owner = np.concatenate([row, row[escaped]])
         order = np.argsort(owner, kind="stable")
-        word, words_of = np.concatenate([word, flat[start[escaped]]])[order], words_of + extra
+        word, words_of = np.concatenate([word, flat[start[escaped]].astype(np.uint64)])[order], words_of + extra
     return word, words_of
 
 

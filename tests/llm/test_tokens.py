@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docflow.llm import bpe, simple8b, token_count, token_files
+from docflow.llm.common import WordCache
 from docflow.llm.queries import tokenizer
 
 ODD = ["", " ", "  a  \n\n b\t", "don't 'LL <|endoftext|>x", "a" * 2000, "日本語 é́ \U0001f468‍\U0001f469 ½ Σς İ", "\x00\x1c\x1f\x85  z", "▁▁x </s> <unk> <0x0A>", "1234567 a.b,c;;; -- ##"]
@@ -125,9 +126,35 @@ def test_simple8b_packs():
 
 def test_word_ids_equal_library(words, texts):
     theirs, mine = words
-    every = [*ODD, *texts.values()]
-    for x, ids in zip(every, mine.encode_batch(every), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(x, add_special_tokens=False).ids
+    every = [*ODD, "a,b 'S x's don't. É. ÀÉ!! ß_ naïve... <|endoftext|>, the<|endoftext|> é, q' µ, ª. \xd7x", *texts.values()]
+    for some in (every, every[1:5], every[:2], [], [x for x in every if not any("\x1c" <= c <= "\x1f" for c in x)]):
+        ids, sizes = mine.encode_batch(some)
+        found = np.split(ids, np.cumsum(sizes)[:-1]) if some else []
+        for x, part in zip(some, found, strict=True):
+            assert part.tolist() == theirs.encode(x, add_special_tokens=False).ids
+    ids, sizes = mine.encode_batch(["", "a b", ""], 2)
+    assert sizes.tolist() == [1, 3, 1] and ids.tolist() == [2, *theirs.encode("a b", add_special_tokens=False).ids, 2, 2]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("aBßéÉ .,'_\n<|x\x1f\u0301"), st.characters()), max_size=60))
+def test_word_ids_any_text(words, x):
+    theirs, mine = words
+    assert mine.encode_batch([x])[0].tolist() == theirs.encode(x, add_special_tokens=False).ids
+
+
+def test_word_cache_keeps_words_in_use():
+    cache, made = WordCache(20), []
+
+    def double(words):
+        made.extend(words)
+        return [w + w for w in words]
+
+    for k in range(200):
+        some = ["in use", str(k), str(k - 1)]
+        assert cache.values(some, double) == [w + w for w in some]
+    assert made.count("in use") == 1 and len(made) == 202 and len(cache.new) + len(cache.old) <= 20
+    assert cache.values(list(map(str, range(100))), double)[99] == "9999"
 
 
 def test_token_files(words, edge, empty, monkeypatch):
@@ -146,9 +173,8 @@ def test_token_files(words, edge, empty, monkeypatch):
 def test_token_file_ranges(tmp_path):
     place = f"file://{tmp_path}/x.s8b"
     writer, ids = token_files.FileWriter(place), np.arange(5000, dtype=np.uint32) * 7 % 40_000
-    writer.add(None, ids[:10])
-    writer.add(4, ids[10:10])
-    writer.add(5, ids[10:])
+    writer.add([None], ids[:10], np.array([10]))
+    writer.add([4, 5], ids[10:], np.array([0, 4990]))
     writer.close()
     reader = token_files.FileReader(place)
     assert (reader.read(1000, 2100) == ids[1000:3100]).all() and len(reader.read(17, 0)) == 0
