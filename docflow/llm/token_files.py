@@ -31,7 +31,7 @@ from docflow.llm.common import WordCache, shared_dir, slices, text_or_empty, wri
 
 MAGIC = b"DFTOKS8B"
 #: Words in lower case and without punctuation that a worker's cache holds; results don't depend on it.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 1_000_000
 #: Ids that a writer or reader holds at a time, beyond those of one document.
 CHUNK_IDS = 1 << 19
 #: Separator for encoding many words in one call, and the strings that would be mistaken for it or for
@@ -287,7 +287,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
         encoder, writer, first = load(tokenizer), None, None
         part = TaskContext.get().partitionId()
         place = f"{folder}/{part:06d}-{uuid.uuid4().hex}.s8b"
-        for b in slices(batches, 1, rows=1 << 14, limit=8 << 20):
+        for b in slices(batches, 1, rows=1 << 14, limit=4 << 20):
             keys = b.column(0).to_pylist()
             if writer is None:
                 writer, first = FileWriter(place), next((k for k in keys if k is not None), None)
