@@ -26,11 +26,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.common import ByteTable, slices, text_or_empty
+from docflow.llm.common import ByteTable, WordCache, own, slices, text_or_empty
 
 #: Fixed value: the pattern by which byte-level BPE splits a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that a worker's cache holds at most before it starts anew; results don't depend on it.
+#: Words that a worker's cache holds; results don't depend on it.
 CACHE_WORDS = 300_000
 #: Bytes beyond which a word is merged alone, with a heap, and not in a block with others.
 LONG_WORD = 64
@@ -176,7 +176,7 @@ class SpeculativeBpe:
         self.matcher.make_automaton()
         self.words = regex.compile(WORDS)
         self.texts, self.decimals = ByteTable(self.bytes), ByteTable([b"%d," % k for k in range(n)])
-        self.cache: dict[str, bytes] = {}
+        self.cache = WordCache(CACHE_WORDS)
         self.exact = self.proposed = 0
 
     def _survivors(self) -> np.ndarray:
@@ -207,7 +207,7 @@ class SpeculativeBpe:
             a, b, at = np.where(undo_a, self.right[a], a)[go], np.where(undo_a, b, self.left[b])[go], at[go]
         return result
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> list[bytes]:
         """Encodes words that the cache lacks: propose for all, verify for all, merge what fails."""
         raw = [w.encode() for w in words]
         size = np.array([len(x) for x in raw])
@@ -226,11 +226,11 @@ class SpeculativeBpe:
         self.proposed += len(raw)
         self.exact += int(fails.sum())
         bounds = (4 * cut).tolist()
-        self.cache.update((w, data[bounds[k] : bounds[k + 1]]) for k, w in enumerate(words))
+        learned = [data[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
         again = np.flatnonzero(fails)
         again = again[np.argsort(size[again], kind="stable")]
         for k in again[size[again] > LONG_WORD]:
-            self.cache[words[k]] = np.array(heap_merge([self.base[c] for c in raw[k]], self.merges), "<i4").tobytes()
+            learned[k] = np.array(heap_merge([self.base[c] for c in raw[k]], self.merges), "<i4").tobytes()
         again = again[size[again] <= LONG_WORD]
         for some in np.array_split(again, max(1, len(again) // 2048)):
             if not len(some):
@@ -240,7 +240,9 @@ class SpeculativeBpe:
             block = np.where(np.arange(width) < size[some][:, None], np.array(self.base)[block], -1)
             block = merge_words(block, self.table).astype("<i4")
             ends = 4 * (block >= 0).sum(axis=1)
-            self.cache.update((words[k], row.tobytes()[:end]) for k, row, end in zip(some.tolist(), block, ends.tolist(), strict=True))
+            for k, row, end in zip(some.tolist(), block, ends.tolist(), strict=True):
+                learned[k] = row.tobytes()[:end]
+        return learned
 
     def split(self, text: str) -> list[str]:
         return self.words.findall(text)
@@ -253,15 +255,10 @@ class SpeculativeBpe:
                 parts.append([w for k, x in enumerate(self.special_at.split(text)) for w in ([("", x)] if k % 2 else self.split(x))])
             else:
                 parts.append(self.split(text))
-        every = {w for w in set().union(*parts) if isinstance(w, str)}
-        fresh = every - self.cache.keys()
-        if len(self.cache) + len(fresh) > CACHE_WORDS:
-            self.cache.clear()
-            fresh = every
-        if fresh:
-            self._learn(sorted(fresh))
-        self.cache.update((("", content), np.array([k], "<i4").tobytes()) for content, k in self.special.items())
-        get = self.cache.__getitem__
+        every = [w for w in set().union(*parts) if isinstance(w, str)]
+        known = dict(zip(every, self.cache.values(every, self._learn), strict=True))
+        known.update((("", content), np.array([k], "<i4").tobytes()) for content, k in self.special.items())
+        get = known.__getitem__
         return [np.frombuffer(b"".join(map(get, p)), "<i4") for p in parts]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -281,8 +278,8 @@ def load(path: str) -> SpeculativeBpe:
 def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids", drop: tuple[str, ...] = ()) -> DataFrame:
     """Adds the ids of every whole text as array<int>; a column of that name is replaced, those of drop are left out."""
     kept = [c for c in docs.columns if c not in (into, *drop)]
-    plain = docs.select(*[docs[c] for c in kept], text_or_empty(text).alias("__text"))
-    schema = docs.select(*[docs[c] for c in kept], F.array(F.lit(0)).alias(into)).schema
+    plain = docs.select(*own(kept), text_or_empty(text).alias("__text"))
+    schema = docs.select(*own(kept), F.array(F.lit(0)).alias(into)).schema
 
     def run(batches):
         bpe = load(path)
@@ -298,7 +295,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids", dr
 def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Adds the text of every array of ids; null arrays give the empty text."""
     kept = [c for c in rows.columns if c != into]
-    schema = rows.select(*[rows[c] for c in kept], F.lit("").alias(into)).schema
+    schema = rows.select(*own(kept), F.lit("").alias(into)).schema
 
     def run(batches):
         bpe = load(path)

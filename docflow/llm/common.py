@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -17,10 +18,13 @@ _LOCAL: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is missing (tests on one machine) a temporary folder stands in.
+    Where that setting is missing a temporary folder stands in, but only for a local master (tests): elsewhere
+    executors wouldn't see it, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _LOCAL.setdefault("base", "file://" + tempfile.mkdtemp(prefix="docflow-"))
     return f"{base.rstrip('/')}/docflow-{uuid.uuid4().hex}"
 
@@ -30,7 +34,26 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["written_to"] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that written() gave and that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(table.__dict__.pop("written_to")).getParent()
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def own(names: Iterable[str]) -> list[Column]:
+    """The columns of these names, which may have dots and backticks."""
+    return [F.col(quoted(c)) for c in names]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.common import slices, text_or_empty
+from docflow.llm.common import own, slices, text_or_empty
 from docflow.llm.jpeg import luminance
 
 WIDTH = HEIGHT = 24
@@ -314,8 +314,8 @@ def _batches(batches, column: int):
 def store(docs: DataFrame, text: str = "text", into: str = "media") -> DataFrame:
     """Adds an AVI file (binary) of each whole text; a column of that name is replaced."""
     kept = [c for c in docs.columns if c != into]
-    plain = docs.select(*[docs[c] for c in kept], text_or_empty(text).cast("binary").alias("__data"))
-    schema = docs.select(*[docs[c] for c in kept], F.lit(b"").alias(into)).schema
+    plain = docs.select(*own(kept), text_or_empty(text).cast("binary").alias("__data"))
+    schema = docs.select(*own(kept), F.lit(b"").alias(into)).schema
 
     def run(batches):
         studio = Studio()

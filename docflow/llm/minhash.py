@@ -3,13 +3,15 @@
 1. Signatures. A document is the set of its word shingles. Of PERMUTATIONS minima the low BITS bits are kept
    and packed; bands of ROWS minima give the band keys. A digest of the whole set stands for it.
 2. Classes. Documents of equal sets are one class, known by its least key; copies go no further.
-3. Candidates. Classes that share a band key are joined to the least of them, as a star and not as pairs;
-   the connected components of these stars are the clusters within which links can be.
-4. Links. A cluster goes to one task with its texts. There the packed signatures of its classes are compared
-   by bit counts; the share of equal low bits, less what chance gives, estimates the similarity. Pairs that
-   may be similar, and that known links don't yet join, are checked on their full sets. Clusters of more weight
-   than UNIT are dealt by band key instead, and of a large key's classes by blocks, each pair of blocks a
-   task of its own, so that no task holds more than a unit and no pair that shares a band key is left out.
+3. Candidates. Classes that share a band key are candidates of each other. Each is joined to the least class of
+   that band key, as a star and not as pairs; the connected components of the stars are the clusters.
+4. Links. A cluster goes to one task with its texts. There the packed signatures of candidates are compared by bit
+   counts; the share of equal low bits, less what chance gives, estimates the similarity. Pairs that may be similar,
+   and that known links don't yet join, are checked on their full sets. A cluster of more weight than UNIT is dealt
+   by the least classes of its stars: first each class is compared with these alone; then stars that this has not
+   yet made one component are compared in pairs of blocks, but for blocks that it has. A text is sent once for each
+   of its stars and rounds, not for each band, and no task holds more than a unit. Both ways compare the same pairs:
+   those that share a band key, of which those that are joined already can add nothing.
 5. Components. The links of all tasks are joined to components, named by their least key.
 
 A pair at the threshold shares no band key with a probability of (1 - s^ROWS)^(PERMUTATIONS // ROWS), 3e-6 at
@@ -18,7 +20,8 @@ A pair at the threshold shares no band key with a probability of (1 - s^ROWS)^(P
 Defined results: words are what is between the white space 09-0D and 20, with A-Z in lower case. A text of
 fewer words than a shingle has its whole sequence as one shingle. Null and empty texts and those without words
 have the empty set and are linked with nothing. Repeated rows are in one component. Rows with a null key are
-kept, with a null component unless copies give one. An empty table gives an empty table.
+kept, with a null component unless copies give one. Rows of one key and different texts are compared each by its
+own text. Keys are integers. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,10 +32,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.common import slices, text_or_empty, written
+from docflow.llm.common import forget, own, slices, text_or_empty, written
 from docflow.llm.components import components
 
 PERMUTATIONS, BITS, ROWS = 256, 4, 6
@@ -41,8 +45,8 @@ DEVIATIONS = 5.0
 #: Weight that a task holds at most (shingles, and EACH for every class), signatures that it compares with all
 #: others at a time, and members of sets that it keeps for the checks.
 UNIT, EACH, STRIPE, HELD = 2_000_000, 250, 256, 400_000
-#: Words that a worker's cache holds at most before it starts anew; results don't depend on it.
-CACHE_WORDS = 300_000
+#: Bytes beyond which a word is hashed alone.
+LONG_WORD = 1024
 #: Shingles hashed by all permutations at a time.
 CHUNK = 1 << 15
 
@@ -54,32 +58,62 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(words: pa.StringArray) -> np.ndarray:
+    """A 64-bit hash of each word, of eight bytes after the other for all words at once."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    size, at = np.diff(ends), ends[:-1]
+    hashes = _mixed((size.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    if not ends[-1] - ends[0]:
+        return hashes
+    padded = np.concatenate([np.frombuffer(data, np.uint8)[: ends[-1]], np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    for k in np.flatnonzero(size > LONG_WORD):
+        hashes[k] = int.from_bytes(hashlib.blake2b(padded[at[k] : ends[k + 1]], digest_size=8).digest(), "little")
+    live = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    at, size = at[live], size[live]
+    while len(live):
+        lane = lanes[at]
+        short = size < 8
+        lane[short] &= (np.uint64(1) << (8 * size[short]).astype(np.uint64)) - np.uint64(1)
+        hashes[live] = _mixed((hashes[live] ^ lane) * np.uint64(0x9E3779B97F4A7C15))
+        more = size > 8
+        live, at, size = live[more], at[more] + 8, size[more] - 8
+    return hashes
+
+
 class Shingler:
-    """Sets of word shingles as sorted 64-bit hashes; keeps hashes by word."""
+    """Sets of word shingles as sorted 64-bit hashes. Of a batch each distinct word is hashed once."""
 
     def __init__(self, size: int):
-        self.size, self.cache = size, {}
-
-    def sets(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The set of each UTF-8 text."""
-        words = [x.lower().split() for x in texts]
-        every = set().union(*words)
-        fresh = every - self.cache.keys()
-        if len(self.cache) + len(fresh) > CACHE_WORDS:
-            self.cache.clear()
-            fresh = every
-        self.cache.update((w, int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")) for w in fresh)
-        return [self._set(np.array(list(map(self.cache.__getitem__, w)), np.uint64)) for w in words]
-
-    def _set(self, words: np.ndarray) -> np.ndarray:
-        if not len(words):
-            return words
-        k = min(self.size, len(words))
+        self.size = size
+
+    def sets(self, texts: pa.Array | list) -> list[np.ndarray]:
+        """The set of each text."""
+        texts = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        flat = split.flatten().dictionary_encode()
+        real = pc.not_equal(flat.dictionary, "").to_numpy(zero_copy_only=False)
+        at = flat.indices.to_numpy(zero_copy_only=False)
+        whole = real[at]
+        words = word_hashes(flat.dictionary)[at[whole]]
+        first = split.offsets.to_numpy()
+        start = np.concatenate([[0], np.cumsum(whole)])[first - first[0]].tolist()
+        rolled = self._rolled(words, self.size) if len(words) >= self.size else words[:0]
+        found = []
+        for a, b in zip(start, start[1:], strict=False):
+            n = b - a
+            found.append(np.unique(rolled[a : b - self.size + 1]) if n >= self.size else self._rolled(words[a:b], n) if n else words[:0])
+        return found
+
+    @staticmethod
+    def _rolled(words: np.ndarray, k: int) -> np.ndarray:
+        """The hashes of all runs of k words."""
         n = len(words) - k + 1
         hashes = np.full(n, k, np.uint64)
         for i in range(k):
             hashes = _mixed(hashes * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n])
-        return np.unique(hashes)
+        return hashes
 
 
 @lru_cache(1)
@@ -144,16 +178,18 @@ def least_estimate(threshold: float) -> float:
     return threshold - DEVIATIONS * (share * (1 - share) / PERMUTATIONS) ** 0.5 / (1 - chance)
 
 
-def links(keys: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def links(keys: np.ndarray, side: np.ndarray, known: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links of classes to the least of those that verified links join them to: a star for each component.
 
-    side: 0 for classes that are compared with all, else of two blocks only pairs across them are.
+    side: 0 for classes that are compared with all, else of two blocks only pairs across them are. known: the
+    components that links have made before.
     """
     n = len(keys)
     order = np.argsort(keys, kind="stable")
     size = np.array([len(x) for x in sets])
-    words = np.ascontiguousarray(packed(minima(sets))).view(np.uint64)
-    floor, component = least_estimate(percent / 100), np.arange(n)
+    least = minima(sets)
+    words, bands = np.ascontiguousarray(packed(least)).view(np.uint64), band_keys(least)
+    floor, component = least_estimate(percent / 100), np.unique(known, return_inverse=True)[1]
     held: dict[int, set] = {}
 
     def of(i: int) -> set:
@@ -174,6 +210,7 @@ def links(keys: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: i
             near = np.flatnonzero(guess >= floor)
             near = rest[near[np.argsort(-guess[near], kind="stable")]]
             near = near[component[near] != component[i]]
+            near = near[(bands[near] == bands[i]).any(axis=1)]
             while len(near):
                 j, near = near[0], near[1:]
                 both = len(of(int(i)) & of(int(j)))
@@ -190,12 +227,12 @@ SIGNED = "key bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>"
 
 def signatures(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
     """Per row: key, size of its set, a 128-bit digest of the set, band keys (null for the empty set)."""
-    plain = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).cast("binary").alias("text"))
+    plain = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"))
 
     def run(batches):
         shingler = Shingler(words)
-        for b in slices(batches, 1, rows=512, limit=1 << 20):
-            sets = shingler.sets(b.column(1).to_pylist())
+        for b in slices(batches, 1, rows=4096, limit=4 << 20):
+            sets = shingler.sets(b.column(1))
             full = [k for k, x in enumerate(sets) if len(x)]
             keys = band_keys(minima([sets[k] for k in full])).view(np.int64) if full else np.zeros((0, BANDS), np.int64)
             bands: list[np.ndarray | None] = [None] * len(sets)
@@ -212,13 +249,13 @@ def signatures(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
 
 
 def _linked(units: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links found within each unit; units: (unit, key, side, text)."""
+    """Links found within each unit; units: (unit, key, side, known, text)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["key", "side"])
+        pdf = pdf.drop_duplicates(["key", "side", "text"])
         shingler = Shingler(words)
-        sets = [x for k in range(0, len(pdf), 256) for x in shingler.sets([t.encode() for t in pdf["text"].iloc[k : k + 256]])]
-        found = links(pdf["key"].to_numpy(np.int64), pdf["side"].to_numpy(np.int64), sets, percent)
+        sets = [x for k in range(0, len(pdf), 256) for x in shingler.sets(list(pdf["text"].iloc[k : k + 256]))]
+        found = links(*(pdf[c].to_numpy(np.int64) for c in ("key", "side", "known")), sets, percent)
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return units.groupBy("unit").applyInPandas(run, "a bigint, b bigint")
@@ -237,31 +274,65 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     banded = signed.join(heads.select(*sets, F.col("class").alias("key")), [*sets, "key"], "left_semi")
     keys = banded.select("key", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.min("key").alias("head"), F.count("*").alias("m")).where("m > 1")
-    stars = written(keys.join(shared.select("band", "head"), "band"), "stars")
+    stars = written(keys.join(shared.select("band", "head"), "band").select("key", "head").distinct(), "stars")
     cluster = components(stars.select(F.col("key").alias("a"), F.col("head").alias("b")))
-    nodes = written(cluster.join(heads.groupBy(F.col("class").alias("node")).agg(F.max("n").alias("n")), "node").select(F.col("node").alias("key"), "root", "n"), "nodes")
-    weight = nodes.groupBy("root").agg(F.sum(F.col("n") + EACH).alias("w"))
-    small = nodes.join(weight.where(F.col("w") <= unit), "root").select("key", F.concat_ws(":", F.lit("c"), "root").alias("unit"), F.lit(0).cast("long").alias("side"))
-    large = nodes.join(weight.where(F.col("w") > unit), "root", "left_semi").select("key", "n")
-    parts = small.unionByName(_blocks(stars.join(large, "key"), unit))
-    texts = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"))
-    found = written(_linked(parts.join(texts, "key"), words, percent), "links")
-    roots = components(found)
+    nodes = written(cluster.join(heads.groupBy(F.col("class").alias("node")).agg(F.max("n").alias("n")), "node").select(F.col("node").alias("key"), "root", (F.col("n") + EACH).alias("w")), "nodes")
+    weight = nodes.groupBy("root").agg(F.sum("w").alias("total"))
+    small = nodes.join(weight.where(F.col("total") <= unit), "root").select("key", F.concat_ws(":", F.lit("c"), "root").alias("unit"), *_alone())
+    large = nodes.join(weight.where(F.col("total") > unit), "root", "left_semi").select("key", "w")
+    texts = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text")).hint("merge")
+    found = [written(_linked(small.join(texts, "key"), words, percent), "links")]
+    if not large.isEmpty():
+        stars_ = written(stars.join(large, "key"), "large")
+        found.append(written(_linked(_spokes(stars_, unit).join(texts, "key"), words, percent), "links"))
+        joined = components(found[-1])
+        found.append(written(_linked(_blocks(stars_, joined, unit).join(texts, "key"), words, percent), "links"))
+        forget(stars_)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    roots = components(every)
+    forget(stars, nodes, *found)
     of_class = class_.select(*sets, "class").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select(*sets, F.coalesce("root", "class").alias("root"))
     rows = signed.select("key", *sets).join(of_class, sets)
     component = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("key"))
     return rows.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
 
 
-def _blocks(stars: DataFrame, unit: int) -> DataFrame:
-    """Units of the large clusters: by band key, and where a key's classes are more than a unit, by pair of blocks."""
-    weight = stars.groupBy("band").agg(F.sum(F.col("n") + EACH).alias("w"))
-    rows = stars.join(weight, "band").withColumn("blocks", F.ceil(F.col("w") * 4 / F.lit(unit)).cast("int"))
-    rows = rows.withColumn("blocks", F.when(F.col("w") <= unit, 1).otherwise(F.col("blocks")))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _alone() -> list[Column]:
+    """side and known of classes that are compared with all of their unit."""
+    return [F.lit(0).cast("long").alias("side"), F.col("key").alias("known")]
+
+
+def _spokes(stars: DataFrame, unit: int) -> DataFrame:
+    """Units in which each class of a star (key, head, w) is compared with the star's head, by blocks of classes."""
+    weight = stars.groupBy("head").agg(F.ceil(F.sum("w") * 2 / F.lit(unit)).cast("int").alias("blocks"))
+    rows = stars.join(weight, "head")
+    block, sequence = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    hub = F.col("key") == F.col("head")
+    rows = rows.select("key", "head", F.when(hub, 1).otherwise(2).cast("long").alias("side"), F.explode(F.when(hub, sequence).otherwise(F.array(block))).alias("block"))
+    return rows.select("key", F.concat_ws(":", F.lit("s"), "head", "block").alias("unit"), "side", F.col("key").alias("known"))
+
+
+def _blocks(stars: DataFrame, joined: DataFrame, unit: int) -> DataFrame:
+    """Units of stars that links haven't made one component: pairs of blocks of classes, of which one at least isn't
+    joined to the star's head; joined: (node, root)."""
+    rows = stars.join(joined.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("known", F.coalesce("root", "key"))
+    hub = F.max(F.when(F.col("key") == F.col("head"), F.col("known")))
+    of_star = rows.groupBy("head").agg(hub.alias("hub"), F.sum("w").alias("total"))
+    rows = rows.join(of_star, "head").withColumn("out", F.col("known") != F.col("hub"))
+    size = rows.groupBy("head").agg(F.sum(F.when(F.col("out"), F.col("w")).otherwise(0)).alias("apart"), F.max("total").alias("total")).where("apart > 0")
+    count = lambda w: F.ceil(w * 4 / F.lit(unit)).cast("int")
+    whole = F.col("total") <= unit
+    size = size.select("head", F.when(whole, 1).otherwise(count(F.col("apart"))).alias("outs"), F.when(whole, 0).otherwise(count(F.col("total") - F.col("apart"))).alias("ins"))
+    rows = rows.join(size, "head")
+    deal = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+    rows = rows.withColumn("mine", F.when(F.col("out") | (F.col("ins") == 0), deal(F.col("outs"))).otherwise(F.col("outs") + deal(F.greatest(F.col("ins"), F.lit(1)))))
+    last = F.when(F.col("mine") < F.col("outs"), F.col("outs") + F.col("ins") - 1).otherwise(F.col("outs") - 1)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-    return rows.select("key", F.concat_ws(":", F.lit("b"), "band", low, high).alias("unit"), side.cast("long").alias("side"))
+    return rows.select("key", F.concat_ws(":", F.lit("b"), "head", low, high).alias("unit"), side.cast("long").alias("side"), "known")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
@@ -269,4 +340,4 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **mor
     if it is repeated; rows without words and rows without a key, less their repetitions."""
     kept = near_duplicates(docs, key=key, text=text, **more).where("kept").select(F.col(key).alias("__kept")).distinct()
     rows = docs.join(kept, F.col(key).eqNullSafe(F.col("__kept")), "left_semi")
-    return rows.dropDuplicates([key, text]).select(*docs.columns)
+    return rows.dropDuplicates([key, text]).select(*own(docs.columns))

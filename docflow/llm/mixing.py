@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docflow.llm.common import text_or_empty, written
+from docflow.llm.common import forget, own, text_or_empty, written
 
 RESOLUTION = 4096
 #: Bytes of input for each of the buckets into which every source is dealt.
@@ -218,7 +218,7 @@ def scheduled(
         F.pmod(F.xxhash64(F.col(key), text_or_empty(text), F.lit(1)), F.lit(buckets)).cast("int").alias("__bucket"),
         name.alias("__class"),
     ]
-    rows = docs.select(*[docs[c] for c in kept], *made)
+    rows = docs.select(*own(kept), *made)
     given = {"s" + s: w for s, w in (weights or {}).items()}
     sums = written(rows.groupBy("__class", "__bucket").agg(F.sum("__size").alias("bytes")), "sums")
     total = written(sums.groupBy("__class").agg(F.sum("bytes").alias("bytes")), "totals")

@@ -23,10 +23,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.common import slices, text_or_empty
+from docflow.llm.common import WordCache, slices, text_or_empty
 
 MARK = "▁"
-#: Parts that a worker's cache holds at most before it starts anew; results don't depend on it.
+#: Parts that a worker's cache holds; results don't depend on it.
 CACHE_PARTS = 400_000
 SHIFT = 40
 
@@ -49,7 +49,7 @@ class HeapCounter:
             raise ValueError(f"{path}: texts can't be parted at spaces and line breaks under this vocabulary")
         self.chars = chars
         self.parts = re.compile(r" *[^ \n]+| +|\n")
-        self.cache: dict[str, int] = {}
+        self.cache = WordCache(CACHE_PARTS)
 
     def count_part(self, part: str) -> int:
         """Tokens of a text within which any pair may merge."""
@@ -78,13 +78,9 @@ class HeapCounter:
     def count_batch(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
         found = [self.parts.findall(" " + x.replace(MARK, " ")) if x else [] for x in texts]
-        every = set().union(*found)
-        fresh = every - self.cache.keys()
-        if len(self.cache) + len(fresh) > CACHE_PARTS:
-            self.cache.clear()
-            fresh = every
-        self.cache.update((p, self.count_part(p)) for p in fresh)
-        return [sum(map(self.cache.__getitem__, x)) for x in found]
+        every = list(set().union(*found))
+        known = dict(zip(every, self.cache.values(every, lambda fresh: list(map(self.count_part, fresh))), strict=True))
+        return [sum(map(known.__getitem__, x)) for x in found]
 
 
 @lru_cache(2)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.common import slices, text_or_empty, written
+from docflow.llm.common import WordCache, own, slices, text_or_empty, written
 
 #: Bounds of fitting, documented above.
 FIT_ROWS, MAX_FEATURES = 4000, 4096
@@ -34,7 +34,7 @@ GRADES = 4
 CUT = 0.5
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
-#: Words that a worker's cache holds at most before it starts anew; results don't depend on it.
+#: Words that a worker's cache holds; results don't depend on it.
 CACHE_WORDS = 300_000
 
 
@@ -139,21 +139,16 @@ class Scorer:
     """Applies a model to texts; keeps by word which of its features the model has."""
 
     def __init__(self, model: OrdinalModel):
-        self.model, self.cache = model, {}
+        self.model, self.cache = model, WordCache(CACHE_WORDS)
 
     def severities(self, texts: list[str]) -> list[float]:
         words = [LETTERS.findall(x.lower()) for x in texts]
-        every = set().union(*words)
-        fresh = every - self.cache.keys()
-        if len(self.cache) + len(fresh) > CACHE_WORDS:
-            self.cache.clear()
-            fresh = every
-        weights = self.model.weights
-        self.cache.update((w, tuple(f for f in features_of(w) if f in weights)) for w in fresh)
+        every, weights = list(set().union(*words)), self.model.weights
+        known = dict(zip(every, self.cache.values(every, lambda fresh: [tuple(f for f in features_of(w) if f in weights) for w in fresh]), strict=True))
         found = []
         for x in words:
             counts: dict[str, int] = {}
-            for hit in filter(None, map(self.cache.__getitem__, x)):
+            for hit in filter(None, map(known.__getitem__, x)):
                 for f in hit:
                     counts[f] = counts.get(f, 0) + 1
             found.append(self.model.severity(counts))
@@ -166,8 +161,8 @@ def scored(docs: DataFrame, model: OrdinalModel, text: str = "text", into: str =
     The model is at most MAX_FEATURES weights, so it goes with the function.
     """
     kept = [c for c in docs.columns if c != into]
-    plain = docs.select(*[docs[c] for c in kept], text_or_empty(text).alias("__text"))
-    schema = docs.select(*[docs[c] for c in kept], F.lit(0.0).alias(into)).schema
+    plain = docs.select(*own(kept), text_or_empty(text).alias("__text"))
+    schema = docs.select(*own(kept), F.lit(0.0).alias(into)).schema
 
     def run(batches):
         scorer = Scorer(model)

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -69,6 +70,41 @@ def test_near_duplicates_in_blocks(spark):
     check(spark, varied(5), 5, 80, unit=3000)
 
 
+def test_large_and_small_clusters_compare_the_same_pairs(spark):
+    """One rule at every size: pairs that share a band key, found alike however a cluster is dealt."""
+    docs = spark.createDataFrame(varied(11), "doc_id long, text string")
+    found = [sorted(tuple(r) for r in minhash.near_duplicates(docs, 3, 85, unit=u).collect()) for u in (700, 2_000_000)]
+    assert all(x == found[0] for x in found)
+
+
+def test_recall_on_documents(spark, sf_dir):
+    """All links of the table at three words and 85 %, against brute force over its inverted shingles."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text").collect()]
+    sets, holders = {}, {}
+    for k, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[k] = {hash(tuple(w[i : i + 3])) for i in range(max(1, len(w) - 2))} if w else set()
+        for x in sets[k]:
+            holders.setdefault(x, []).append(k)
+    both: dict = {}
+    for ks in holders.values():
+        for i, a in enumerate(ks):
+            for b in ks[:i]:
+                both[a, b] = both.get((a, b), 0) + 1
+    linked = [p for p, n in both.items() if 100 * n >= 85 * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    component = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 3, 85).collect()}
+    assert len(linked) > 90 and all(component[a] == component[b] for a, b in linked)
+    assert len(set(component.values())) == len(rows) - len(set(component) - {k for k, c in component.items() if k == c})
+
+
+def test_rows_of_one_key_and_different_texts(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "other")]
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_near_duplicates_edge(edge, empty):
     rows = minhash.near_duplicates(edge, 3, 85).collect()
     by = {}
@@ -95,6 +131,17 @@ def test_estimates_are_close():
         assert abs(minhash.estimates(words[:1], words[1:])[0, 0] - true) < 0.12
 
 
+def test_word_hashes():
+    r = random.Random(4)
+    words = sorted({"".join(r.choice("abé日\0") for _ in range(r.choice([0, 1, 2, 7, 8, 9, 15, 16, 17, 40, 2000]))) for _ in range(3000)})
+    hashes = minhash.word_hashes(pa.array(words, pa.string()))
+    assert len(set(hashes.tolist())) == len(words)
+    assert (minhash.word_hashes(pa.array(["x", *words], pa.string())[1:]) == hashes).all()
+    assert len(minhash.word_hashes(pa.array([], pa.string()))) == 0
+    one = minhash.Shingler(2).sets(["A b\x0bC", "", " a  B c ", None, "a\x85b", "x"])
+    assert (one[0] == one[2]).all() and [len(x) for x in one] == [2, 0, 2, 0, 1, 1]
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(k, k + 1) for k in range(0, 60)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(45)] + [(7, 7), (5, None)]
@@ -106,6 +153,19 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "LEAST_HUB", 3)
+    monkeypatch.setattr(components, "HUBS", 40)
+    r = random.Random(2)
+    edges = [(1000, k) for k in range(200, 300)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)] + [(250, 350), (5, 1000)]
+    found = {x.node: x.root for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {k: k for e in edges for k in e}
+    for _ in range(200):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {k: x for k, x in found.items()} == {k: x for k, x in root.items() if k in found} and found[1000] == 5
+
+
 def winnowed(text: str) -> list[tuple[int, int]]:
     import re
 

@@ -137,7 +137,7 @@ def test_word_ids_equal_library(words, texts):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(st.one_of(st.sampled_from("aBßéÉ .,'_\n<|x\x1f\u0301"), st.characters()), max_size=60))
+@given(st.text(st.one_of(st.sampled_from("aBßéÉ .,'_\n<|x\x1f\u0301"), st.characters(exclude_categories=["Cs"])), max_size=60))
 def test_word_ids_any_text(words, x):
     theirs, mine = words
     assert mine.encode_batch([x])[0].tolist() == theirs.encode(x, add_special_tokens=False).ids
