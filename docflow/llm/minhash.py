@@ -30,7 +30,6 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -49,6 +48,8 @@ UNIT, EACH, STRIPE, HELD = 2_000_000, 250, 256, 400_000
 LONG_WORD = 1024
 #: Shingles hashed by all permutations at a time.
 CHUNK = 1 << 15
+#: Hashes made at a time of all these: many permutations of few shingles, or one of many.
+TABLE = 1 << 16
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -135,8 +136,10 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
             end += 1
         some = np.concatenate([x.astype(np.uint32) for x in sets[k:end]])
         starts = np.cumsum([0, *(len(x) for x in sets[k : end - 1])])
-        for p in range(PERMUTATIONS):
-            out[k:end, p] = np.minimum.reduceat((some ^ masks[p]) * factors[p], starts)
+        step = max(1, TABLE // len(some))
+        for p in range(0, PERMUTATIONS, step):
+            table = (some ^ masks[p : p + step, None]) * factors[p : p + step, None]
+            out[k:end, p : p + step] = np.minimum.reduceat(table, starts, axis=1).T
         k = end
     return out
 
@@ -185,6 +188,8 @@ def links(keys: np.ndarray, side: np.ndarray, known: np.ndarray, sets: list[np.n
     components that links have made before.
     """
     n = len(keys)
+    if n < 2:
+        return []
     order = np.argsort(keys, kind="stable")
     size = np.array([len(x) for x in sets])
     least = minima(sets)
@@ -222,6 +227,7 @@ def links(keys: np.ndarray, side: np.ndarray, known: np.ndarray, sets: list[np.n
     return [(int(k), int(m)) for k, m in zip(keys, least[component], strict=True) if k != m]
 
 
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 SIGNED = "key bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>"
 
 
@@ -249,16 +255,29 @@ def signatures(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
 
 
 def _linked(units: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links found within each unit; units: (unit, key, side, known, text)."""
+    """Links found within each unit; units: (unit, key, side, known, text). A task holds the sets of one unit."""
+    dealt = units.select("unit", "key", "side", "known", "text").repartition("unit").sortWithinPartitions("unit")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["key", "side", "text"])
-        shingler = Shingler(words)
-        sets = [x for k in range(0, len(pdf), 256) for x in shingler.sets(list(pdf["text"].iloc[k : k + 256]))]
-        found = links(*(pdf[c].to_numpy(np.int64) for c in ("key", "side", "known")), sets, percent)
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+    def solved(rows: dict[tuple, np.ndarray]) -> list[tuple[int, int]]:
+        keys, side, known = (np.array([k[c] for k in rows], np.int64) for c in range(3))
+        return links(keys, side, known, list(rows.values()), percent)
 
-    return units.groupBy("unit").applyInPandas(run, "a bigint, b bigint")
+    def run(batches):
+        shingler, unit, rows, found = Shingler(words), None, {}, []
+        for b in slices(batches, 4, rows=4096, limit=4 << 20):
+            names, *rest = (b.column(c).to_pylist() for c in range(4))
+            for name, x, set_ in zip(names, zip(*rest, strict=True), shingler.sets(b.column(4)), strict=True):
+                if name != unit:
+                    found += solved(rows)
+                    unit, rows = name, {}
+                    if len(found) >= 4096:
+                        yield pa.RecordBatch.from_pylist([{"a": i, "b": j} for i, j in found], schema=LINKS)
+                        found = []
+                rows[*x, hash(set_.tobytes())] = set_  # rows of one key and one set are one
+        found += solved(rows)
+        yield pa.RecordBatch.from_pylist([{"a": i, "b": j} for i, j in found], schema=LINKS)
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", unit: int = UNIT) -> DataFrame:
