@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.common import ByteTable, WordCache, own, slices, text_or_empty
+from docflow.llm.common import ByteTable, WordCache, mapped, own, slices, text_or_empty
 
 #: Fixed value: the pattern by which byte-level BPE splits a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -289,7 +289,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids", dr
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], lists], names=[*kept, into])
 
-    return plain.mapInArrow(run, schema)
+    return mapped(plain, run, schema)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -303,7 +303,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
             texts = [bpe.decode(np.array(x or [], np.int64)) for x in b.column(kept.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(kept.index(c)) for c in kept), pa.array(texts, pa.string())], names=[*kept, into])
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 _LOCAL: dict[str, str] = {}
 
@@ -48,7 +49,7 @@ def forget(*tables: DataFrame) -> None:
 
 
 def own(names: Iterable[str]) -> list[Column]:
-    """The columns of these names, which may have dots and backticks."""
+    """The columns of these names, which may have dots."""
     return [F.col(quoted(c)) for c in names]
 
 
@@ -61,6 +62,14 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def mapped(rows: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+    """mapInArrow for columns of any names, which it takes by their places."""
+    names = [f"c{k}" for k in range(len(schema))]
+    numbered = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(names, schema, strict=True)])
+    plain = rows.toDF(*[f"c{k}" for k in range(len(rows.columns))])
+    return plain.mapInArrow(lambda batches: (b.rename_columns(names) for b in run(batches)), numbered).toDF(*schema.names)
+
+
 def slices(batches, text: int, rows: int = 1024, limit: int = 8 << 20):
     """Record batches cut so that each has at most `rows` rows and about `limit` bytes of column `text`."""
     for batch in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.common import own, slices, text_or_empty
+from docflow.llm.common import mapped, own, slices, text_or_empty
 from docflow.llm.jpeg import luminance
 
 WIDTH = HEIGHT = 24
@@ -323,7 +323,7 @@ def store(docs: DataFrame, text: str = "text", into: str = "media") -> DataFrame
             files = studio.store([padded(x) for x in b.column(len(kept)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(files, pa.binary())], names=[*kept, into])
 
-    return plain.mapInArrow(run, schema)
+    return mapped(plain, run, schema)
 
 
 def clips(rows: DataFrame, media: str = "media", key: str = "doc_id") -> DataFrame:

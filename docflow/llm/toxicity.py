@@ -5,9 +5,10 @@ the whole text. P(grade >= k) is the logistic of w.x - t_k, with one weight vect
 t_1 < t_2 < t_3; the severity is the expected grade, the sum of these probabilities.
 
 Fitting: labels tell toxic from clean only, so the grades are 0 for clean rows and 1 to 3 for toxic ones by
-terciles of how often they use the features that set toxic rows apart. At most FIT_ROWS labelled rows of each
-kind, those of lowest hash, are fitted on; at most MAX_FEATURES features, those of highest significance.
-Everything else covers all rows and whole texts.
+terciles of how often they use the features that set toxic rows apart. At most FIT_ROWS labelled keys of each
+kind, those of lowest hash, are fitted on, each by one text; of these come all features that pass the thresholds.
+Everything else covers all rows and whole texts. A key that several labels or texts have counts once: as toxic if
+one label says so, by the text of lowest hash.
 
 Defined results: null and empty texts have severity 0 (as have all texts if no label is toxic). Rows with a
 null key or label aren't fitted on. Equal texts have equal severities. An empty table gives an empty table.
@@ -23,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.common import WordCache, own, slices, text_or_empty, written
+from docflow.llm.common import WordCache, forget, mapped, own, slices, text_or_empty, written
 
-#: Bounds of fitting, documented above.
-FIT_ROWS, MAX_FEATURES = 4000, 4096
+#: The bound of fitting, documented above.
+FIT_ROWS = 4000
 #: A feature must be that much likelier in toxic rows of the sample, by a log-likelihood ratio of at least this
 #: (20: chance gives one such feature in some hundred thousand).
 LEAST_LOG_ODDS, LEAST_RATIO = 2.0, 20.0
@@ -82,21 +83,25 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> OrdinalModel:
-    """Fits on a bounded sample; the driver sees at most MAX_FEATURES counts and the sample's use of them."""
+    """Fits on a bounded sample; the driver sees the features that pass and the sample's use of them."""
     known = labels.select(F.col(key).alias("key"), (F.col(label) > 0).alias("toxic")).where("key is not null and toxic is not null")
+    known = known.groupBy("key").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("key", F.lit(5))
     sample = known.where("toxic").orderBy(order, "key").limit(FIT_ROWS).unionByName(known.where("not toxic").orderBy(order, "key").limit(FIT_ROWS))
     texts = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text")).join(F.broadcast(sample), "key")
+    texts = texts.groupBy("key", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.octet_length("text"))).alias("text"))
 
     def count(batches):
         for b in slices(batches, 1, rows=256, limit=1 << 20):
-            keys, toxic = b.column(0).to_pylist(), b.column(2).to_pylist()
-            for k, x, y in zip(keys, b.column(1).to_pylist(), toxic, strict=True):
+            names, numbers = [], []
+            for x in b.column(1).to_pylist():
                 counts: dict[str, int] = {}
                 for word in LETTERS.findall(x.lower()):
                     for f in features_of(word):
                         counts[f] = counts.get(f, 0) + 1
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([y]), pa.array([list(counts)], pa.list_(pa.string())), pa.array([list(counts.values())], pa.list_(pa.int64()))], names=["key", "toxic", "f", "n"])
+                names.append(list(counts))
+                numbers.append(list(counts.values()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(names, pa.list_(pa.string())), pa.array(numbers, pa.list_(pa.int64()))], names=["key", "toxic", "f", "n"])
 
     used = written(texts.select(F.col("key").cast("long").alias("key"), "text", "toxic").mapInArrow(count, "key long, toxic boolean, f array<string>, n array<long>"), "features")
     size = used.agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b")).first()
@@ -111,7 +116,6 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         .where(odds("a", size.a) - odds("b", size.b) >= LEAST_LOG_ODDS)
         .withColumn("ratio", 2 * (part(a, size.a / n) + part(b, size.b / n)))
         .where(F.col("ratio") >= LEAST_RATIO)
-        .orderBy(F.col("ratio").desc(), "f").limit(MAX_FEATURES)
         .select("f")
     )
     names = sorted(r.f for r in best.collect())
@@ -119,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return OrdinalModel({}, [0.0] * (GRADES - 1))
     index = {f: k for k, f in enumerate(names)}
     chosen = docs.sparkSession.createDataFrame([(f,) for f in names], "f string")
-    seen = sorted((r.key, r.f, r.n) for r in flat.join(F.broadcast(chosen), "f").select("key", "f", "n").collect())
+    seen = sorted((r.key, r.f, r.n) for r in flat.join(chosen, "f").select("key", "f", "n").collect())
     keys = sorted((r.key, r.toxic) for r in used.select("key", "toxic").collect())
     place = {k: i for i, (k, _) in enumerate(keys)}
     rows = np.array([place[k] for k, _, _ in seen], np.int64)
@@ -130,6 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     low, high = np.quantile(use[toxic], [1 / 3, 2 / 3])
     grades = np.where(toxic, 1 + (use > low) + (use > high), 0)
     every = known.agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b")).first()
+    forget(used)
     weight = np.where(toxic, every.a / size.a, every.b / size.b)  # the sample has as many of each kind as it may
     w, t = fit_ordinal(rows, cols, values, grades, weight, len(names))
     return OrdinalModel({f: float(x) for f, x in zip(names, w, strict=True)}, t.tolist())
@@ -158,7 +163,7 @@ class Scorer:
 def scored(docs: DataFrame, model: OrdinalModel, text: str = "text", into: str = "severity") -> DataFrame:
     """Adds the severity of each whole text, 0 to GRADES - 1; a column of that name is replaced.
 
-    The model is at most MAX_FEATURES weights, so it goes with the function.
+    The model is the weights of features of a bounded sample, so it goes with the function.
     """
     kept = [c for c in docs.columns if c != into]
     plain = docs.select(*own(kept), text_or_empty(text).alias("__text"))
@@ -170,7 +175,7 @@ def scored(docs: DataFrame, model: OrdinalModel, text: str = "text", into: str =
             found = scorer.severities(b.column(len(kept)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(found, pa.float64())], names=[*kept, into])
 
-    return plain.mapInArrow(run, schema)
+    return mapped(plain, run, schema)
 
 
 def report(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,4 +187,4 @@ def report(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
 def clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows below the cut, with their own columns."""
-    return scored(docs, fit(docs, labels, key, text), text, "__severity").where(F.col("__severity") < CUT).select(*docs.columns)
+    return scored(docs, fit(docs, labels, key, text), text, "__severity").where(F.col("__severity") < CUT).select(*own(docs.columns))
