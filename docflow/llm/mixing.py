@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The rows of a source, in a fixed random order, are cut into blocks of block_bytes. A source of weight w gets
+The rows of a source, in the order of a hash of key and text, are cut into blocks of block_bytes. A source of weight w gets
 T(i / w) slots for its first i blocks, where T(v) is the number of slots at which every source s has had w(s) * v
 blocks, or all of its own if these are fewer. Its i-th block has the release time floor(T((i - 1) / w)) and the
 deadline ceil(T(i / w)). Of the released blocks the one of earliest deadline takes the next slot. At any slot the
@@ -32,27 +32,13 @@ from pyspark.sql import functions as F
 
 from docflow.llm.common import forget, own, text_or_empty, written
 
-RESOLUTION = 4096
-#: Bytes of input for each of the buckets into which every source is dealt.
-BUCKET_BYTES = 8 << 20
+#: Bytes of input, as estimated, for each of the ranges of the random order in which every source is summed and
+#: numbered, and how many ranges there are at least and at most (as powers of two). Results don't depend on these.
+BUCKET_BYTES, LEAST_BITS, MOST_BITS = 8 << 20, 6, 24
 #: Blocks that the scheduling task hands over at once.
 BATCH = 1 << 16
 
 
-def quantised(weights: dict[str, float], resolution: int = RESOLUTION) -> dict[str, int]:
-    """Shares as whole numbers of at least 1 that sum to the resolution, by largest remainder. Schedules don't use it."""
-    total = sum(weights.values())
-    exact = {s: w * resolution / total for s, w in weights.items()}
-    share = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (share[s] - exact[s], s))
-    k = 0
-    while (left := resolution - sum(share.values())) != 0:
-        s = order[k % len(order)] if left > 0 else max(share, key=lambda s: (share[s], s))
-        share[s] += 1 if left > 0 else -1
-        k += 1
-    return share
-
-
 class Ends:
     """T by phases, from the distinct (weight, blocks) of all sources and how many sources have them.
 
@@ -138,14 +124,6 @@ def _scheduled(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tu
     return scheduled_blocks(sorted(sources, key=lambda x: (-x[1], x[0])), Ends(Counter((w, n) for _, w, n in sources)))
 
 
-def period(share: dict[str, int]) -> dict[str, list[int]]:
-    """The schedule of as many blocks as each source's share: by source, the slots of its blocks."""
-    slots: dict[str, list[int]] = {s: [] for s in share}
-    for s, _, t, _ in _scheduled(share, share):
-        slots[s].append(t)
-    return slots
-
-
 def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[tuple]:
     """Rows (phase, source, first block, block after the last)."""
     found: dict[tuple[int, str], tuple[int, int]] = {}
@@ -209,13 +187,14 @@ def scheduled(
     weights: by source; without them, a source's weight is its bytes to the power of exponent.
     """
     kept = [key, source] if kept is None else kept
-    buckets = max(64, min(1 << 16, _plan_bytes(docs) // BUCKET_BYTES))
+    bits = max(LEAST_BITS, min(MOST_BITS, (_plan_bytes(docs) // BUCKET_BYTES).bit_length()))
     name = F.concat(F.lit("s"), F.col(source).cast("string"))
     name = F.coalesce(name, F.lit("null"))
+    order = F.xxhash64(F.col(key), text_or_empty(text))
     made = [
         F.greatest(F.octet_length(text_or_empty(text)), F.lit(1)).cast("long").alias("__size"),
-        F.xxhash64(F.col(key), text_or_empty(text)).alias("__order"),
-        F.pmod(F.xxhash64(F.col(key), text_or_empty(text), F.lit(1)), F.lit(buckets)).cast("int").alias("__bucket"),
+        order.alias("__order"),
+        F.shiftrightunsigned(order, 64 - bits).cast("int").alias("__bucket"),
         name.alias("__class"),
     ]
     rows = docs.select(*own(kept), *made)
@@ -231,12 +210,14 @@ def scheduled(
     found = F.array_sort(F.collect_list(F.struct("__block", "__slot", "__phase")))
     start = held.join(plan, ["__class", "__block"]).groupBy("__class", "__bucket", "__start").agg(found.alias("__slots"))
     inside = Window.partitionBy("__class", "__bucket").orderBy("__order", key).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__before", F.coalesce(F.sum("__size").over(inside), F.lit(0))).join(written(start, "starts"), ["__class", "__bucket"])
+    start = written(start, "starts")
+    forget(sums, total, plan)
+    rows = rows.withColumn("__before", F.coalesce(F.sum("__size").over(inside), F.lit(0))).join(start, ["__class", "__bucket"])
     at = F.col("__start") + F.col("__before")
     rows = rows.withColumn("__block", F.floor(at / block_bytes).cast("long")).withColumn("__offset", at - F.col("__block") * block_bytes)
     place = F.element_at("__slots", (F.col("__block") - F.col("__slots")[0]["__block"]).cast("int") + 1)
     rows = rows.withColumn("__slot", place["__slot"]).withColumn("__phase", place["__phase"])
-    return rows.select(*kept, "__class", "__phase", "__block", "__slot", "__offset", "__order")
+    return rows.select(*own(kept), "__class", "__phase", "__block", "__slot", "__offset", "__order")
 
 
 def report(docs: DataFrame, key: str = "doc_id", source: str = "source", **more) -> DataFrame:
@@ -249,5 +230,5 @@ def mixed(docs: DataFrame, key: str = "doc_id", **more) -> DataFrame:
     """All rows and columns in the order of the mix: ranges of slots by partition, ordered within."""
     rows = scheduled(docs, key=key, kept=docs.columns, **more)
     dealt = rows.repartitionByRange("__slot", "__offset").sortWithinPartitions("__slot", "__offset", "__order", key)
-    return dealt.select(*docs.columns)
+    return dealt.select(*own(docs.columns))
 
