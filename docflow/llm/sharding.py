@@ -5,8 +5,10 @@ parts for n // 2 and n - n // 2 shards, at the place where the bytes so far come
 place is found without sorting or moving rows: sums of bytes by bin, then by finer bins within the one bin
 that holds it, until that bin holds a single row. The driver sees at most BINS sums for each node of a level.
 
+The number of shards is given, or follows from target bytes: as many as it takes for shards of that many on average.
+
 Each dimension is one integer per row: its scaled coordinate, then bits of the text's hash, then bits of the
-key's hash. So rows that are equal in a coordinate still have an order, and rows of equal texts stand side by
+key's hash. The coordinate of a string is its rank among the distinct ones. So rows that are equal in a coordinate still have an order, and rows of equal texts stand side by
 side in all orders. A split goes beside their group if that is at most as large as the largest row, else through
 it (a group can be larger than a shard).
 
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docflow.llm.common import text_or_empty, written
+from docflow.llm.common import forget, quoted, text_or_empty, written
 
 OVERHEAD = 16
 COORDINATE_BITS, TIE_BITS = 24, 38
@@ -50,12 +52,19 @@ class Node:
         return F.when(F.col(keys[self.dimension]) <= F.lit(self.threshold), self.low.number(keys)).otherwise(self.high.number(keys))
 
 
-def _coordinate(docs: DataFrame, name: str) -> Column:
-    """A column as a number of 24 bits or any size that is scaled later; strings by their first three bytes."""
-    kind = dict(docs.dtypes)[name]
-    if kind == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.coalesce(F.col(name), F.lit("")).cast("binary"), 1, 3)), 6, "0"), 16, 10).cast("double")
-    return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+def _ranks(rows: DataFrame, name: str) -> DataFrame:
+    """(value, rank) of the distinct strings of a column, in byte order: places in sorted ranges, by ranges' counts.
+
+    The driver sees a count for each range.
+    """
+    values = rows.select(F.col(name).alias("value")).distinct().repartitionByRange("value").sortWithinPartitions("value")
+    placed = written(values.withColumn("id", F.monotonically_increasing_id()).withColumn("part", F.shiftright("id", 33)), "values")
+    start, base = 0, []
+    for r in placed.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("id")).orderBy("part").collect():
+        base.append((r.part, start - r.id))
+        start += r.n
+    shift = rows.sparkSession.createDataFrame(base, "part long, shift long")
+    return placed.join(shift, "part").select("value", (F.col("id") + F.col("shift")).cast("double").alias("rank"))
 
 
 def metadata(docs: DataFrame, dimensions: list[str], key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[str]]:
@@ -63,14 +72,21 @@ def metadata(docs: DataFrame, dimensions: list[str], key: str = "doc_id", text:
 
     dimensions are columns of docs, or 'size' and 'text_crc32', which are made here.
     """
-    body = text_or_empty(text)
+    body, kinds = text_or_empty(text), dict(docs.dtypes)
     made = {"size": (F.octet_length(body) + OVERHEAD).cast("long"), "text_crc32": F.crc32(body)}
     rows = docs.select(
         F.col(key).alias("key"), *[c.alias(n) for n, c in made.items()],
-        *[(made[d].cast("double") if d in made else _coordinate(docs, d)).alias(f"__c{k}") for k, d in enumerate(dimensions)],
+        *[(made[d].cast("double") if d in made else F.coalesce(F.col(quoted(d)), F.lit("")) if kinds[d] == "string" else F.coalesce(F.col(quoted(d)).cast("double"), F.lit(0.0))).alias(f"__c{k}") for k, d in enumerate(dimensions)],
         F.xxhash64(body).alias("__text"), F.xxhash64(F.col(key), F.lit(7)).alias("__row"),
     )
-    rows = written(rows, "metadata")
+    rows = first = written(rows, "metadata")
+    for k, d in enumerate(dimensions):
+        if d not in made and kinds[d] == "string":
+            ranks = _ranks(rows, f"__c{k}")
+            rows = rows.join(ranks.withColumnRenamed("value", f"__c{k}"), f"__c{k}").withColumn(f"__c{k}", F.col("rank")).drop("rank")
+    if rows is not first:
+        rows = written(rows, "metadata")
+        forget(first)
     ends = rows.agg(*[f(f"__c{k}").alias(f"{n}{k}") for k in range(len(dimensions)) for n, f in (("a", F.min), ("b", F.max))]).first()
     half = TIE_BITS // 2
     tie = F.shiftrightunsigned("__text", 64 - half) * (1 << half) + F.shiftrightunsigned("__row", 64 - half)
@@ -80,7 +96,9 @@ def metadata(docs: DataFrame, dimensions: list[str], key: str = "doc_id", text:
         scale = ((1 << COORDINATE_BITS) - 1) / (b - a) if b > a else 0.0
         keys.append((F.floor((F.col(f"__c{k}") - a) * scale).cast("long") * (1 << TIE_BITS) + tie).alias(f"k{k}"))
     names = [f"k{k}" for k in range(len(dimensions))]
-    return written(rows.select("key", "size", "text_crc32", *keys), "keys"), names
+    keyed = written(rows.select("key", "size", "text_crc32", *keys), "keys")
+    forget(rows)
+    return keyed, names
 
 
 def _width(low: int, high: int) -> int:
@@ -140,9 +158,14 @@ def _split(rows: DataFrame, tree: Node, nodes: list[Node], keys: list[str], whol
                 spans[first] = [n, start, end, target, before]
 
 
-def assign(docs: DataFrame, shards: int, dimensions: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, size, text_crc32, shard (0 to shards - 1) and slot (gapless from 0 within the shard)."""
+def assign(docs: DataFrame, shards: int | None, dimensions: list[str], key: str = "doc_id", text: str = "text", target_bytes: int | None = None) -> DataFrame:
+    """Per row: key, size, text_crc32, shard (from 0) and slot (gapless from 0 within the shard).
+
+    Without a number of shards, there are as many as it takes for target_bytes on average.
+    """
     rows, keys = metadata(docs, dimensions, key, text)
+    if shards is None:
+        shards = max(1, -(-(rows.agg(F.sum("size").alias("n")).first().n or 0) // target_bytes))
     total = rows.agg(F.count("*").alias("n"), F.max("size").alias("largest"), *[(F.max(k) - F.min(k)).cast("double").alias(k) for k in keys]).first()
     tree = Node(0, shards)
     level = [tree] if shards > 1 and total.n else []

@@ -85,15 +85,37 @@ def test_chat_is_native(spark):
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.text("abcdef", min_size=1, max_size=3), st.floats(0.001, 100), min_size=1, max_size=12))
 def test_schedule_stays_within_a_block(weights):
-    share = mixing.quantised(weights)
-    assert sum(share.values()) == mixing.RESOLUTION and min(share.values()) >= 1
-    slots = mixing.period(share)
-    order = sorted((t, s) for s, x in slots.items() for t in x)
-    assert [t for t, _ in order] == list(range(mixing.RESOLUTION))
-    seen = dict.fromkeys(share, 0)
-    for t, s in order:
+    share = {s: 1 + int(w * 10) for s, w in weights.items()}
+    total, seen = sum(share.values()), dict.fromkeys(share, 0)
+    for k, (s, _, t, _) in enumerate(mixing._scheduled(share, share)):
+        assert k == t
         seen[s] += 1
-        assert all(abs(seen[k] - share[k] * (t + 1) / mixing.RESOLUTION) < 1 for k in share)
+        assert all(abs(seen[x] - share[x] * (t + 1) / total) < 1 for x in share)
+    assert seen == share
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.text("abcdef", min_size=1, max_size=3), st.floats(0.01, 50), min_size=1, max_size=9))
+def test_schedule_is_earliest_deadline_first(weights):
+    """The first phase, slot by slot from the definition: of the sources whose next block is released, the one of
+    earliest deadline; of equal ones the heavier, then the first by name."""
+    from fractions import Fraction
+
+    share = {s: Fraction(w) / sum(map(Fraction, weights.values())) for s, w in weights.items()}
+    got = [s for s, *_ in mixing._scheduled(dict.fromkeys(weights, 400), weights)]
+    seen, end = dict.fromkeys(weights, 0), 400 / max(share.values()) - 2 / min(share.values())
+    for t, s in enumerate(got):
+        if t >= end:  # from here on windows reach into the next phase, of other rates
+            break
+        ready = [x for x in share if seen[x] / share[x] // 1 <= t]
+        assert s == min(ready, key=lambda x: (-((seen[x] + 1) / share[x] // -1), -weights[x], x))
+        seen[s] += 1
+
+
+def test_mix_is_the_same_for_any_ranges(spark, documents, monkeypatch):
+    expected = sorted(tuple(r) for r in mixing.report(documents, block_bytes=2048).collect())
+    monkeypatch.setattr(mixing, "BUCKET_BYTES", 2000)
+    assert sorted(tuple(r) for r in mixing.report(documents, block_bytes=2048).collect()) == expected
 
 
 def test_mixing_places_every_row(spark, documents, edge, empty):
@@ -206,9 +228,44 @@ def test_sources_of_no_weight_come_last(spark):
         mixing.report(docs, weights={"a": -1.0})
 
 
+def test_a_thousand_sources(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), (F.col("id") % 1000).cast("string").alias("source"))
+    rows = mixing.report(docs, weights={"7": 0.375}, block_bytes=4).collect()
+    assert sorted(r.slot for r in rows) == list(range(3000)) and [r.slot for r in sorted(rows, key=lambda r: r.slot) if r.source == "7"] == [0, 2, 5]
+
+
 # --- toxicity -----------------------------------------------------------------------------------------------
 
 
+def test_severity_is_a_plain_cumulative_logit(spark):
+    """Grades, counts and probabilities written out, against the scorer."""
+    weights, cuts = {"=bad": 2.0, "badl": 0.7, "badly": -0.3, "=x": 0.5}, [1.0, 1.5, 3.0]
+    model = toxicity.OrdinalModel(weights, cuts)
+    texts = ["", None, "good words only", "Bad bad BAD badly", "x badly9badlyish x_x", "bad " * 5000]
+    expected = []
+    for text in texts:
+        found: dict = {}
+        for word in re.findall("[a-z]+", (text or "").lower()):
+            for f in {"=" + word} | {word[:n] for n in (4, 5, 6) if n < len(word)}:
+                found[f] = found.get(f, 0) + 1
+        used = {f: n for f, n in found.items() if f in weights}
+        score = sum(weights[f] * np.log(1 + n) for f, n in used.items())
+        above = [1 / (1 + np.exp(c - score)) for c in cuts]
+        grade = [1 - above[0], above[0] - above[1], above[1] - above[2], above[2]]
+        expected.append(sum(g * p for g, p in enumerate(grade)) if used else 0.0)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.severity for r in toxicity.scored(table, model).orderBy("doc_id").collect()]
+    assert np.allclose(got, expected, atol=1e-12)
+
+
+def test_repeated_keys_and_labels_count_once(spark):
+    docs = labels = toxic_table(spark)
+    one = toxicity.fit(docs, labels)
+    more = docs.unionByName(docs.where("doc_id % 50 = 1").crossJoin(spark.range(40).select("id")).drop("id"))
+    again = labels.unionByName(labels.where("doc_id % 3 = 0"))
+    assert toxicity.fit(more, again) == one
+
+
 def toxic_table(spark, n=400):
     r = random.Random(6)
     word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(5))

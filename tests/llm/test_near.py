@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -271,6 +272,51 @@ def test_shards(documents, texts):
     assert max(sizes) - min(sizes) <= 2 * max(r["size"] for r in rows)
 
 
+def plain_tree(rows: list[tuple], first: int, shards: int, whole: list[int], largest: int) -> dict:
+    """Shards by sorting: rows are (row, size, keys). A cut goes where the bytes come nearest to the share, and not
+    through rows of one coordinate and text of at most the largest row's bytes."""
+    if shards == 1 or not rows:
+        return {r[0]: first for r in rows}
+    low = shards // 2
+    extent = [(max(r[2][d] for r in rows) - min(r[2][d] for r in rows)) / w for d, w in enumerate(whole)]
+    d = extent.index(max(extent))
+    rows = sorted(rows, key=lambda r: r[2][d])
+    units: list[list] = []
+    for r in rows:
+        if units and units[-1][0][2][d] // sharding.GROUP == r[2][d] // sharding.GROUP:
+            units[-1].append(r)
+        else:
+            units.append([r])
+    units = [x for u in units for x in ([u] if sum(r[1] for r in u) <= largest else [[r] for r in u])]
+    target, before, cut = sum(r[1] for r in rows) * low / shards, 0, 0
+    for k, u in enumerate(units):
+        size = sum(r[1] for r in u)
+        if before + size >= target:
+            cut = k + (target - before > before + size - target)
+            break
+        before += size
+    left, right = ([r for u in part for r in u] for part in (units[:cut], units[cut:]))
+    return plain_tree(left, first, low, whole, largest) | plain_tree(right, first + low, shards - low, whole, largest)
+
+
+@pytest.mark.parametrize(("shards", "dimensions"), [(7, ["size", "lang", "text_crc32"]), (40, ["n_chars", "source"])])
+def test_shards_are_a_plain_tree(documents, shards, dimensions):
+    docs = documents.unionByName(documents.limit(60).withColumn("doc_id", F.col("doc_id") + 100_000))
+    rows, keys = sharding.metadata(docs, dimensions)
+    plain = [(r.key, r["size"], [r[k] for k in keys]) for r in rows.collect()]
+    whole = [max(1, max(r[2][d] for r in plain) - min(r[2][d] for r in plain)) for d in range(len(keys))]
+    expected = plain_tree(plain, 0, shards, whole, max(r[1] for r in plain))
+    assert {r.doc_id: r.shard for r in sharding.assign(docs, shards, dimensions).collect()} == expected
+
+
+def test_shards_by_whole_strings_and_target_bytes(spark):
+    """Strings of one beginning are told apart, in order."""
+    rows = [(k, "x" * 84, f"https://host.example/{k // 10:03d}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.url` string")
+    got = {r.doc_id: r.shard for r in sharding.assign(docs, None, ["a.url"], target_bytes=10_000).collect()}
+    assert set(got.values()) == {0, 1, 2, 3} and [got[k] for k in range(400)] == sorted(got.values())
+
+
 def test_shards_edge(edge, empty, spark):
     rows = sharding.assign(edge, 5, ["size", "lang", "n_chars"]).collect()
     assert len(rows) == edge.count() and {r["size"] for r in rows if r.doc_id in (2, 3)} == {16}
