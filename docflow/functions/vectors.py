@@ -25,3 +25,9 @@ def softmax(scores: list[Column]) -> list[Column]:
 def zero_shot(image: Column, prompts: list[Column], scale: float = 100.0) -> list[Column]:
     """Probability of each prompt for an image, from unit vectors of both."""
     return softmax([scale * dot(unit(image), unit(p)) for p in prompts])
+
+
+def zip_shorter(a: Column, b: Column, names: tuple[str, str] = ("a", "b")) -> Column:
+    """Two arrays joined by place into an array of structs, up to the shorter one's end."""
+    n = F.least(F.size(a), F.size(b))
+    return F.arrays_zip(F.slice(a, F.lit(1), n).alias(names[0]), F.slice(b, F.lit(1), n).alias(names[1]))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docflow.config import DEFAULTS, Settings
 from docflow.functions.geometry import box_key, centre
-from docflow.functions.text import corrected, strip, unit_tag
+from docflow.functions.text import best_match, strip, unit_tag
 
 
 def best_readings(boxes: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -35,12 +35,13 @@ def columns(items: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 def rows(items: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Adds row_id: an item joins a row if it is within the tolerance of the row's first item.
 
-    The anchors of a column's rows are folded from its sorted heights; an item's row is the number of anchors
-    up to its height, less one. The fold keeps only anchors, so long columns stay cheap.
+    The anchors of a column's rows are folded from its distinct heights in order; an item's row is the number of
+    anchors up to its height, less one. There are at most as many anchors as the page's height has tolerances, so
+    the work grows with the items alone.
     """
     same = ["page", "col_id"]
     tolerance = F.lit(float(settings.row_tolerance))
-    heights = F.sort_array(F.collect_list("y"))
+    heights = F.sort_array(F.collect_set("y"))
     step = lambda a, y: F.when((F.size(a) == 0) | (y - F.try_element_at(a, F.lit(-1)) > tolerance), F.array_append(a, y)).otherwise(a)
     anchors = F.aggregate(heights, F.array().cast("array<double>"), step)
     item = F.struct(*[c for c in items.columns if c not in same])
@@ -62,10 +63,21 @@ def confident(entries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return entries.where((text != "") & (F.col("score") >= least))
 
 
+def with_corrections(entries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Entries with uncertain readings replaced by the best term of the vocabulary, if one is similar enough.
+
+    Each distinct reading is compared once: the terms are many and the readings of a corpus repeat.
+    """
+    unsure = (F.col("score") < settings.vocabulary_gate) & (strip(F.col("text")) != "")
+    readings = entries.where(unsure).select("text").distinct()
+    best = readings.select(F.col("text").alias("__text"), best_match(F.col("text"), settings.vocabulary_threshold)["term"].alias("__term")).where("__term is not null")
+    found = entries.join(best, F.when(unsure, F.col("text")) == F.col("__text"), "left")
+    return found.select(*[F.coalesce("__term", "text").alias(c) if c == "text" else F.col(c) for c in entries.columns])
+
+
 def finished(entries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Confident entries with text corrected, vitals_type by unit, and score of three digits."""
-    kept = confident(entries, settings)
-    kept = kept.withColumn("text", corrected(F.col("text"), F.col("score"), settings.vocabulary_gate, settings.vocabulary_threshold))
+    kept = with_corrections(confident(entries, settings), settings)
     return kept.withColumn("vitals_type", unit_tag(F.col("text"))).withColumn("score", F.round("score", 3))
 
 

@@ -117,7 +117,7 @@ def with_retries(call: Callable, attempts: int, pause: Callable[[float], None] =
 
 
 def request_body(image: str, mime: str) -> dict:
-    """The request of a chat completion with one image."""
+    """The request of a chat completion with one image. The fields of the wire format."""
     content = [{"type": "text", "text": TRANSCRIBE}, {"type": "image_url", "image_url": {"url": f"data:{mime};base64,{image}"}}]
     return {"model": "ocr-engine", "messages": [{"role": "user", "content": content}], "temperature": 0, "max_tokens": 1000}
 
@@ -137,9 +137,11 @@ def http_transcriber(settings: Settings = DEFAULTS) -> Callable[[], Callable]:
     return load
 
 
-def transcribed(items: DataFrame, loader: Callable, settings: Settings = DEFAULTS, tasks: int = 4, content: str = "content", wait: float = 2.0) -> DataFrame:
+def transcribed(items: DataFrame, loader: Callable, settings: Settings = DEFAULTS, tasks: int | None = None, content: str = "content", wait: float = 2.0) -> DataFrame:
     """One row an item: ok with text, or failed with the error. At most settings.concurrency calls run at once,
-    over all tasks. A task that is run again repeats its calls; results go in by upsert, so that does no harm."""
+    over all tasks: as many tasks as the cluster has cores, but not more than calls, share them. A task that is run
+    again repeats its calls; results go in by upsert, so that does no harm."""
+    tasks = tasks or max(1, min(settings.concurrency, items.sparkSession.sparkContext.defaultParallelism))
     threads = max(1, settings.concurrency // tasks)
 
     def run(batches: Iterator[pd.DataFrame]):
@@ -149,7 +151,7 @@ def transcribed(items: DataFrame, loader: Callable, settings: Settings = DEFAULT
             try:
                 image, mime = encoded(bytes(getattr(row, content) or b""), row.file_name, settings.handwritten_max_side)
             except Exception as e:
-                return row.folder_name, row.file_name, "failed", None, f"download/encode error: {e}"
+                return row.folder_name, row.file_name, "failed", None, f"no request image: {e}"
             text, error = with_retries(lambda: ask(image, mime), settings.attempts, wait=wait)
             return row.folder_name, row.file_name, "ok" if error is None else "failed", text, error
 

@@ -58,7 +58,7 @@ def run(spark: SparkSession, items: DataFrame, folder: str, transcriber: Callabl
 
     line_store = "folder_name string, file_name string, lines array<string>"
     done = union_keys(store("printed", line_store), store("handwritten", line_store))
-    todo = manifest(items, done, settings)
+    todo = items.join(written(manifest(items.drop("content"), done, settings)).select(*KEYS, "scan_pos"), [*KEYS, "scan_pos"], "left_semi")
     cache = store("decisions", f"folder_name string, file_name string, decision {stores.DECISION}, run bigint")
     ages = cache.agg(F.coalesce(F.max("run"), F.lit(0)).alias("n")).first().n + 1
     current = stores.last_wins(cache, KEYS, ["run"]).drop("run")

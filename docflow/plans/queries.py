@@ -6,14 +6,20 @@ Inputs are derived by whole-number arithmetic, so Spark and DuckDB start from th
 
 from __future__ import annotations
 
+import base64
+import dataclasses
+import functools
+import json
+import threading
 from collections.abc import Callable
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docflow.config import DEFAULTS, UNITS, VOCABULARY
 from docflow.functions import geometry, text, vectors
-from docflow.operators import classify, images, layout
+from docflow.operators import classify, images, layout, models
 from docflow.sources import manifest, stores
 from docflow.sources.work import work_dir
 from docflow.streaming import ingest
@@ -265,19 +271,62 @@ def vocab_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, kind = F.col("term"), F.col("p_partkey") % 5
     changed = F.when(kind == 0, t).when(kind == 1, F.substring(t, F.lit(1), F.char_length(t) - 1)).when(kind == 2, F.concat(t, F.lit("x"))).when(kind == 3, F.concat(F.lit("q"), F.substring(t, F.lit(2), F.char_length(t)))).otherwise(F.col("p_name"))
     rows = rows.select("p_partkey", "score", changed.alias("text"))
-    return rows.select("p_partkey", "score", "text", text.corrected(F.col("text"), F.col("score")).alias("corrected"))
+    return layout.with_corrections(rows.withColumn("read", F.col("text"))).select("p_partkey", "score", F.col("read").alias("text"), F.col("text").alias("corrected"))
 
 
-@query("SELECT doc_id, base64(encode(coalesce(text, ''))) AS payload FROM documents")
+def requests(rows: DataFrame, folder: Column, file: Column, body: Column) -> DataFrame:
+    """Rows as pages to transcribe: bytes that begin as a JPEG's do go into a request as they are."""
+    return rows.select(folder.cast("string").alias("folder_name"), F.concat(file.cast("string"), F.lit(".jpg")).alias("file_name"), F.concat(F.lit(b"\xff\xd8"), F.coalesce(body, F.lit("")).cast("binary")).alias("content"))
+
+
+def number(name: str) -> Column:
+    """The number that a requested file is named by."""
+    return F.regexp_extract("file_name", r"^(-?\d+)\.jpg$", 1).cast("long").alias(name)
+
+
+@query("SELECT doc_id, 'image/jpeg ' || base64('\\xFF\\xD8'::BLOB || encode(coalesce(text, ''))) AS payload FROM documents")
 def base64_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.base64(F.coalesce("text", F.lit("")).cast("binary"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(body, "[\r\n]", "").alias("payload"))
+    """What a request says: the type and base64 of each page, as the transcription stage makes them."""
+    pages = requests(table(spark, sf_dir, "documents"), F.lit("f"), F.col("doc_id"), F.col("text"))
+    answers = models.transcribed(pages, lambda: lambda image, mime: f"{mime} {image}")
+    return answers.where("status = 'ok'").select(number("doc_id"), F.col("text").alias("payload"))
+
+
+class Echo(BaseHTTPRequestHandler):
+    """A stand-in endpoint: the answer to a page is the text that its bytes hold."""
+
+    protocol_version = "HTTP/1.1"
+
+    def do_POST(self):
+        asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        page = asked["messages"][0]["content"][1]["image_url"]["url"].partition("base64,")[2]
+        said = base64.b64decode(page)[2:].decode()
+        body = json.dumps({"choices": [{"message": {"content": said}}]}).encode()
+        self.send_response(200)
+        self.send_header("Content-Type", "application/json")
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        self.wfile.write(body)
 
+    def log_message(self, *_):
+        pass
 
-@query("SELECT conv_id, turn, text AS content FROM conversations")
+
+@functools.cache
+def endpoint(host: str) -> str:
+    """The stand-in endpoint of this driver; it ends with the process."""
+    server = ThreadingHTTPServer((host, 0), Echo)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    return f"http://{host}:{server.server_port}"
+
+
+@query("SELECT conv_id, turn, coalesce(text, '') AS content FROM conversations")
 def response_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answer = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices")))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.get_json_object(answer, "$.choices[0].message.content").alias("content"))
+    """Texts sent as pages to an endpoint over HTTP, and what its answers say."""
+    settings = dataclasses.replace(DEFAULTS, endpoint=endpoint(spark.conf.get("spark.driver.host", "127.0.0.1")))
+    pages = requests(table(spark, sf_dir, "conversations"), F.col("conv_id"), F.col("turn"), F.col("text"))
+    answers = models.transcribed(pages, models.http_transcriber(settings), settings)
+    return answers.where("status = 'ok'").select(F.col("folder_name").cast("long").alias("conv_id"), number("turn"), F.col("text").alias("content"))
 
 
 @query("""WITH p AS (SELECT doc_id, string_split(text, ' ') AS a, string_split(text, chr(10)) AS b FROM documents)
@@ -285,17 +334,30 @@ def response_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zip_shorter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two arrays joined by place, up to the shorter one's end."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ", -1).alias("a"), F.split("text", "\n", -1).alias("b"))
-    n = F.least(F.size("a"), F.size("b"))
-    pairs = rows.select("doc_id", F.arrays_zip(F.slice("a", F.lit(1), n).alias("a"), F.slice("b", F.lit(1), n).alias("b")).alias("z"))
+    pairs = rows.select("doc_id", vectors.zip_shorter(F.col("a"), F.col("b")).alias("z"))
     return pairs.select("doc_id", F.size("z").alias("n"), F.element_at("z", -1)["a"].alias("last_word"), F.element_at("z", -1)["b"].alias("last_line"))
 
 
 @query(f"SELECT event_id, least(event_id % 5 + 1, {DEFAULTS.attempts})::INT AS attempts, CASE WHEN event_id % 5 < {DEFAULTS.attempts} THEN 'ok' ELSE 'failed' END AS status FROM events")
 def retry_status_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as requests that fail event_id % 5 times: the stored ones and the dead letters."""
-    fails = F.col("event_id") % 5
-    rows = table(spark, sf_dir, "events").select("event_id", F.least(fails + 1, F.lit(DEFAULTS.attempts)).cast("int").alias("attempts"), F.when(fails < DEFAULTS.attempts, "ok").otherwise("failed").alias("status"))
-    return rows.where("status = 'ok'").unionByName(rows.where("status <> 'ok'"))
+
+    def load():
+        seen: dict[str, int] = {}
+
+        def ask(image: str, mime: str) -> str:
+            event = int(base64.b64decode(image)[2:])
+            seen[image] = seen.get(image, 0) + 1
+            if seen[image] <= event % 5:
+                raise RuntimeError(f"failed at attempt {seen[image]}")
+            return f"read at attempt {seen.pop(image)}"
+
+        return ask
+
+    pages = requests(table(spark, sf_dir, "events"), F.lit("f"), F.col("event_id"), F.col("event_id").cast("string"))
+    rows = models.transcribed(pages, load, wait=0.0)
+    attempts = F.regexp_extract(F.coalesce("text", "error"), r"attempt (\d+)$", 1).cast("int").alias("attempts")
+    return rows.select(number("event_id"), attempts, "status")
 
 
 # --- classification ---------------------------------------------------------------------------------------

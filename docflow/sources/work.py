@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,12 @@ _LOCAL: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.setdefault("base", "file://" + tempfile.mkdtemp(prefix="docflow-"))
+    """A new folder below spark.checkpoint.dir; where that is unset a temporary one, but only for a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _LOCAL.setdefault("base", "file://" + tempfile.mkdtemp(prefix="docflow-"))
     return f"{base.rstrip('/')}/docflow-{uuid.uuid4().hex}"
 
 

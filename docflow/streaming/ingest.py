@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docflow.schemas import KEYS
 from docflow.sources.manifest import only_images, without
-from docflow.sources.stores import upsert
+from docflow.sources.stores import last_wins, upsert
 
 
 def latest(spark: SparkSession, folder: str) -> tuple[str | None, int]:
@@ -27,11 +27,23 @@ def latest(spark: SparkSession, folder: str) -> tuple[str | None, int]:
     return (best.toString(), int(best.getName()[1:])) if best is not None else (None, -1)
 
 
-def put(spark: SparkSession, folder: str, rows: DataFrame, keys: list[str] | None = None) -> None:
-    """Writes the next generation: the newest one with the rows put in."""
+def put(spark: SparkSession, folder: str, rows: DataFrame, keys: list[str] | None = None, order: list[str] | None = None) -> None:
+    """Writes the next generation: the newest one with the rows put in, of each key the last in order.
+
+    Rows of one key that order leaves equal go by their other values. A generation that a broken run left half
+    written is written anew. The one before stays for its readers; older ones are deleted.
+    """
     path, number = latest(spark, folder)
-    merged = rows if path is None else upsert(spark.read.parquet(path), rows, keys)
-    merged.write.parquet(f"{folder}/v{number + 1}")
+    keys = keys or KEYS
+    order = order or [c for c in rows.columns if c not in keys]
+    merged = last_wins(rows, keys, order) if path is None else upsert(spark.read.parquet(path), rows, keys, order)
+    merged.select(*rows.columns).write.mode("overwrite").parquet(f"{folder}/v{number + 1}")
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for s in system.listStatus(root):
+        name = s.getPath().getName()
+        if s.isDirectory() and name[1:].isdigit() and int(name[1:]) < number:
+            system.delete(s.getPath(), True)
 
 
 def sink(folder: str, work: Callable[[DataFrame], DataFrame], keys: list[str] | None = None) -> Callable[[DataFrame, int], None]:
