@@ -91,6 +91,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprint": op10_fingerprint,
 }
 
+#: Shingle sets written out, pairs that share a shingle, links by exact counts, and the least key that each reaches.
+NEAR_DUPLICATES_SQL = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+    u AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM s),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS shared FROM u a JOIN u b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+    e AS (SELECT x, y FROM p WHERE 100 * shared >= 85 * (n + m - shared)), e2 AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+    r(doc_id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT e2.y, r.c FROM r JOIN e2 ON r.doc_id = e2.x)
+    SELECT doc_id, len(s) AS n_shingles, c AS component_id, doc_id = c AS kept FROM s JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) USING (doc_id)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op8_minhash": NEAR_DUPLICATES_SQL,
     "op9_chat": chat.oracle_sql("conversations", f"UNION ALL SELECT -7, 0, 'user', '{INJECTED}' UNION ALL SELECT -7, 1, 'assistant', '{INJECTED}'"),
 }
