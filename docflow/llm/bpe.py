@@ -31,7 +31,7 @@ from docflow.llm.common import ByteTable, WordCache, mapped, own, slices, text_o
 #: Fixed value: the pattern by which byte-level BPE splits a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a worker's cache holds; results don't depend on it.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 700_000
 #: Bytes beyond which a word is merged alone, with a heap, and not in a block with others.
 LONG_WORD = 64
 NEVER = np.int64(1 << 62)
@@ -255,8 +255,7 @@ class SpeculativeBpe:
                 parts.append([w for k, x in enumerate(self.special_at.split(text)) for w in ([("", x)] if k % 2 else self.split(x))])
             else:
                 parts.append(self.split(text))
-        every = [w for w in set().union(*parts) if isinstance(w, str)]
-        known = dict(zip(every, self.cache.values(every, self._learn), strict=True))
+        known = self.cache.known({w for w in set().union(*parts) if isinstance(w, str)}, self._learn)
         known.update((("", content), np.array([k], "<i4").tobytes()) for content, k in self.special.items())
         get = known.__getitem__
         return [np.frombuffer(b"".join(map(get, p)), "<i4") for p in parts]
@@ -283,7 +282,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids", dr
 
     def run(batches):
         bpe = load(path)
-        for b in slices(batches, len(kept), rows=256, limit=2 << 20):
+        for b in slices(batches, len(kept), rows=1024, limit=2 << 20):
             ids = bpe.encode_batch(b.column(len(kept)).to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
@@ -316,7 +315,7 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     def run(batches):
         bpe = load(path)
-        for b in slices(batches, 1, rows=256, limit=2 << 20):
+        for b in slices(batches, 1, rows=1024, limit=2 << 20):
             ids = bpe.encode_batch(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [

@@ -92,20 +92,22 @@ class WordCache:
     def __init__(self, most: int):
         self.half, self.new, self.old = max(1, most // 2), {}, {}
 
-    def values(self, words: list, make: Callable[[list], Iterable]) -> list:
-        """The values of distinct words; those of new ones come from `make`."""
-        if self.new and len(self.new) + len(words) > self.half:
-            self.old, self.new = self.new, {}
-        found = list(map(self.new.get, words))
-        lacking = [w for w, v in zip(words, found, strict=True) if v is None]
-        if not lacking:
-            return found
-        before = list(map(self.old.get, lacking))
-        self.new.update((w, v) for w, v in zip(lacking, before, strict=True) if v is not None)
-        fresh = [w for w, v in zip(lacking, before, strict=True) if v is None]
+    def known(self, words: set, make: Callable[[list], Iterable]) -> dict:
+        """A table that has the values of these words; those of new ones come from `make`."""
+        fresh = words - self.new.keys()
+        if fresh and self.new and len(self.new) + len(fresh) > self.half:
+            self.old, self.new, fresh = self.new, {}, words
+        if fresh and self.old:
+            self.new.update((w, v) for w in fresh if (v := self.old.get(w)) is not None)
+            fresh = fresh - self.new.keys()
         if fresh:
-            self.new.update(zip(fresh, make(fresh), strict=True))
-        return list(map(self.new.__getitem__, words))
+            some = list(fresh)
+            self.new.update(zip(some, make(some), strict=True))
+        return self.new
+
+    def values(self, words: list, make: Callable[[list], Iterable]) -> list:
+        """The values of words."""
+        return list(map(self.known(set(words), make).__getitem__, words))
 
 
 class ByteTable:

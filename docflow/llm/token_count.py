@@ -27,7 +27,7 @@ from docflow.llm.common import WordCache, slices, text_or_empty
 
 MARK = "▁"
 #: Parts that a worker's cache holds; results don't depend on it.
-CACHE_PARTS = 400_000
+CACHE_PARTS = 800_000
 SHIFT = 40
 
 
@@ -78,8 +78,7 @@ class HeapCounter:
     def count_batch(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
         found = [self.parts.findall(" " + x.replace(MARK, " ")) if x else [] for x in texts]
-        every = list(set().union(*found))
-        known = dict(zip(every, self.cache.values(every, lambda fresh: list(map(self.count_part, fresh))), strict=True))
+        known = self.cache.known(set().union(*found), lambda fresh: list(map(self.count_part, fresh)))
         return [sum(map(known.__getitem__, x)) for x in found]
 
 

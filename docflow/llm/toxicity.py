@@ -36,7 +36,7 @@ CUT = 0.5
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 #: Words that a worker's cache holds; results don't depend on it.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 700_000
 
 
 def features_of(word: str) -> list[str]:
@@ -148,8 +148,8 @@ class Scorer:
 
     def severities(self, texts: list[str]) -> list[float]:
         words = [LETTERS.findall(x.lower()) for x in texts]
-        every, weights = list(set().union(*words)), self.model.weights
-        known = dict(zip(every, self.cache.values(every, lambda fresh: [tuple(f for f in features_of(w) if f in weights) for w in fresh]), strict=True))
+        weights = self.model.weights
+        known = self.cache.known(set().union(*words), lambda fresh: [tuple(f for f in features_of(w) if f in weights) for w in fresh])
         found = []
         for x in words:
             counts: dict[str, int] = {}
