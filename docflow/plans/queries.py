@@ -14,12 +14,15 @@ import threading
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docflow.config import DEFAULTS, UNITS, VOCABULARY
 from docflow.functions import geometry, text, vectors
 from docflow.operators import classify, images, layout, models
+from docflow.plans import pipeline
+from docflow.schemas import DECISION
 from docflow.sources import manifest, stores
 from docflow.sources.work import work_dir
 from docflow.streaming import ingest
@@ -452,6 +455,38 @@ def config_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.substring(F.sha1(F.lit(DEFAULTS.fingerprint_text())), 1, 12).alias("fingerprint"), F.lit(DEFAULTS.fingerprint()).alias("planned"))
 
 
+def jvm_jpeg(spark: SparkSession, grey: np.ndarray) -> bytes:
+    """Grey pixels as a JPEG file, by the JVM's own writer."""
+    jvm = spark._jvm
+    height, width = grey.shape
+    picture = jvm.java.awt.image.BufferedImage(width, height, 10)
+    samples = spark.sparkContext._gateway.new_array(jvm.int, grey.size)
+    for k, x in enumerate(grey.ravel().tolist()):
+        samples[k] = x
+    picture.getRaster().setPixels(0, 0, width, height, samples)
+    out = jvm.java.io.ByteArrayOutputStream()
+    jvm.javax.imageio.ImageIO.write(picture, "jpg", out)
+    return bytes(out.toByteArray())
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN 'error' WHEN 3 THEN 'error' ELSE 'tile_vote' END AS decision, doc_id % 4 < 2 AS is_handwritten,
+    CASE WHEN doc_id % 4 < 2 THEN 6 END::INT AS non_blank_tiles, doc_id % 4 >= 2 AS has_error FROM documents""")
+def image_run_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages that only their tiles decide: PNG, JPEG, a damaged PNG and a damaged JPEG in turn."""
+    page = np.full((48, 48), 255, np.uint8)
+    page[::4] = 0
+    jpeg = jvm_jpeg(spark, page)
+    pages = [images.encode_png(images.three_channels(page)), jpeg, images.SIGNATURE, jpeg[:30]]
+    score = lambda: lambda batch: [(0.5, 0.5) if x in pages else (0.05, 0.95) for x in batch]
+    kind = (F.col("doc_id") % 4 + 1).cast("int")
+    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".png").otherwise(".jpg"))
+    items = table(spark, sf_dir, "documents").select(F.lit("f").alias("folder_name"), name.alias("file_name"), F.element_at(F.array(*map(F.lit, pages)), kind).alias("content"))
+    cache = spark.createDataFrame([], f"folder_name string, file_name string, decision {DECISION}")
+    decided = pipeline.classified(items, cache, score)
+    number = F.regexp_extract("file_name", r"^(-?\d+)", 1).cast("long").alias("doc_id")
+    return decided.select(number, "decision.decision", "decision.is_handwritten", "decision.non_blank_tiles", F.col("decision.error").isNotNull().alias("has_error"))
+
+
 @query()
 def ink_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bytes of each text as the grey pixels of an image of one line."""
