@@ -67,19 +67,15 @@ UNITS = (
 EXTENSIONS = (".jpg", ".jpeg", ".png")
 
 
-def whole(text: str | None, default: int | None) -> int | None:
-    """An integer setting; unset keeps the default, 'unlimited' lifts a cap."""
-    if text in (None, "", "None"):
+def parsed(text: str | None, default):
+    """A setting from its text, by the type of its default, which stands where nothing is given; 'unlimited' lifts a
+    cap. Of flags only 'true', in any case, is true."""
+    kind = type(default)
+    if kind is bool:
+        return default if text is None else text.strip().lower() == "true"
+    if not text or (kind is not str and text == "None"):
         return default
-    return None if text.strip().lower() == "unlimited" else int(text)
-
-
-def number(text: str | None, default: float) -> float:
-    return default if text in (None, "", "None") else float(text)
-
-
-def flag(text: str | None, default: bool) -> bool:
-    return default if text is None else text.strip().lower() == "true"
+    return None if kind is int and text.strip().lower() == "unlimited" else kind(text)
 
 
 def _env(name: str, default):
@@ -136,17 +132,12 @@ class Settings:
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None) -> Settings:
         env = dict(os.environ) if env is None else env
-        found = {}
-        for f in fields(cls):
-            if "env" not in f.metadata:
-                continue
-            text, default = env.get(f.metadata["env"]), f.default
-            read = flag if isinstance(default, bool) else whole if isinstance(default, int) else number if isinstance(default, float) else None
-            found[f.name] = read(text, default) if read else text or default
+        found = {f.name: parsed(env.get(f.metadata["env"]), f.default) for f in fields(cls) if "env" in f.metadata}
         return cls(**found)
 
     def fingerprint_text(self) -> str:
-        """What decisions of the classifier depend on, joined by bars."""
+        """What decisions of the classifier depend on, joined by bars. The parts and their order, so that
+        fingerprints of caches that are there stay what they are."""
         parts = [
             self.classifier_name, self.classifier_weights, self.tile_grid,
             self.structural_enabled, self.structural_min_lines, self.structural_min_fraction, self.structural_both_axes,

@@ -7,8 +7,6 @@ DECISION = (
     "struct<is_handwritten: boolean, _cfg: string, decision: string, reason: string, handwritten_ratio: double, "
     "non_blank_tiles: int, global_printed_prob: double, global_handwritten_prob: double, error: string>"
 )
-NESTED_LINES = f"map<string, map<string, {LINES}>>"
-NESTED_DECISIONS = f"map<string, map<string, {DECISION}>>"
 READINGS = "array<struct<box: array<int>, text: string, score: double>>"
 TRANSCRIPTION = "folder_name string, file_name string, status string, text string, error string"
 IMAGE = "struct<height: int, width: int, data: binary>"
