@@ -116,6 +116,7 @@ class Settings:
     long_text_chars: int = 25
     long_text_confidence: float = _env("PADDLE_LONG_TEXT_CONFIDENCE_THRESHOLD", 0.35)
     recogniser_batch: int = _env("PADDLE_BATCH_SIZE", 16)
+    printed_save_every: int = _env("PADDLE_SAVE_EVERY", 50)
     vocabulary_gate: float = 0.85
     vocabulary_threshold: int = 82
     row_tolerance: int = 15
@@ -127,6 +128,7 @@ class Settings:
     timeout_s: int = _env("HANDWRITTEN_TIMEOUT", 120)
     attempts: int = _env("HANDWRITTEN_MAX_RETRIES", 3)
     concurrency: int = _env("HANDWRITTEN_CONCURRENCY", 24)
+    handwritten_save_every: int = _env("HANDWRITTEN_SAVE_EVERY", 10)
     manage_host: bool = _env("AUTO_MANAGE_EC2", False)
 
     @classmethod

@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from docflow.config import DEFAULTS, TRANSCRIBE, Settings
 from docflow.operators.images import encoded
-from docflow.schemas import READINGS, TRANSCRIPTION
+from docflow.schemas import READ, TRANSCRIPTION
+from docflow.sources.journal import keeping
 
 _LOADED: dict[Callable, object] = {}
 
@@ -76,9 +78,9 @@ def scored(rows: DataFrame, keys: list[str], loader: Callable = stand_in_scorer,
     return rows.select(*kept, data).mapInPandas(run, schema)
 
 
-def recognised(rows: DataFrame, keys: list[str], loaders: dict[str, Callable], data: str = "content", batch: int = DEFAULTS.recogniser_batch) -> DataFrame:
-    """Boxes of all engines: keys, engine, ins, box, text, score; a batch that fails gives its items' error rows."""
-    schema = ", ".join(f"`{k}` string" for k in keys) + f", readings {READINGS}, error string"
+def recognised(rows: DataFrame, keys: list[str], loaders: dict[str, Callable], data: str = "content", batch: int = DEFAULTS.recogniser_batch, journal: str | None = None, every: int = DEFAULTS.printed_save_every) -> DataFrame:
+    """Readings of all engines by item; a batch that fails gives its items' error rows. See journal.keeping."""
+    schema = ", ".join(f"`{k}` string" for k in keys) + ", " + READ
 
     def run(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
@@ -94,7 +96,8 @@ def recognised(rows: DataFrame, keys: list[str], loaders: dict[str, Callable], d
                     out["readings"], out["error"] = None, str(e)
                 yield out
 
-    return rows.select(*keys, data).mapInPandas(run, schema)
+    step = keeping(rows.sparkSession, run, schema, journal, every) if journal else run
+    return rows.select(*keys, data).mapInPandas(step, schema)
 
 
 def boxes_of(readings: DataFrame, keys: list[str]) -> DataFrame:
@@ -137,12 +140,13 @@ def http_transcriber(settings: Settings = DEFAULTS) -> Callable[[], Callable]:
     return load
 
 
-def transcribed(items: DataFrame, loader: Callable, settings: Settings = DEFAULTS, tasks: int | None = None, content: str = "content", wait: float = 2.0) -> DataFrame:
+def transcribed(items: DataFrame, loader: Callable, settings: Settings = DEFAULTS, tasks: int | None = None, content: str = "content", wait: float = 2.0, journal: str | None = None) -> DataFrame:
     """One row an item: ok with text, or failed with the error. At most settings.concurrency calls run at once,
     over all tasks: as many tasks as the cluster has cores, but not more than calls, share them. A task that is run
-    again repeats its calls; results go in by upsert, so that does no harm."""
+    again repeats its calls; of each key one result counts, so that does no harm. With a journal, answers are kept
+    there as they come, settings.handwritten_save_every at a time."""
     tasks = tasks or max(1, min(settings.concurrency, items.sparkSession.sparkContext.defaultParallelism))
-    threads = max(1, settings.concurrency // tasks)
+    threads, every = max(1, settings.concurrency // tasks), max(1, settings.handwritten_save_every)
 
     def run(batches: Iterator[pd.DataFrame]):
         ask = loaded(loader)
@@ -157,9 +161,12 @@ def transcribed(items: DataFrame, loader: Callable, settings: Settings = DEFAULT
 
         with ThreadPoolExecutor(threads) as pool:
             for pdf in batches:
-                yield pd.DataFrame(list(pool.map(one, pdf.itertuples(index=False))), columns=["folder_name", "file_name", "status", "text", "error"])
+                answers = pool.map(one, pdf.itertuples(index=False))
+                while some := list(islice(answers, every)):
+                    yield pd.DataFrame(some, columns=["folder_name", "file_name", "status", "text", "error"])
 
-    return items.select("folder_name", "file_name", content).repartition(tasks).mapInPandas(run, TRANSCRIPTION)
+    step = keeping(items.sparkSession, run, TRANSCRIPTION, journal, every) if journal else run
+    return items.select("folder_name", "file_name", content).repartition(tasks).mapInPandas(step, TRANSCRIPTION)
 
 
 @contextmanager

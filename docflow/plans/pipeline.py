@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import AbstractContextManager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,11 +11,18 @@ from pyspark.sql import functions as F
 from docflow.config import DEFAULTS, Settings
 from docflow.functions.text import lines
 from docflow.operators import classify, images, layout, models
-from docflow.schemas import KEYS
-from docflow.sources import stores
+from docflow.schemas import KEYS, READ, TRANSCRIPTION
+from docflow.sources import journal, stores
 from docflow.sources.manifest import manifest, union_keys, without
 from docflow.sources.work import written
 
+LINE_STORE = "folder_name string, file_name string, lines array<string>"
+
+
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a store; one that isn't there is empty."""
+    return spark.read.schema(schema).parquet(path) if journal.exists(spark, path) else spark.createDataFrame([], schema)
+
 
 def classified(items: DataFrame, cache: DataFrame, scorer: Callable = models.stand_in_scorer, settings: Settings = DEFAULTS) -> DataFrame:
     """Items (keys, content, scan_pos) with their decision, cached or new."""
@@ -33,47 +41,90 @@ def classified(items: DataFrame, cache: DataFrame, scorer: Callable = models.sta
     return hits.unionByName(misses.join(decided, KEYS))
 
 
-def read_printed(items: DataFrame, done: DataFrame, loaders: dict[str, Callable] | None = None, settings: Settings = DEFAULTS) -> DataFrame:
-    """(keys, lines) of printed items not done yet; items that failed are left out and tried by the next run."""
-    loaders = loaders or {"first": models.stand_in_recogniser, "second": models.stand_in_recogniser}
-    readings = models.recognised(without(items, done), KEYS, loaders)
+def printed_lines(readings: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """(keys, lines) of the readings without an error."""
     found = layout.page_lines(models.boxes_of(readings, KEYS), settings).select("page.*", "lines")
     read = readings.where("error is null").select(*KEYS)
     return read.join(found, KEYS, "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
 
 
+def handwritten_lines(rows: DataFrame) -> DataFrame:
+    """(keys, lines) of the transcriptions that came."""
+    return rows.where("status = 'ok'").select(*KEYS, lines(F.col("text")).alias("lines"))
+
+
+def read_printed(items: DataFrame, done: DataFrame, loaders: dict[str, Callable] | None = None, settings: Settings = DEFAULTS, journal: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(keys, lines) of printed items not done yet, and the rows that failed, which the next run tries again."""
+    loaders = loaders or {"first": models.stand_in_recogniser, "second": models.stand_in_recogniser}
+    todo = without(items, done)
+    readings = written(models.recognised(todo, KEYS, loaders, batch=settings.recogniser_batch, journal=journal, every=settings.printed_save_every))
+    return printed_lines(readings, settings), readings.where("error is not null")
+
+
 def read_handwritten(items: DataFrame, done: DataFrame, transcriber: Callable, settings: Settings = DEFAULTS, **more) -> tuple[DataFrame, DataFrame]:
-    """(keys, lines) of handwritten items not done yet, and the rows that failed."""
-    rows = models.transcribed(without(items, done), transcriber, settings, **more)
-    return rows.where("status = 'ok'").select(*KEYS, lines(F.col("text")).alias("lines")), rows.where("status <> 'ok'")
+    """(keys, lines) of handwritten items not done yet, and the rows that failed. The calls are made here, once."""
+    rows = written(models.transcribed(without(items, done), transcriber, settings, **more))
+    return handwritten_lines(rows), rows.where("status <> 'ok'")
+
 
+def run(
+    spark: SparkSession, items: DataFrame, folder: str, transcriber: Callable, scorer: Callable = models.stand_in_scorer, loaders: dict[str, Callable] | None = None, settings: Settings = DEFAULTS,
+    fetch: Callable[[DataFrame], DataFrame] | None = None, host: Callable[[], AbstractContextManager] = nullcontext, **more
+) -> dict[str, int]:
+    """The whole run over items (manifest columns, and content if fetch doesn't add it); stores are kept below the
+    folder as Parquet.
 
-def run(spark: SparkSession, items: DataFrame, folder: str, transcriber: Callable, scorer: Callable = models.stand_in_scorer, loaders: dict[str, Callable] | None = None, settings: Settings = DEFAULTS, **more) -> dict[str, int]:
-    """The whole run over items (manifest columns and content); stores are kept below the folder as Parquet.
+    Each stage's rows are appended by one job that commits whole; what a stage has read is also kept in a journal
+    while it runs, and the run after a broken one takes that up. fetch adds content and error to the items to do.
+    host is up while handwritten pages are read, if there are any.
 
-    Each stage's rows are appended by one job that commits whole, so a run that breaks off is taken up by the next.
+    The result counts the stores' rows (images, printed, handwritten), and of this run the items to do (todo), those
+    with a cached decision (from_cache), decisions that are errors (undecided) and items not fetched or read (failed).
     """
-    def store(name: str, empty: str) -> DataFrame:
-        return spark.read.schema(empty).option("mergeSchema", False).parquet(f"{folder}/{name}") if _exists(spark, f"{folder}/{name}") else spark.createDataFrame([], empty)
-
-    line_store = "folder_name string, file_name string, lines array<string>"
-    done = union_keys(store("printed", line_store), store("handwritten", line_store))
-    todo = items.join(written(manifest(items.drop("content"), done, settings)).select(*KEYS, "scan_pos"), [*KEYS, "scan_pos"], "left_semi")
-    cache = store("decisions", f"folder_name string, file_name string, decision {stores.DECISION}, run bigint")
-    ages = cache.agg(F.coalesce(F.max("run"), F.lit(0)).alias("n")).first().n + 1
-    current = stores.last_wins(cache, KEYS, ["run"]).drop("run")
-    decisions = classified(todo, current, scorer, settings)
-    decisions.select(*KEYS, "decision", F.lit(ages).alias("run")).write.mode("append").parquet(f"{folder}/decisions")
-    fresh = store("decisions", f"folder_name string, file_name string, decision {stores.DECISION}, run bigint").where(F.col("run") == ages)
-    routed = todo.join(fresh.select(*KEYS, "decision"), KEYS)
-    printed, handwritten = classify.routed(routed)
-    read_printed(printed, store("printed", line_store), loaders, settings).write.mode("append").parquet(f"{folder}/printed")
-    ok, failed = read_handwritten(handwritten, store("handwritten", line_store), transcriber, settings, **more)
+    decision_store = f"folder_name string, file_name string, decision {stores.DECISION}, run bigint"
+    printed_journal, handwritten_journal = f"{folder}/journal/printed", f"{folder}/journal/handwritten"
+
+    store = lambda name, schema=LINE_STORE: stored(spark, f"{folder}/{name}", schema)
+
+    def take_up(name: str, path: str, schema: str, work: Callable[[DataFrame], DataFrame]) -> None:
+        """Appends what a broken run's journal has and the store lacks."""
+        if journal.exists(spark, path):
+            found = work(spark.read.schema(schema).parquet(path))
+            without(found, store(name)).write.mode("append").parquet(f"{folder}/{name}")
+            journal.delete(spark, path)
+
+    take_up("printed", printed_journal, ", ".join(f"{k} string" for k in KEYS) + ", " + READ, lambda rows: printed_lines(journal.once(rows.where("error is null")), settings))
+    take_up("handwritten", handwritten_journal, TRANSCRIPTION, lambda rows: handwritten_lines(journal.once(rows.where("status = 'ok'"))))
+
+    done = union_keys(store("printed"), store("handwritten"))
+    new = written(manifest(items.drop("content"), done, settings))
+    failed = 0
+    if fetch:
+        fetched = written(fetch(new))
+        todo, failed = fetched.where("error is null").drop("error"), fetched.where("error is not null").count()
+    else:
+        todo = items.join(new.select(*KEYS, "scan_pos"), [*KEYS, "scan_pos"], "left_semi")
+
+    cache = store("decisions", decision_store)
+    number = cache.agg(F.coalesce(F.max("run"), F.lit(0)).alias("n")).first().n + 1
+    current = written(stores.last_wins(cache, KEYS, ["run"]).drop("run"))
+    cached = classify.cache_split(todo.select(*KEYS), current, settings)[0].count()
+    classified(todo, current, scorer, settings).select(*KEYS, "decision", F.lit(number).alias("run")).write.mode("append").parquet(f"{folder}/decisions")
+    fresh = store("decisions", decision_store).where(F.col("run") == number)
+    errors, hands = fresh.agg(F.count_if(F.expr("decision.error is not null")), F.count_if("decision.is_handwritten")).first()
+
+    printed, handwritten = classify.routed(todo.join(fresh.select(*KEYS, "decision"), KEYS))
+    read, unread = read_printed(printed, store("printed"), loaders, settings, printed_journal)
+    read.write.mode("append").parquet(f"{folder}/printed")
+    journal.delete(spark, printed_journal)
+    with host() if hands else nullcontext():
+        ok, lost = read_handwritten(handwritten, store("handwritten"), transcriber, settings, journal=handwritten_journal, **more)
     ok.write.mode("append").parquet(f"{folder}/handwritten")
-    a, b = store("printed", line_store).count(), store("handwritten", line_store).count()
-    return {"images": a + b, "printed": a, "handwritten": b}
+    journal.delete(spark, handwritten_journal)
+    a, b = store("printed").count(), store("handwritten").count()
+    return {"images": a + b, "printed": a, "handwritten": b, "todo": new.count(), "from_cache": cached, "undecided": errors, "failed": failed + unread.count() + lost.count()}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+def report(spark: SparkSession, folder: str) -> DataFrame:
+    """One row an image of a run's stores: see stores.report."""
+    return stores.report(*(stored(spark, f"{folder}/{name}", LINE_STORE) for name in ("printed", "handwritten")))

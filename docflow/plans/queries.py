@@ -487,7 +487,18 @@ def image_run_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select(number, "decision.decision", "decision.is_handwritten", "decision.non_blank_tiles", F.col("decision.error").isNotNull().alias("has_error"))
 
 
-@query()
+#: Otsu's level from the distinct bytes of each text; a text of one byte only has its level at 0.
+INK_SQL = """WITH b AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents WHERE text <> ''),
+    c AS (SELECT doc_id, ('0x' || h)::INT AS level, count(*) AS k FROM b GROUP BY ALL),
+    s AS (SELECT doc_id, level, k, sum(k) OVER w AS below, sum(k * level) OVER w AS mass, sum(k) OVER e AS n, sum(k * level) OVER e AS whole FROM c
+        WINDOW w AS (PARTITION BY doc_id ORDER BY level), e AS (PARTITION BY doc_id)),
+    v AS (SELECT doc_id, below::DOUBLE / n AS ink, level, ((whole * below)::DOUBLE / n - mass) AS d, (below * (n - below))::DOUBLE AS both_ FROM s WHERE below < n),
+    best AS (SELECT doc_id, ink FROM v QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d * d / both_ DESC, level) = 1),
+    same AS (SELECT doc_id, max(level) AS level FROM c GROUP BY doc_id)
+    SELECT doc_id, round(coalesce(best.ink, CASE WHEN same.level = 0 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS ink FROM documents LEFT JOIN best USING (doc_id) LEFT JOIN same USING (doc_id)"""
+
+
+@query(INK_SQL)
 def ink_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bytes of each text as the grey pixels of an image of one line."""
     body = F.coalesce("text", F.lit("")).cast("binary")

@@ -8,5 +8,6 @@ DECISION = (
     "non_blank_tiles: int, global_printed_prob: double, global_handwritten_prob: double, error: string>"
 )
 READINGS = "array<struct<box: array<int>, text: string, score: double>>"
+READ = f"readings {READINGS}, error string"
 TRANSCRIPTION = "folder_name string, file_name string, status string, text string, error string"
 IMAGE = "struct<height: int, width: int, data: binary>"

@@ -1,0 +1,75 @@
+"""Journals: rows of a stage kept while it runs, so that a run that breaks off loses few that it has paid for.
+
+A stage's results are written by one job, which commits whole. Beside that its tasks write what they have, a file for
+some rows at a time, to a journal. A run that ends well deletes it; the next run after a broken one takes it up.
+Tasks that are run again write rows again, so of each key one row counts.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from docflow.schemas import KEYS
+
+
+def place(spark: SparkSession, path: str):
+    """The path as Hadoop has it, and its file system."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(found), system
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    found, system = place(spark, path)
+    return system.exists(found)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    found, system = place(spark, path)
+    system.delete(found, True)
+
+
+def keeping(spark: SparkSession, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, path: str, every: int) -> Callable:
+    """A function for mapInPandas as run is, whose rows also go to files below the path, at least `every` in each.
+
+    A file gets its name when it is whole. The path must be on a file system that pyarrow can open.
+    """
+    uri = place(spark, path)[0].toString()
+    uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file:///") else uri
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, folder = fs.FileSystem.from_uri(uri)
+        waiting, n = [], 0
+
+        def flush() -> None:
+            name = f"{uuid.uuid4().hex}.parquet"
+            system.create_dir(folder, recursive=True)
+            pq.write_table(pa.Table.from_batches(waiting), f"{folder}/_{name}", filesystem=system)
+            system.move(f"{folder}/_{name}", f"{folder}/{name}")
+
+        for rows in run(batches):
+            waiting.append(pa.RecordBatch.from_pandas(rows, fields, preserve_index=False))
+            n += len(rows)
+            if n >= every:
+                flush()
+                waiting, n = [], 0
+            yield rows
+        if n:
+            flush()
+
+    return step
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """One row of each key."""
+    return rows.dropDuplicates(KEYS)

@@ -108,7 +108,8 @@ class ListingSource(DataSource):
 def downloaded(files: DataFrame, url: str, params: dict[str, str] | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """Adds content and error to rows with a file_id: GET <url>/<file_id>?alt=media, by several threads in a task.
 
-    Put this behind everything that drops rows. A file that can't be fetched has null content and the error.
+    Put this behind everything that drops rows. A file that can't be fetched has null content and the error. A task
+    holds the bytes of a few files by thread.
     """
     more = {"alt": "media"} | (params or {})
     schema = files.select("*", F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("error")).schema
@@ -120,10 +121,13 @@ def downloaded(files: DataFrame, url: str, params: dict[str, str] | None = None,
             return None, str(e)
 
     def run(batches):
-        with ThreadPoolExecutor(max(1, settings.download_workers)) as pool:
+        threads = max(1, settings.download_workers)
+        with ThreadPoolExecutor(threads) as pool:
             for pdf in batches:
-                found = list(pool.map(fetch, pdf["file_id"]))
-                yield pdf.assign(content=[c for c, _ in found], error=[e for _, e in found])
+                for k in range(0, len(pdf), 4 * threads):
+                    some = pdf.iloc[k : k + 4 * threads]
+                    found = list(pool.map(fetch, some["file_id"]))
+                    yield some.assign(content=[c for c, _ in found], error=[e for _, e in found])
 
     return files.mapInPandas(run, schema)
 

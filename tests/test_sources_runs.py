@@ -6,12 +6,14 @@ import os
 import struct
 import threading
 import zlib
+from contextlib import contextmanager
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docflow.__main__ import main
 from docflow.config import DEFAULTS, Settings
 from docflow.operators import images, models
 from docflow.plans import pipeline
@@ -274,15 +276,91 @@ def test_whole_run_is_resumed(spark, folder):
     hand = lambda: lambda batch: [(0.05, 0.95) for _ in batch]
     first = pipeline.run(spark, items, out, echo, hand, settings=settings, tasks=2, wait=0.0)
     assert first["images"] == first["handwritten"] == 3 and first["printed"] == 0
+    assert (first["todo"], first["from_cache"], first["undecided"], first["failed"]) == (5, 0, 0, 2)
     rows = spark.read.parquet(f"{out}/handwritten").collect()
     assert all(r.lines == ["read", "image/png"] for r in rows)
     again = pipeline.run(spark, items, out, echo, hand, settings=settings, tasks=2, wait=0.0)
-    assert again == first
+    assert again == first | {"todo": 2, "from_cache": 2}
+    assert not os.path.exists(f"{folder}/out/journal/handwritten") and pipeline.report(spark, out).count() == 3
     printed = lambda: lambda batch: [(0.95, 0.05) for _ in batch]
     other = pipeline.run(spark, items, f"file://{folder}/other", echo, printed, settings=settings, tasks=2, wait=0.0)
     assert other["printed"] == other["images"] == 5
 
 
+@pytest.mark.parametrize("stage", ["handwritten", "printed"])
+def test_run_takes_up_what_a_broken_one_has_read(spark, tmp_path, stage):
+    """The first run breaks off at its fifth page; the second only reads what the journal lacks."""
+    for k in range(6):
+        (tmp_path / "in" / "f").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / "f" / f"{k}.png").write_bytes(images.encode_png(np.full((30, 20, 3), 40 * k, np.uint8)))
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def count(limit: int) -> None:
+        if len(list(asked.iterdir())) >= limit:
+            raise SystemExit("the worker is gone")
+        (asked / str(len(list(asked.iterdir())))).touch()
+
+    def transcriber(limit: int):
+        def ask(image, mime):
+            count(limit)
+            return "read"
+
+        return lambda: ask
+
+    def recogniser(limit: int):
+        def read(batch):
+            count(limit)
+            return [[([0, 0, 90, 20], "read", 0.9)] for _ in batch]
+
+        return {"one": lambda: read}
+
+    score = (0.05, 0.95) if stage == "handwritten" else (0.95, 0.05)
+    scorer = lambda: lambda batch: [score for _ in batch]
+    settings = Settings(fetch_limit=None, max_raw_scan=None, attempts=1, concurrency=1, recogniser_batch=1, printed_save_every=1, handwritten_save_every=2)
+    items = manifest.image_files(spark, f"file://{tmp_path}/in").withColumn("scan_pos", F.xxhash64("file_id")).coalesce(1)
+    run = lambda limit: pipeline.run(spark, items, f"file://{tmp_path}/out", transcriber(limit), scorer, recogniser(limit), settings, tasks=1, wait=0.0)
+    with pytest.raises(Exception, match="the worker is gone|SystemExit|Python worker"):
+        run(4)
+    kept = spark.read.parquet(f"file://{tmp_path}/out/journal/{stage}").count()
+    assert 1 <= kept <= 4
+    counts = run(100)
+    assert counts["images"] == counts[stage] == 6 and counts["todo"] == 6 - kept and counts["from_cache"] == 6 - kept
+    assert len(list(asked.iterdir())) == 4 + 6 - kept
+    rows = spark.read.parquet(f"file://{tmp_path}/out/{stage}").collect()
+    assert sorted(r.file_name for r in rows) == [f"{k}.png" for k in range(6)] and all(r.lines == ["read"] for r in rows)
+    assert not (tmp_path / "out" / "journal" / stage).exists()
+
+
+def test_command_line(spark, tmp_path, service, monkeypatch, capsys):
+    monkeypatch.setenv("HANDWRITTEN_MAX_RETRIES", "1")
+    monkeypatch.setenv("HANDWRITTEN_ENDPOINT", "http://127.0.0.1:9")
+    store = f"file://{tmp_path}/out"
+    where = ["--root", "root", "--url", service, "--store", store]
+    main(["preview", *where, "-n", "2"], spark)
+    assert "only showing top 2 rows" in capsys.readouterr().out
+    counts = main(["run", *where], spark)
+    assert counts["todo"] == 4 and counts["failed"] >= 1 and counts["images"] + counts["failed"] == 4
+    main(["report", "--store", store, "--out", f"file://{tmp_path}/csv"], spark)
+    assert spark.read.option("header", True).option("multiLine", True).csv(f"file://{tmp_path}/csv").count() == counts["images"]
+
+
+def test_host_is_up_only_for_handwritten_pages(spark, folder):
+    seen = []
+
+    @contextmanager
+    def host():
+        seen.append("up")
+        yield
+        seen.append("down")
+
+    items = manifest.image_files(spark, f"file://{folder}/in").withColumn("scan_pos", F.xxhash64("file_id"))
+    for k, score in enumerate([(0.95, 0.05), (0.05, 0.95)]):
+        scorer = lambda score=score: lambda batch: [score for _ in batch]
+        pipeline.run(spark, items, f"file://{folder}/out{k}", lambda: lambda image, mime: "x", scorer, settings=Settings(attempts=1), host=host, wait=0.0)
+    assert seen == ["up", "down"]
+
+
 def png(head: tuple, raw: bytes, palette: bytes = b"") -> bytes:
     chunk = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
     return images.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", *head)) + (chunk(b"PLTE", palette) if palette else b"") + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
