@@ -421,7 +421,7 @@ def test_open_jpeg_pages_and_pages_that_cannot_be_read(spark, tmp_path):
     assert got["ruled.jpg"].decision == "structural_table_override"
     for name in ("cut.jpg", "bad.jpeg", "bad.png"):
         assert got[name].decision == "error" and got[name].error and not got[name].is_handwritten
-    assert counts == {"images": 7, "printed": 4, "handwritten": 3}
+    assert counts == {"images": 7, "printed": 4, "handwritten": 3, "todo": 7, "from_cache": 0, "undecided": 3, "failed": 0}
 
 
 def test_generations(spark, tmp_path):
