@@ -53,6 +53,23 @@ def own(names: Iterable[str]) -> list[Column]:
     return [F.col(quoted(c)) for c in names]
 
 
+def besides(columns: Iterable[str], *names: str) -> list[str]:
+    """The columns but those of these names, in any case."""
+    gone = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in gone]
+
+
+def free(columns: Iterable[str], *names: str) -> list[str]:
+    """These names, each with as many underscores in front as it takes to differ from all columns in any case."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -70,6 +87,15 @@ def mapped(rows: DataFrame, run: Callable, schema: StructType) -> DataFrame:
     return plain.mapInArrow(lambda batches: (b.rename_columns(names) for b in run(batches)), numbered).toDF(*schema.names)
 
 
+def placed(rows: DataFrame, order: list[Column], part: str, row: str) -> DataFrame:
+    """Rows sorted in ranges of the order, kept in the shared folder, with the range (part) and a number that grows by one
+    from row to row of a range. Rows that tie are in any order, so that ranges may part them."""
+    (spread,) = free([*rows.columns, part, row], "spread")
+    dealt = rows.withColumn(spread, F.monotonically_increasing_id())
+    dealt = dealt.repartitionByRange(*order, F.col(spread)).sortWithinPartitions(*order, F.col(spread)).drop(spread)
+    return written(dealt.withColumn(row, F.monotonically_increasing_id()).withColumn(part, F.shiftright(row, 33)), "ranges")
+
+
 def slices(batches, text: int, rows: int = 1024, limit: int = 8 << 20):
     """Record batches cut so that each has at most `rows` rows and about `limit` bytes of column `text`."""
     for batch in batches:

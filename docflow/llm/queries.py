@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docflow.llm import bpe, chat, fingerprint, media, minhash, mixing, sharding, token_count, token_files, toxicity
+from docflow.llm import bpe, chat, fingerprint, importance, media, merkle, minhash, mixing, pieces, sharding, token_count, token_files, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -78,6 +78,18 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compared(table(spark, sf_dir, "documents"), rolled=True)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
@@ -89,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_chat": op9_chat,
     "op10_fingerprint": op10_fingerprint,
+    "op11_merkle": op11_merkle,
+    "op12_pieces": op12_pieces,
+    "op13_importance": op13_importance,
 }
 
 #: Shingle sets written out, pairs that share a shingle, links by exact counts, and the least key that each reaches.

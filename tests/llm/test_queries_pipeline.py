@@ -13,8 +13,8 @@ from docflow.llm import bpe, media, minhash, toxicity
 from docflow.llm.queries import ORACLE_SQL, QUERIES, tokenizer
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
