@@ -24,6 +24,7 @@ from docflow.operators import classify, images, layout, models
 from docflow.plans import pipeline
 from docflow.schemas import DECISION
 from docflow.sources import manifest, stores
+from docflow.sources.buckets import Buckets
 from docflow.sources.work import work_dir
 from docflow.streaming import ingest
 
@@ -167,12 +168,28 @@ def store_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT conv_id, turn, len({lines_sql('text')})::INT AS n_lines FROM conversations")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A streaming run over a table that is there, put into a store that is then read."""
+    """A streaming run over a table that is there, put into a keyed table that is then read."""
     path, folder = f"{sf_dir}/conversations.parquet", work_dir(spark)
     items = spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", True).parquet(path)
     work = lambda rows: rows.select("conv_id", "turn", F.size(text.lines(F.col("text"))).alias("n_lines"))
     ingest.ingest(items, f"{folder}/store", f"{folder}/checkpoint", work, ["conv_id", "turn"])
-    return spark.read.parquet(ingest.latest(spark, f"{folder}/store")[0])
+    return Buckets(spark, f"{folder}/store", ["conv_id", "turn"]).rows()
+
+
+VERSIONS = 3
+
+
+@query(f"""SELECT doc_id % 4000 AS item, doc_id % {VERSIONS} AS version, doc_id, n_chars FROM documents
+    QUALIFY row_number() OVER (PARTITION BY doc_id % 4000 ORDER BY doc_id % {VERSIONS} DESC, doc_id DESC) = 1""")
+def keyed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as versions of items, committed to a keyed table in several batches, the first of them twice; of an item
+    the last batch counts, and within it the last document."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select((F.col("doc_id") % 4000).alias("item"), (F.col("doc_id") % VERSIONS).alias("version"), "doc_id", "n_chars")
+    store = Buckets(spark, f"{work_dir(spark)}/items", ["item"], 16)
+    for k in (0, *range(VERSIONS)):
+        store.put(rows.where(F.col("version") == k), ["doc_id"], "versions", k)
+    return store.rows()
 
 
 # --- boxes, reading order ---------------------------------------------------------------------------------

@@ -1,7 +1,7 @@
-"""Incremental runs: new files as a stream, results put into a Parquet store batch by batch.
+"""Incremental runs: new files as a stream, results put into a keyed table batch by batch.
 
-The stream's checkpoint remembers files, the anti-join results; together a broken run is taken up without
-doing work twice. A store is a folder of generations, of which the latest with its _SUCCESS counts.
+The stream's checkpoint remembers files, the table the keys and the last batch of each stream; together a broken run is
+taken up without doing work twice. What a batch writes follows the batch, not the table (see sources.buckets).
 """
 
 from __future__ import annotations
@@ -11,57 +11,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docflow.schemas import KEYS
-from docflow.sources.manifest import only_images, without
-from docflow.sources.stores import last_wins, upsert
+from docflow.sources.buckets import Buckets
+from docflow.sources.manifest import only_images
 
 
-def latest(spark: SparkSession, folder: str) -> tuple[str | None, int]:
-    """The newest complete generation of a store, and its number."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(root):
-        return None, -1
-    found = [s.getPath() for s in system.listStatus(root) if s.isDirectory()]
-    whole = [p for p in found if p.getName().startswith("v") and system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    best = max(whole, key=lambda p: int(p.getName()[1:]), default=None)
-    return (best.toString(), int(best.getName()[1:])) if best is not None else (None, -1)
-
-
-def put(spark: SparkSession, folder: str, rows: DataFrame, keys: list[str] | None = None, order: list[str] | None = None) -> None:
-    """Writes the next generation: the newest one with the rows put in, of each key the last in order.
-
-    Rows of one key that order leaves equal go by their other values. A generation that a broken run left half
-    written is written anew. The one before stays for its readers; older ones are deleted.
-    """
-    path, number = latest(spark, folder)
-    keys = keys or KEYS
-    order = order or [c for c in rows.columns if c not in keys]
-    merged = last_wins(rows, keys, order) if path is None else upsert(spark.read.parquet(path), rows, keys, order)
-    merged.select(*rows.columns).write.mode("overwrite").parquet(f"{folder}/v{number + 1}")
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for s in system.listStatus(root):
-        name = s.getPath().getName()
-        if s.isDirectory() and name[1:].isdigit() and int(name[1:]) < number:
-            system.delete(s.getPath(), True)
-
-
-def sink(folder: str, work: Callable[[DataFrame], DataFrame], keys: list[str] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: does the batch's items that the store lacks, and puts the results in."""
+def sink(folder: str, work: Callable[[DataFrame], DataFrame], keys: list[str] | None = None, only_new: bool = True) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: does the batch's items and puts the results in; with only_new, those that the table lacks."""
     keys = keys or KEYS
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        path, _ = latest(spark, folder)
-        left = batch if path is None else without(batch, spark.read.parquet(path))
-        put(spark, folder, work(left), keys)
+        table = Buckets(spark, folder, keys)
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        table.put(work(table.lacking(batch) if only_new else batch), stream=stream, batch=number)
+        table.vacuum()
 
     return step
 
 
-def ingest(items: DataFrame, folder: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], keys: list[str] | None = None) -> None:
+def ingest(items: DataFrame, folder: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], keys: list[str] | None = None, only_new: bool = True) -> None:
     """Runs over all that a streaming table of items has now, then ends."""
-    query = items.writeStream.foreachBatch(sink(folder, work, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = items.writeStream.foreachBatch(sink(folder, work, keys, only_new)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 

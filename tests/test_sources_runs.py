@@ -18,6 +18,7 @@ from docflow.config import DEFAULTS, Settings
 from docflow.operators import images, models
 from docflow.plans import pipeline
 from docflow.sources import listing, manifest, stores
+from docflow.sources.buckets import Buckets
 from docflow.streaming import ingest
 
 
@@ -424,23 +425,6 @@ def test_open_jpeg_pages_and_pages_that_cannot_be_read(spark, tmp_path):
     assert counts == {"images": 7, "printed": 4, "handwritten": 3, "todo": 7, "from_cache": 0, "undecided": 3, "failed": 0}
 
 
-def test_generations(spark, tmp_path):
-    """A key counts once from the first generation on, a half-written one is written anew, old ones go."""
-    rows = lambda *x: spark.createDataFrame(list(x), "folder_name string, file_name string, n int")
-    read = lambda: sorted(tuple(r) for r in spark.read.parquet(ingest.latest(spark, store)[0]).collect())
-    store = f"file://{tmp_path}/store"
-    ingest.put(spark, store, rows(("f", "1", 1), ("f", "1", 2), ("f", "2", 5)))
-    assert read() == [("f", "1", 2), ("f", "2", 5)]
-    (tmp_path / "store" / "v1").mkdir()
-    (tmp_path / "store" / "v1" / "part-0.parquet").write_bytes(b"half")
-    ingest.put(spark, store, rows(("f", "2", 3)))
-    assert read() == [("f", "1", 2), ("f", "2", 3)] and ingest.latest(spark, store)[1] == 1
-    for n in (7, 8):
-        ingest.put(spark, store, rows(("g", "1", n)))
-    assert read() == [("f", "1", 2), ("f", "2", 3), ("g", "1", 8)]
-    assert sorted(p.name for p in (tmp_path / "store").iterdir()) == ["v2", "v3"]
-
-
 def test_stream_takes_up_where_it_ended(spark, tmp_path):
     src = tmp_path / "src"
     src.mkdir()
@@ -450,8 +434,8 @@ def test_stream_takes_up_where_it_ended(spark, tmp_path):
         for n in names:
             (src / n).write_bytes(n.encode())
         ingest.ingest(ingest.image_stream(spark, f"file://{src}"), f"file://{tmp_path}/store", f"file://{tmp_path}/checkpoint", work)
-        path, number = ingest.latest(spark, f"file://{tmp_path}/store")
-        return {r.file_name for r in spark.read.parquet(path).collect()}, number
+        table = Buckets(spark, f"file://{tmp_path}/store")
+        return {r.file_name for r in table.rows().collect()}, table.generations()[-1]
 
     assert step(["1.png", "2.JPG", "x.txt"]) == ({"1.png", "2.JPG"}, 0)
     assert step(["3.png"]) == ({"1.png", "2.JPG", "3.png"}, 1)
