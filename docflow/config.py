@@ -110,6 +110,7 @@ class Settings:
     structural_min_fraction: float = 0.35
     structural_both_axes: bool = True
     classifier_max_side: int = 2000
+    decisions_save_every: int = _env("CLIP_CACHE_SAVE_EVERY", 200)
 
     printed_max_side: int = 2000
     confidence: float = _env("PADDLE_CONFIDENCE_THRESHOLD", 0.5)
@@ -130,6 +131,8 @@ class Settings:
     concurrency: int = _env("HANDWRITTEN_CONCURRENCY", 24)
     handwritten_save_every: int = _env("HANDWRITTEN_SAVE_EVERY", 10)
     manage_host: bool = _env("AUTO_MANAGE_EC2", False)
+    host_start: str = _env("HOST_START_COMMAND", "")
+    host_stop: str = _env("HOST_STOP_COMMAND", "")
 
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None) -> Settings:

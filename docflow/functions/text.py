@@ -39,6 +39,11 @@ def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(base, r"^\.*[^.].*?(\.[^.]*)$", 1))
 
 
+def fingerprint(parts: Column) -> Column:
+    """Twelve hexadecimal digits of settings given as an array of texts, as Settings.fingerprint() has them."""
+    return F.substring(F.sha1(F.array_join(parts, "|", "None")), 1, 12)
+
+
 def vocabulary_masks(terms: tuple[str, ...] = VOCABULARY) -> Column:
     """A constant array of terms with the places of each character as bits, for term lengths below 62."""
     if any(len(t) > 61 or not t for t in terms):

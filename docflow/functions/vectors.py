@@ -10,9 +10,9 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def unit(a: Column) -> Column:
-    """The vector over its length."""
-    return F.transform(a, lambda x: x.cast("double") / F.sqrt(dot(a, a)))
+def cosine(a: Column, b: Column) -> Column:
+    """Dot product of two vectors over the product of their lengths, each of which is summed once."""
+    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
 def softmax(scores: list[Column]) -> list[Column]:
@@ -23,8 +23,8 @@ def softmax(scores: list[Column]) -> list[Column]:
 
 
 def zero_shot(image: Column, prompts: list[Column], scale: float = 100.0) -> list[Column]:
-    """Probability of each prompt for an image, from unit vectors of both."""
-    return softmax([scale * dot(unit(image), unit(p)) for p in prompts])
+    """Probability of each prompt for an image, from the cosines of their vectors."""
+    return softmax([scale * cosine(image, p) for p in prompts])
 
 
 def zip_shorter(a: Column, b: Column, names: tuple[str, str] = ("a", "b")) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.config import DEFAULTS
-from docflow.sources.work import work_dir, written
+from docflow.sources.work import delete, forget, work_dir, written
 
 MIME = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png"}
 
@@ -219,24 +219,53 @@ def ruled_segments(image: np.ndarray, fraction: float = 0.35, step: int = 40, ga
     return found
 
 
-def encoded(data: bytes, name: str, cap: int = DEFAULTS.handwritten_max_side, decode=decode_png) -> tuple[str, str]:
-    """Base64 and MIME type of an image for a request, shrunk to the cap.
+def png_size(data: bytes) -> tuple[int, int]:
+    """Width and height in a PNG's header."""
+    if data[:8] != SIGNATURE or len(data) < 24:
+        raise ImageError("not a PNG file")
+    return struct.unpack(">II", data[16:24])
+
+
+def jpeg_size(data: bytes) -> tuple[int, int]:
+    """Width and height in a JPEG's frame header."""
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 9 <= len(data) and data[at] == 0xFF:
+        kind = data[at + 1]
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            height, width = struct.unpack(">HH", data[at + 5 : at + 9])
+            return width, height
+        at += 1 if kind == 0xFF else 2 + (0 if kind == 1 or 0xD0 <= kind <= 0xD7 else struct.unpack(">H", data[at + 2 : at + 4])[0])
+    raise ImageError("not a JPEG file with a frame")
+
+
+def within(data: bytes, cap: int) -> bytes:
+    """A PNG as it is, or shrunk so that its longer side is the cap."""
+    return data if max(png_size(data)) <= cap else encode_png(shrunk(decode_png(data), cap))
 
-    The type follows the name; other names are errors. An image that needs no shrinking goes as it is; one that
-    does is written as PNG, as there is no JPEG encoder here.
+
+def encoded(data: bytes | None, name: str, cap: int = DEFAULTS.handwritten_max_side, small: bytes | None = None) -> tuple[str, str]:
+    """Base64 and MIME type of an image for a request, no side beyond the cap.
+
+    The type follows the name; other names are errors. An image that needs no shrinking goes as it is. A PNG is shrunk
+    here; a JPEG is sent as the PNG of it that is given as small, or an error if there is none.
     """
     mime = MIME.get("." + name.rpartition(".")[2].lower()) if "." in name else None
     if mime is None:
         raise ImageError(f"unsupported image type: {name}")
+    data = given(data)
+    if data[:8] == SIGNATURE:
+        decode_png(data)
+        shrunk_to = within(data, cap)
+        return base64.b64encode(shrunk_to).decode(), mime if shrunk_to is data else "image/png"
     try:
-        image = decode(data)
+        fits = max(jpeg_size(data)) <= cap
     except ImageError:
-        if mime == "image/jpeg" and data[:2] == b"\xff\xd8":
-            return base64.b64encode(data).decode(), mime
-        raise
-    if max(image.shape[:2]) > cap:
-        data, mime = encode_png(shrunk(image, cap)), "image/png"
-    return base64.b64encode(data).decode(), mime
+        fits = mime == "image/jpeg" and data[:2] == b"\xff\xd8" and small is None
+        if not fits and small is None:
+            raise
+    if not fits and small is None:
+        raise ImageError("the image is too large, and there is no smaller one of it")
+    return (base64.b64encode(data).decode(), "image/jpeg") if fits else (base64.b64encode(within(bytes(small), cap)).decode(), "image/png")
 
 
 def ink_column(data: Column, width: Column, height: Column) -> Column:
@@ -278,14 +307,35 @@ def with_png(pages: DataFrame, content: str = "content", cap: int = DEFAULTS.cla
             yield out
 
     digest = F.sha2(content, 256)
-    kept = written(pages.where(~plain).select(digest.alias("__digest"), content).mapInPandas(store, "__digest string, __file string")).dropDuplicates(["__digest"])
+    kept = written(pages.where(~plain).select(digest.alias("__digest"), content).mapInPandas(store, "__digest string, __file string"))
     read = spark.read.format("image").option("ignoreCorruptFiles", True).load(folder)
     found = read.select(F.regexp_extract("image.origin", "([^/]*)$", 1).alias("__file"), "image.height", "image.width", "image.nChannels", "image.data").where("height > 0 and width > 0")
-    made = written(kept.join(found.mapInPandas(convert, "__file string, __png binary"), "__file").drop("__file"))
+    made = written(kept.dropDuplicates(["__digest"]).join(found.mapInPandas(convert, "__file string, __png binary"), "__file").drop("__file"))
+    forget(kept)
+    delete(spark, folder)
     both = pages.withColumn("__digest", digest).join(made, "__digest", "left")
     return both.select(*pages.columns, F.when(plain, F.col(content)).otherwise(F.col("__png")).alias("png"))
 
 
+def capped(pages: DataFrame, cap: int, png: str = "png") -> DataFrame:
+    """Pages with every PNG beyond the cap shrunk to it; one that is damaged becomes null."""
+
+    def run(batches):
+        for pdf in batches:
+            pdf = pdf.copy()
+            pdf[png] = [_within_or_none(x, cap) for x in pdf[png]]
+            yield pdf
+
+    return pages.mapInPandas(run, pages.schema)
+
+
+def _within_or_none(data: bytes | None, cap: int) -> bytes | None:
+    try:
+        return within(bytes(data), cap) if data is not None else None
+    except ImageError:
+        return None
+
+
 def tiles_of(pages: DataFrame, keys: list[str], content: str = "content", grid: tuple[int, int] = DEFAULTS.tile_grid, cap: int = DEFAULTS.classifier_max_side) -> DataFrame:
     """Tiles of each page with their ink and PNG bytes; a page that can't be decoded gives one row with the error."""
     schema = ", ".join(f"`{k}` string" for k in keys) + ", tile_row int, tile_col int, ink double, data binary, error string"

@@ -2,34 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from contextlib import AbstractContextManager, nullcontext
+from collections.abc import Callable, Iterator
+from contextlib import AbstractContextManager, ExitStack, nullcontext
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.config import DEFAULTS, Settings
 from docflow.functions.text import lines
 from docflow.operators import classify, images, layout, models
-from docflow.schemas import KEYS, READ, TRANSCRIPTION
-from docflow.sources import journal, stores
+from docflow.schemas import DECISION, KEYS
+from docflow.sources import stores
+from docflow.sources.buckets import Buckets
 from docflow.sources.manifest import manifest, union_keys, without
-from docflow.sources.work import written
+from docflow.sources.work import forget, written
 
 LINE_STORE = "folder_name string, file_name string, lines array<string>"
+DECISION_STORE = f"folder_name string, file_name string, decision {DECISION}"
 
 
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The rows of a store; one that isn't there is empty."""
-    return spark.read.schema(schema).parquet(path) if journal.exists(spark, path) else spark.createDataFrame([], schema)
+    """The rows of a run's table; one that isn't there is empty."""
+    return Buckets(spark, path).rows(schema)
 
 
 def classified(items: DataFrame, cache: DataFrame, scorer: Callable = models.stand_in_scorer, settings: Settings = DEFAULTS) -> DataFrame:
-    """Items (keys, content, scan_pos) with their decision, cached or new."""
+    """Items (keys, content) with their decision, and whether it was cached."""
     hits, misses = classify.cache_split(items, cache, settings)
-    open_ = images.with_png(misses.select(*KEYS, "content"))
+    open_ = images.with_png(misses.select(*KEYS, "content"), cap=settings.classifier_max_side)
     tabular = lambda p: written(classify.ruled_lines(images.segments_of(p, KEYS, "png"), KEYS, settings).select(*KEYS, "tabular"))
-    page = lambda p: written(models.scored(p, KEYS, scorer, "content").select(*KEYS, "p_printed", "p_handwritten"))
+    page = lambda p: written(models.scored(p, KEYS, scorer, "png").select(*KEYS, "p_printed", "p_handwritten"))
 
     def tiles(pages: DataFrame) -> DataFrame:
         """Scored tiles, and a row with the error of each page that can't be read."""
@@ -38,7 +40,7 @@ def classified(items: DataFrame, cache: DataFrame, scorer: Callable = models.sta
         return good.unionByName(found.where("error is not null").select(*KEYS, "error"), allowMissingColumns=True)
 
     decided = classify.cascade(open_, tabular, page, tiles, settings).select(*KEYS, "decision")
-    return hits.unionByName(misses.join(decided, KEYS))
+    return hits.withColumn("cached", F.lit(True)).unionByName(misses.join(decided, KEYS).withColumn("cached", F.lit(False)))
 
 
 def printed_lines(readings: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -53,76 +55,92 @@ def handwritten_lines(rows: DataFrame) -> DataFrame:
     return rows.where("status = 'ok'").select(*KEYS, lines(F.col("text")).alias("lines"))
 
 
-def read_printed(items: DataFrame, done: DataFrame, loaders: dict[str, Callable] | None = None, settings: Settings = DEFAULTS, journal: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(keys, lines) of printed items not done yet, and the rows that failed, which the next run tries again."""
+def read_printed(items: DataFrame, done: DataFrame, loaders: dict[str, Callable] | None = None, settings: Settings = DEFAULTS) -> tuple[DataFrame, int]:
+    """(keys, lines) of printed items not done yet, and how many failed, which the next run tries again. Recognisers get
+    PNG bytes, no side beyond the cap."""
     loaders = loaders or {"first": models.stand_in_recogniser, "second": models.stand_in_recogniser}
-    todo = without(items, done)
-    readings = written(models.recognised(todo, KEYS, loaders, batch=settings.recogniser_batch, journal=journal, every=settings.printed_save_every))
-    return printed_lines(readings, settings), readings.where("error is not null")
+    pages = images.with_png(without(items, done).select(*KEYS, "content"), cap=settings.printed_max_side)
+    pages = images.capped(pages.drop("content"), settings.printed_max_side)
+    seen = Observation()
+    readings = written(models.recognised(pages, KEYS, loaders, data="png", batch=settings.recogniser_batch), seen, n=F.count_if(F.col("error").isNotNull()))
+    return printed_lines(readings, settings), seen.get["n"]
 
 
-def read_handwritten(items: DataFrame, done: DataFrame, transcriber: Callable, settings: Settings = DEFAULTS, **more) -> tuple[DataFrame, DataFrame]:
-    """(keys, lines) of handwritten items not done yet, and the rows that failed. The calls are made here, once."""
-    rows = written(models.transcribed(without(items, done), transcriber, settings, **more))
-    return handwritten_lines(rows), rows.where("status <> 'ok'")
+def read_handwritten(items: DataFrame, done: DataFrame, transcriber: Callable, settings: Settings = DEFAULTS, **more) -> tuple[DataFrame, int]:
+    """(keys, lines) of handwritten items not done yet, and how many failed. The calls are made here, once."""
+    pages = images.with_png(without(items, done).select(*KEYS, "content"), cap=settings.handwritten_max_side)
+    seen = Observation()
+    rows = written(models.transcribed(pages, transcriber, settings, png="png", **more), seen, n=F.count_if(F.col("status") != "ok"))
+    return handwritten_lines(rows), seen.get["n"]
+
+
+def parts(items: DataFrame, n: int, every: int) -> Iterator[DataFrame]:
+    """The items in parts of about `every` for each core, by the hash of their keys. What a part gives is committed before
+    the next one begins."""
+    many = max(1, -(-n // (max(1, every) * items.sparkSession.sparkContext.defaultParallelism)))
+    number = F.pmod(F.xxhash64(*KEYS, F.lit(many)), F.lit(many))
+    return (items.where(number == k) for k in range(many))
 
 
 def run(
     spark: SparkSession, items: DataFrame, folder: str, transcriber: Callable, scorer: Callable = models.stand_in_scorer, loaders: dict[str, Callable] | None = None, settings: Settings = DEFAULTS,
-    fetch: Callable[[DataFrame], DataFrame] | None = None, host: Callable[[], AbstractContextManager] = nullcontext, **more
+    fetch: Callable[[DataFrame], DataFrame] | None = None, host: Callable[[], AbstractContextManager] = nullcontext, order: str = "scan_pos", **more
 ) -> dict[str, int]:
-    """The whole run over items (manifest columns, and content if fetch doesn't add it); stores are kept below the
-    folder as Parquet.
+    """The whole run over items (manifest columns, and content if fetch doesn't add it); its tables are kept below the
+    folder, see sources.buckets.
 
-    Each stage's rows are appended by one job that commits whole; what a stage has read is also kept in a journal
-    while it runs, and the run after a broken one takes that up. fetch adds content and error to the items to do.
-    host is up while handwritten pages are read, if there are any.
+    The items to do go through the stages in parts, and each part of each stage is committed when it is done: a run that
+    breaks off has paid for one part of one stage in vain at most, and the next run goes on behind it. fetch adds content
+    and error to a part's items. host is up from the first handwritten part on.
 
-    The result counts the stores' rows (images, printed, handwritten), and of this run the items to do (todo), those
+    The result counts the tables' rows (images, printed, handwritten), and of this run the items to do (todo), those
     with a cached decision (from_cache), decisions that are errors (undecided) and items not fetched or read (failed).
+    All counts are gathered by the jobs that write.
     """
-    decision_store = f"folder_name string, file_name string, decision {stores.DECISION}, run bigint"
-    printed_journal, handwritten_journal = f"{folder}/journal/printed", f"{folder}/journal/handwritten"
-
-    store = lambda name, schema=LINE_STORE: stored(spark, f"{folder}/{name}", schema)
-
-    def take_up(name: str, path: str, schema: str, work: Callable[[DataFrame], DataFrame]) -> None:
-        """Appends what a broken run's journal has and the store lacks."""
-        if journal.exists(spark, path):
-            found = work(spark.read.schema(schema).parquet(path))
-            without(found, store(name)).write.mode("append").parquet(f"{folder}/{name}")
-            journal.delete(spark, path)
-
-    take_up("printed", printed_journal, ", ".join(f"{k} string" for k in KEYS) + ", " + READ, lambda rows: printed_lines(journal.once(rows.where("error is null")), settings))
-    take_up("handwritten", handwritten_journal, TRANSCRIPTION, lambda rows: handwritten_lines(journal.once(rows.where("status = 'ok'"))))
-
-    done = union_keys(store("printed"), store("handwritten"))
-    new = written(manifest(items.drop("content"), done, settings))
-    failed = 0
-    if fetch:
-        fetched = written(fetch(new))
-        todo, failed = fetched.where("error is null").drop("error"), fetched.where("error is not null").count()
-    else:
-        todo = items.join(new.select(*KEYS, "scan_pos"), [*KEYS, "scan_pos"], "left_semi")
-
-    cache = store("decisions", decision_store)
-    number = cache.agg(F.coalesce(F.max("run"), F.lit(0)).alias("n")).first().n + 1
-    current = written(stores.last_wins(cache, KEYS, ["run"]).drop("run"))
-    cached = classify.cache_split(todo.select(*KEYS), current, settings)[0].count()
-    classified(todo, current, scorer, settings).select(*KEYS, "decision", F.lit(number).alias("run")).write.mode("append").parquet(f"{folder}/decisions")
-    fresh = store("decisions", decision_store).where(F.col("run") == number)
-    errors, hands = fresh.agg(F.count_if(F.expr("decision.error is not null")), F.count_if("decision.is_handwritten")).first()
-
-    printed, handwritten = classify.routed(todo.join(fresh.select(*KEYS, "decision"), KEYS))
-    read, unread = read_printed(printed, store("printed"), loaders, settings, printed_journal)
-    read.write.mode("append").parquet(f"{folder}/printed")
-    journal.delete(spark, printed_journal)
-    with host() if hands else nullcontext():
-        ok, lost = read_handwritten(handwritten, store("handwritten"), transcriber, settings, journal=handwritten_journal, **more)
-    ok.write.mode("append").parquet(f"{folder}/handwritten")
-    journal.delete(spark, handwritten_journal)
-    a, b = store("printed").count(), store("handwritten").count()
-    return {"images": a + b, "printed": a, "handwritten": b, "todo": new.count(), "from_cache": cached, "undecided": errors, "failed": failed + unread.count() + lost.count()}
+    decisions, printed, handwritten = (Buckets(spark, f"{folder}/{name}") for name in ("decisions", "printed", "handwritten"))
+    counts = dict.fromkeys(("todo", "from_cache", "undecided", "failed"), 0)
+    done = union_keys(printed.rows(LINE_STORE), handwritten.rows(LINE_STORE))
+    seen = Observation()
+    new = written(manifest(items.drop("content"), done, settings, order), seen, n=F.count("*"))
+    counts["todo"] = seen.get["n"]
+    given = [c for c in new.columns if c in (*KEYS, order, "file_id")]
+
+    with ExitStack() as up:
+        started = False
+        for part in parts(new, counts["todo"], settings.decisions_save_every):
+            seen = Observation()
+            error = F.col("error").isNotNull() if fetch else F.lit(False)
+            got = fetch(part) if fetch else items.join(part.select(*given), given, "left_semi")
+            got = written(got, seen, bad=F.count_if(error), n=F.count("*"))
+            counts["failed"] += seen.get["bad"]
+            seen = Observation()
+            found = classified(got.where(~error), decisions.rows(DECISION_STORE), scorer, settings).select(*KEYS, "decision", "cached")
+            hands = F.count_if(F.coalesce(F.col("decision.is_handwritten"), F.lit(False)))
+            found = written(found, seen, cached=F.count_if("cached"), undecided=F.count_if(F.col("decision.error").isNotNull()), hands=hands, n=F.count("*"))
+            fresh, n = seen.get, seen.get["n"]
+            counts["from_cache"] += fresh["cached"]
+            counts["undecided"] += fresh["undecided"]
+            if n > fresh["cached"]:
+                decisions.put(found.where("not cached").select(*KEYS, "decision"))
+                decisions.vacuum()
+            print_, hand = classify.routed(got.where(~error).join(found.select(*KEYS, "decision"), KEYS))
+            if n > fresh["hands"]:
+                for some in parts(print_, n - fresh["hands"], settings.printed_save_every):
+                    lines_, lost = read_printed(some, printed.rows(LINE_STORE), loaders, settings)
+                    printed.put(lines_, new=True)
+                    counts["failed"] += lost
+            if fresh["hands"] and not started:
+                up.enter_context(host())
+                started = True
+            for some in parts(hand, fresh["hands"], settings.handwritten_save_every) if fresh["hands"] else ():
+                lines_, lost = read_handwritten(some, handwritten.rows(LINE_STORE), transcriber, settings, **more)
+                handwritten.put(lines_, new=True)
+                counts["failed"] += lost
+            forget(got, found)
+        printed.vacuum()
+        handwritten.vacuum()
+    a, b = printed.count(), handwritten.count()
+    return {"images": a + b, "printed": a, "handwritten": b} | counts
 
 
 def report(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,12 +7,7 @@ Inputs are derived by whole-number arithmetic, so Spark and DuckDB start from th
 from __future__ import annotations
 
 import base64
-import dataclasses
-import functools
-import json
-import threading
 from collections.abc import Callable
-from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -312,40 +307,12 @@ def base64_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.where("status = 'ok'").select(number("doc_id"), F.col("text").alias("payload"))
 
 
-class Echo(BaseHTTPRequestHandler):
-    """A stand-in endpoint: the answer to a page is the text that its bytes hold."""
-
-    protocol_version = "HTTP/1.1"
-
-    def do_POST(self):
-        asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
-        page = asked["messages"][0]["content"][1]["image_url"]["url"].partition("base64,")[2]
-        said = base64.b64decode(page)[2:].decode()
-        body = json.dumps({"choices": [{"message": {"content": said}}]}).encode()
-        self.send_response(200)
-        self.send_header("Content-Type", "application/json")
-        self.send_header("Content-Length", str(len(body)))
-        self.end_headers()
-        self.wfile.write(body)
-
-    def log_message(self, *_):
-        pass
-
-
-@functools.cache
-def endpoint(host: str) -> str:
-    """The stand-in endpoint of this driver; it ends with the process."""
-    server = ThreadingHTTPServer((host, 0), Echo)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    return f"http://{host}:{server.server_port}"
-
-
 @query("SELECT conv_id, turn, coalesce(text, '') AS content FROM conversations")
 def response_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts sent as pages to an endpoint over HTTP, and what its answers say."""
-    settings = dataclasses.replace(DEFAULTS, endpoint=endpoint(spark.conf.get("spark.driver.host", "127.0.0.1")))
-    pages = requests(table(spark, sf_dir, "conversations"), F.col("conv_id"), F.col("turn"), F.col("text"))
-    answers = models.transcribed(pages, models.http_transcriber(settings), settings)
+    """What answers of the service say: each turn's text in the wire format, read as the transcription stage reads it."""
+    wire = F.to_json(F.struct(F.array(F.struct(F.struct(F.coalesce("text", F.lit("")).alias("content")).alias("message"))).alias("choices")))
+    pages = requests(table(spark, sf_dir, "conversations").withColumn("wire", wire), F.col("conv_id"), F.col("turn"), F.col("wire"))
+    answers = models.transcribed(pages, lambda: lambda image, mime: models.said(base64.b64decode(image)[2:]), wait=0.0)
     return answers.where("status = 'ok'").select(F.col("folder_name").cast("long").alias("conv_id"), number("turn"), F.col("text").alias("content"))
 
 
@@ -467,9 +434,11 @@ def line_orientation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.ruled_lines(one.unionByName(two), ["page"])
 
 
-@query("SELECT substr(sha1('" + DEFAULTS.fingerprint_text().replace("'", "''") + "'), 1, 12) AS fingerprint, '" + DEFAULTS.fingerprint() + "' AS planned")
+@query("""SELECT doc_id, substr(sha1(concat_ws('|', coalesce(lang, 'None'), coalesce(source, 'None'), coalesce(n_chars::VARCHAR, 'None'), coalesce(text, 'None'))), 1, 12) AS fingerprint FROM documents""")
 def config_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(F.substring(F.sha1(F.lit(DEFAULTS.fingerprint_text())), 1, 12).alias("fingerprint"), F.lit(DEFAULTS.fingerprint()).alias("planned"))
+    """Fingerprints of settings that stand in a table: each document's columns as the settings of a run."""
+    parts = F.array(*[F.col(c).cast("string") for c in ("lang", "source", "n_chars", "text")])
+    return table(spark, sf_dir, "documents").select("doc_id", text.fingerprint(parts).alias("fingerprint"))
 
 
 def jvm_jpeg(spark: SparkSession, grey: np.ndarray) -> bytes:
@@ -494,7 +463,7 @@ def image_run_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     page[::4] = 0
     jpeg = jvm_jpeg(spark, page)
     pages = [images.encode_png(images.three_channels(page)), jpeg, images.SIGNATURE, jpeg[:30]]
-    score = lambda: lambda batch: [(0.5, 0.5) if x in pages else (0.05, 0.95) for x in batch]
+    score = lambda: lambda batch: [(0.5, 0.5) if images.png_size(x) == (48, 48) else (0.05, 0.95) for x in batch]
     kind = (F.col("doc_id") % 4 + 1).cast("int")
     name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".png").otherwise(".jpg"))
     items = table(spark, sf_dir, "documents").select(F.lit("f").alias("folder_name"), name.alias("file_name"), F.element_at(F.array(*map(F.lit, pages)), kind).alias("content"))

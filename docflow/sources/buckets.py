@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from docflow.schemas import KEYS
-from docflow.sources.journal import place
+from docflow.sources.work import place
 
 BUCKET, GENERATION = "__bucket", "__generation"
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.config import DEFAULTS, EXTENSIONS, Settings
 from docflow.functions.text import extension
 from docflow.schemas import KEYS
+from docflow.sources.stores import last_wins
+
+
+#: Characters that the file source takes for patterns.
+GLOB = re.compile(r"[\\\[\]{}*?]")
 
 
 def image_files(spark: SparkSession, root: str) -> DataFrame:
@@ -49,8 +56,22 @@ def without(items: DataFrame, done: DataFrame) -> DataFrame:
 def manifest(items: DataFrame, done: DataFrame, settings: Settings = DEFAULTS, order: str = "scan_pos") -> DataFrame:
     """The next items to do: of the first max_raw_scan images those not done, the first fetch_limit. None lifts a cap.
 
-    Both caps are a top-k by partition and a merge, not a sort of all items.
+    An item is its key: of several files of one folder and name the last one in order is the item, as results are kept
+    by key. Both caps are a top-k by partition and a merge, not a sort of all items.
     """
     seen = items if settings.max_raw_scan is None else items.orderBy(order).limit(settings.max_raw_scan)
-    left = without(seen, done)
+    left = without(last_wins(seen, KEYS, [order]), done)
     return left if settings.fetch_limit is None else left.orderBy(order).limit(settings.fetch_limit)
+
+
+def with_content(items: DataFrame) -> DataFrame:
+    """Adds content and error to items whose file_id is a path; a file that can't be read has the error.
+
+    The paths go through the driver, which lists them for the file source: give it a batch, not a whole folder. Only these
+    files are read, as a source that lists a folder reads all that is in it before a join drops any.
+    """
+    spark = items.sparkSession
+    names = [r.file_id for r in items.select("file_id").collect()]
+    reader = spark.read.format("binaryFile").option("ignoreMissingFiles", True)
+    files = reader.load([GLOB.sub(r"\\\g<0>", n) for n in names]).select(F.col("path").alias("file_id"), "content") if names else spark.createDataFrame([], "file_id string, content binary")
+    return items.join(files, "file_id", "left").withColumn("error", F.when(F.col("content").isNull(), "the file can't be read"))

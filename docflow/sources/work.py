@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
@@ -21,8 +21,29 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/docflow-{uuid.uuid4().hex}"
 
 
-def written(rows: DataFrame) -> DataFrame:
-    """Writes rows to a new work folder and reads them again, so that what made them runs once."""
+def written(rows: DataFrame, seen: Observation | None = None, **counts: Column) -> DataFrame:
+    """Writes rows to a new work folder and reads them again, so that what made them runs once. The writing job also
+    gathers counts for seen."""
     path = f"{work_dir(rows.sparkSession)}/rows"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    (rows.observe(seen, *[c.alias(n) for n, c in counts.items()]) if seen else rows).write.parquet(path)
+    out = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    out.__dict__["written_to"] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that written() gave and that nothing reads any more."""
+    for table in tables:
+        delete(table.sparkSession, table.__dict__.pop("written_to").rpartition("/")[0])
+
+
+def place(spark: SparkSession, path: str):
+    """The path as Hadoop has it, and its file system."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(found), system
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    found, system = place(spark, path)
+    system.delete(found, True)
