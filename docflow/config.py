@@ -109,6 +109,9 @@ class Settings:
     structural_min_lines: int = 4
     structural_min_fraction: float = 0.35
     structural_both_axes: bool = True
+    line_votes: int = 150
+    line_gap: int = 10
+    line_spread: int = 8
     classifier_max_side: int = 2000
     decisions_save_every: int = _env("CLIP_CACHE_SAVE_EVERY", 200)
 

@@ -198,27 +198,6 @@ def cut_tiles(image: np.ndarray, grid: tuple[int, int] = (3, 2)) -> list[tuple[i
     return [t for t in found if t[2].size]
 
 
-def ruled_segments(image: np.ndarray, fraction: float = 0.35, step: int = 40, gap: int = 10) -> list[tuple[int, int, int, int]]:
-    """Horizontal and vertical segments (x1, y1, x2, y2) along which the brightness has an edge.
-
-    A stand-in for a line detector: runs of edge pixels along rows and columns, over gaps of up to `gap` pixels.
-    """
-    g = grey(image).astype(np.int64)
-    least = int(fraction * min(g.shape))
-    found = []
-    for turned in (False, True):
-        a = g.T if turned else g
-        edge = np.zeros(a.shape, bool)
-        edge[1:] = np.abs(np.diff(a, axis=0)) >= step
-        for y in np.flatnonzero(edge.sum(axis=1) >= max(2, least // 2)):
-            x = np.flatnonzero(edge[y])
-            cuts = np.flatnonzero(np.diff(x) > gap)
-            for s, e in zip(x[np.concatenate([[0], cuts + 1])], x[np.concatenate([cuts, [len(x) - 1]])], strict=True):
-                if e - s >= least:
-                    found.append((int(y), int(s), int(y), int(e)) if turned else (int(s), int(y), int(e), int(y)))
-    return found
-
-
 def png_size(data: bytes) -> tuple[int, int]:
     """Width and height in a PNG's header."""
     if data[:8] != SIGNATURE or len(data) < 24:
@@ -353,21 +332,3 @@ def tiles_of(pages: DataFrame, keys: list[str], content: str = "content", grid:
             yield pd.DataFrame(rows, columns=[*keys, "tile_row", "tile_col", "ink", "data", "error"])
 
     return pages.select(*keys, content).mapInPandas(run, schema)
-
-
-def segments_of(pages: DataFrame, keys: list[str], content: str = "content", cap: int = DEFAULTS.classifier_max_side) -> DataFrame:
-    """Ruled segments of each page: keys, height, width, x1, y1, x2, y2. Pages that can't be decoded give none."""
-    schema = ", ".join(f"`{k}` string" for k in keys) + ", height int, width int, x1 int, y1 int, x2 int, y2 int"
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                try:
-                    image = shrunk(decode_png(given(getattr(row, content))), cap)
-                except ImageError:
-                    continue
-                rows += [(*[getattr(row, k) for k in keys], *image.shape[:2], *s) for s in ruled_segments(image)]
-            yield pd.DataFrame(rows, columns=[*keys, "height", "width", "x1", "y1", "x2", "y2"])
-
-    return pages.select(*keys, content).mapInPandas(run, schema)

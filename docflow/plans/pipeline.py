@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docflow.config import DEFAULTS, Settings
 from docflow.functions.text import lines
 from docflow.operators import classify, images, layout, models
+from docflow.operators import lines as lines_of
 from docflow.schemas import DECISION, KEYS
 from docflow.sources import stores
 from docflow.sources.buckets import Buckets
@@ -30,7 +31,14 @@ def classified(items: DataFrame, cache: DataFrame, scorer: Callable = models.sta
     """Items (keys, content) with their decision, and whether it was cached."""
     hits, misses = classify.cache_split(items, cache, settings)
     open_ = images.with_png(misses.select(*KEYS, "content"), cap=settings.classifier_max_side)
-    tabular = lambda p: written(classify.ruled_lines(images.segments_of(p, KEYS, "png"), KEYS, settings).select(*KEYS, "tabular"))
+
+    def tabular(pages: DataFrame) -> DataFrame:
+        """Whether pages have ruled lines. Edges are looked up twice, by votes and by lines, so they are kept meanwhile."""
+        edges = written(lines_of.edges_of(pages, KEYS, "png", settings.classifier_max_side))
+        found = written(classify.ruled_lines(lines_of.ruled(edges, KEYS, settings), KEYS, settings).select(*KEYS, "tabular"))
+        forget(edges)
+        return found
+
     page = lambda p: written(models.scored(p, KEYS, scorer, "png").select(*KEYS, "p_printed", "p_handwritten"))
 
     def tiles(pages: DataFrame) -> DataFrame:

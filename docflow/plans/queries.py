@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docflow.config import DEFAULTS, UNITS, VOCABULARY
 from docflow.functions import geometry, text, vectors
-from docflow.operators import classify, images, layout, models
+from docflow.operators import classify, images, layout, lines, models
 from docflow.plans import pipeline
 from docflow.schemas import DECISION
 from docflow.sources import manifest, stores
@@ -434,6 +434,35 @@ def line_orientation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.ruled_lines(one.unionByName(two), ["page"])
 
 
+#: A page for each document: a dashed line, 21 pixels and places 10 apart, and a short one that is left out.
+RULED = {"threshold": 40, "spread": 1, "gap": 10}
+COS_SQL, SIN_SQL = (lambda a, v=v: f"list_extract({v}, ({a} + 1)::INT)" for v in (lines.COS, lines.SIN))
+RULED_SQL = f"""d AS (SELECT doc_id, doc_id * 29 % 180 AS a0, doc_id * 13 % 300 AS o0, 60 + coalesce(n_chars, 0) % 120 AS size FROM documents),
+    g AS (SELECT doc_id, a0, o0, size, t FROM d, unnest(range(0, size)) AS u(t) WHERE t % 30 < 21 UNION ALL SELECT doc_id, a0, o0 + 60, size, t FROM d, unnest(range(0, 30)) AS u(t)),
+    p AS (SELECT doc_id, (o0 * {COS_SQL('a0')} - t * {SIN_SQL('a0')} + 524288) >> 20 AS x, (o0 * {SIN_SQL('a0')} + t * {COS_SQL('a0')} + 524288) >> 20 AS y, a0 FROM g),
+    q AS (SELECT doc_id, x, y, (a0 + s + 180) % 180 AS angle, (x * {COS_SQL('angle')} + y * {SIN_SQL('angle')} + 524288) >> 20 AS o FROM p, unnest([-1, 0, 1]) AS u(s)),
+    v AS (SELECT doc_id, angle, o, count(*) AS votes FROM q GROUP BY ALL HAVING count(*) >= 40),
+    n AS (SELECT v.doc_id, v.angle, v.o, v.votes FROM v ANTI JOIN (SELECT doc_id, (angle + i + 180) % 180 AS angle, CASE WHEN angle + i BETWEEN 0 AND 179 THEN o ELSE -o END + j AS o, votes, angle AS a, o AS b
+        FROM v, unnest(range(-3, 4)) AS e(i), unnest(range(-3, 4)) AS f(j)) w ON v.doc_id = w.doc_id AND v.angle = w.angle AND v.o = w.o AND (w.votes > v.votes OR (w.votes = v.votes AND (w.a < v.angle OR (w.a = v.angle AND w.b < v.o))))),
+    l AS (SELECT DISTINCT doc_id, n.angle, n.o AS line, votes, (y * {COS_SQL('q.angle')} - x * {SIN_SQL('q.angle')} + 524288) >> 20 AS t FROM n JOIN q USING (doc_id, angle) WHERE abs(q.o - n.o) <= {lines.BAND}),
+    s AS (SELECT *, CASE WHEN t - lag(t) OVER w > 10 THEN 1 ELSE 0 END AS s FROM l WINDOW w AS (PARTITION BY doc_id, angle, line ORDER BY t)),
+    i AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, angle, line ORDER BY t ROWS UNBOUNDED PRECEDING) AS island FROM s),
+    e AS (SELECT doc_id, angle, line, votes, island, min(t) AS a, max(t) AS b FROM i GROUP BY ALL HAVING max(t) - min(t) >= 50)"""
+
+
+@query(f"""WITH {RULED_SQL} SELECT doc_id, angle::INT AS angle, line AS line_offset, votes, ((line * {COS_SQL('angle')} - a * {SIN_SQL('angle')} + 524288) >> 20)::INT AS x1, ((line * {SIN_SQL('angle')} + a * {COS_SQL('angle')} + 524288) >> 20)::INT AS y1,
+    ((line * {COS_SQL('angle')} - b * {SIN_SQL('angle')} + 524288) >> 20)::INT AS x2, ((line * {SIN_SQL('angle')} + b * {COS_SQL('angle')} + 524288) >> 20)::INT AS y2 FROM e""")
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments found on a page for each document, from pixels of dashed lines at all angles."""
+    d = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", (d * 29 % 180).cast("int").alias("angle"), (d * 13 % 300).alias("o"), (60 + F.coalesce("n_chars", F.lit(0)) % 120).alias("size"))
+    dashed = docs.select("doc_id", "angle", "o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("t")).where("t % 30 < 21")
+    short = docs.select("doc_id", "angle", (F.col("o") + 60).alias("o"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))).alias("t"))
+    x, y = lines.point(F.col("o"), F.col("t"), F.col("angle"))
+    pixels = dashed.unionByName(short).select("doc_id", x.alias("x"), y.alias("y"), "angle")
+    return lines.segments(pixels, ["doc_id"], F.lit(50), **RULED).withColumnRenamed("offset", "line_offset")
+
+
 @query("""SELECT doc_id, substr(sha1(concat_ws('|', coalesce(lang, 'None'), coalesce(source, 'None'), coalesce(n_chars::VARCHAR, 'None'), coalesce(text, 'None'))), 1, 12) AS fingerprint FROM documents""")
 def config_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of settings that stand in a table: each document's columns as the settings of a run."""

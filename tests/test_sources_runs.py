@@ -207,16 +207,6 @@ def test_ink_density(spark):
     assert images.ink_density(np.zeros((0, 5, 3), np.uint8)) == 0.0
 
 
-def test_ruled_segments():
-    p = np.full((200, 300, 3), 255, np.uint8)
-    for y in (20, 60, 100, 140):
-        p[y, 30:270] = 0
-    p[10:190, 150] = 0
-    found = images.ruled_segments(p)
-    flat, tall = [s for s in found if s[1] == s[3]], [s for s in found if s[0] == s[2]]
-    assert len(flat) >= 4 and len(tall) >= 1
-
-
 def test_encoding_for_requests():
     small, large = images.encode_png(picture(1)), images.encode_png(picture(1, 900, 100))
     text, mime = images.encoded(small, "x.PNG")
@@ -427,17 +417,17 @@ def test_open_jpeg_pages_and_pages_that_cannot_be_read(spark, tmp_path):
     for y in range(8, 120, 24):
         for x in range(8, 96, 24):
             page[y : y + 8, x : x + 8] = 0
-    ruled = np.full((160, 160), 255, np.uint8)
-    for y in range(8, 160, 16):
-        ruled[y : y + 4, 4:156] = 0
-    ruled[4:156, 78:82] = 0
+    ruled = np.full((320, 320), 255, np.uint8)
+    for y in range(8, 320, 16):
+        ruled[y : y + 4, 4:316] = 0
+    ruled[4:316, 78:82] = 0
     good, table = jvm_jpeg(spark, page), jvm_jpeg(spark, ruled)
     deep = png((96, 120, 16, 0, 0, 0, 0), b"".join(b"\0" + np.repeat(line, 2).tobytes() for line in page))
     files = {"a.jpg": good, "b.JPEG": good, "c.png": deep, "ruled.jpg": table, "cut.jpg": good[:40], "bad.jpeg": b"no image", "bad.png": images.SIGNATURE}
     for name, data in files.items():
         (tmp_path / "in" / "f").mkdir(parents=True, exist_ok=True)
         (tmp_path / "in" / "f" / name).write_bytes(data)
-    hand = lambda: lambda batch: [(0.5, 0.5) if images.png_size(x) in ((96, 120), (160, 160)) else (0.05, 0.95) for x in batch]
+    hand = lambda: lambda batch: [(0.5, 0.5) if images.png_size(x) in ((96, 120), (320, 320)) else (0.05, 0.95) for x in batch]
     items = manifest.image_files(spark, f"file://{tmp_path}/in").withColumn("scan_pos", F.xxhash64("file_id"))
     echo = lambda: lambda image, mime: f"read {mime}"
     counts = pipeline.run(spark, items, f"file://{tmp_path}/out", echo, hand, settings=Settings(fetch_limit=None, max_raw_scan=None, attempts=1), tasks=2, wait=0.0)
