@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docflow.config import DEFAULTS, Settings
 from docflow.functions.geometry import box_key, centre
 from docflow.functions.text import best_match, strip, unit_tag
+from docflow.operators import vocabulary
 
 
 def best_readings(boxes: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -63,14 +64,18 @@ def confident(entries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return entries.where((text != "") & (F.col("score") >= least))
 
 
-def with_corrections(entries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def with_corrections(entries: DataFrame, settings: Settings = DEFAULTS, terms: DataFrame | None = None) -> DataFrame:
     """Entries with uncertain readings replaced by the best term of the vocabulary, if one is similar enough.
 
-    Each distinct reading is compared once: the terms are many and the readings of a corpus repeat.
+    Each distinct reading is compared once, as the readings of a corpus repeat. terms (term, rank) stand in for the settings'
+    short vocabulary; there may be any number of any size (see operators.vocabulary).
     """
     unsure = (F.col("score") < settings.vocabulary_gate) & (strip(F.col("text")) != "")
     readings = entries.where(unsure).select("text").distinct()
-    best = readings.select(F.col("text").alias("__text"), best_match(F.col("text"), settings.vocabulary_threshold)["term"].alias("__term")).where("__term is not null")
+    if terms is None:
+        best = readings.select(F.col("text").alias("__text"), best_match(F.col("text"), settings.vocabulary_threshold)["term"].alias("__term")).where("__term is not null")
+    else:
+        best = vocabulary.matched(readings, terms, settings.vocabulary_threshold).select(F.col("text").alias("__text"), F.col("term").alias("__term"))
     found = entries.join(best, F.when(unsure, F.col("text")) == F.col("__text"), "left")
     return found.select(*[F.coalesce("__term", "text").alias(c) if c == "text" else F.col(c) for c in entries.columns])
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docflow.config import DEFAULTS, UNITS, VOCABULARY
 from docflow.functions import geometry, text, vectors
-from docflow.operators import classify, images, layout, lines, models
+from docflow.operators import classify, images, layout, lines, models, vocabulary
 from docflow.plans import pipeline
 from docflow.schemas import DECISION
 from docflow.sources import manifest, stores
@@ -289,6 +289,21 @@ def vocab_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.with_corrections(rows.withColumn("read", F.col("text"))).select("p_partkey", "score", F.col("read").alias("text"), F.col("text").alias("corrected"))
 
 
+WORDS_SQL = "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS {} FROM {}"
+
+
+@query(f"""WITH t AS ({WORDS_SQL.format('term', 'benchmark')}), r AS ({WORDS_SQL.format('text', 'conversations')}),
+    k AS (SELECT term, length(term) AS n, map_from_entries(list_transform(list_distinct(string_split(term, '')), lambda c: struct_pack(k := c, v := list_sum(list_transform(range(1, length(term) + 1), lambda i: CASE WHEN term[i] = c THEN 1::BIGINT << (i - 1)::INT ELSE 0::BIGINT END))::BIGINT))) AS masks FROM t),
+    c AS (SELECT text, term, length(text) AS m, n, n - bit_count(list_reduce(list_transform(string_split(text, ''), lambda x: coalesce(masks[x], 0)::BIGINT), lambda s, b: ((s + (s & b)) | (s - (s & b))) & ((1::BIGINT << n::INT) - 1), ((1::BIGINT << n::INT) - 1)::BIGINT)) AS lcs
+        FROM r, k WHERE 200 * least(length(text), n) >= {DEFAULTS.vocabulary_threshold} * (length(text) + n))
+    SELECT text, term, 200.0::DOUBLE * lcs / (m + n) AS score FROM c WHERE 200.0::DOUBLE * lcs / (m + n) >= {DEFAULTS.vocabulary_threshold}
+    QUALIFY row_number() OVER (PARTITION BY text ORDER BY 200.0::DOUBLE * lcs / (m + n) DESC, term) = 1""")
+def vocab_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct words of conversations against those of the benchmark as a vocabulary, by the index of letter pairs."""
+    words = lambda name, into: table(spark, sf_dir, name).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0)).alias(into)).distinct()
+    return vocabulary.matched(words("conversations", "text"), words("benchmark", "term"), DEFAULTS.vocabulary_threshold)
+
+
 def requests(rows: DataFrame, folder: Column, file: Column, body: Column) -> DataFrame:
     """Rows as pages to transcribe: bytes that begin as a JPEG's do go into a request as they are."""
     return rows.select(folder.cast("string").alias("folder_name"), F.concat(file.cast("string"), F.lit(".jpg")).alias("file_name"), F.concat(F.lit(b"\xff\xd8"), F.coalesce(body, F.lit("")).cast("binary")).alias("content"))
