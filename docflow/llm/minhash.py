@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.common import forget, own, slices, text_or_empty, written
+from docflow.llm.common import forget, free, own, quoted, slices, text_or_empty, written
 from docflow.llm.components import components
 
 PERMUTATIONS, BITS, ROWS = 256, 4, 6
@@ -228,12 +228,17 @@ def links(keys: np.ndarray, side: np.ndarray, known: np.ndarray, sets: list[np.n
 
 
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-SIGNED = "key bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>"
+SIGNED = "key bigint, row bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>"
+
+
+def _row(key: str, text: str) -> Column:
+    """What tells rows of one key apart: a hash of the text, and whether text and key are null."""
+    return F.xxhash64(F.col(quoted(text)), F.col(quoted(text)).isNull(), F.col(quoted(key)).isNull())
 
 
 def signatures(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """Per row: key, size of its set, a 128-bit digest of the set, band keys (null for the empty set)."""
-    plain = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text"))
+    """Per row: key, a hash of its text, size of its set, a 128-bit digest of the set, band keys (null for the empty set)."""
+    plain = docs.select(F.col(quoted(key)).cast("long").alias("key"), text_or_empty(text).alias("text"), _row(key, text).alias("row"))
 
     def run(batches):
         shingler = Shingler(words)
@@ -247,8 +252,8 @@ def signatures(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
             digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
             halves = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(bands, pa.list_(pa.int64()))],
-                names=["key", "n", "d1", "d2", "bands"],
+                [b.column(0), b.column(2), pa.array([len(x) for x in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(bands, pa.list_(pa.int64()))],
+                names=["key", "row", "n", "d1", "d2", "bands"],
             )
 
     return plain.mapInArrow(run, SIGNED)
@@ -285,6 +290,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
 
     Two sets are linked if 100 * size of the intersection >= percent * size of the union.
     """
+    rows = _members(docs, words, percent, key, text, unit)
+    return rows.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("key").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def _members(docs: DataFrame, words: int, percent: int, key: str, text: str, unit: int) -> DataFrame:
+    """(key, row, n, component) of all rows."""
     signed = written(signatures(docs, words, key, text), "signatures")
     sets = ["n", "d1", "d2"]
     classes = signed.groupBy(*sets).agg(F.min("key").alias("class"))
@@ -299,7 +310,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     weight = nodes.groupBy("root").agg(F.sum("w").alias("total"))
     small = nodes.join(weight.where(F.col("total") <= unit), "root").select("key", F.concat_ws(":", F.lit("c"), "root").alias("unit"), *_alone())
     large = nodes.join(weight.where(F.col("total") > unit), "root", "left_semi").select("key", "w")
-    texts = docs.select(F.col(key).cast("long").alias("key"), text_or_empty(text).alias("text")).hint("merge")
+    texts = docs.select(F.col(quoted(key)).cast("long").alias("key"), text_or_empty(text).alias("text")).hint("merge")
     found = [written(_linked(small.join(texts, "key"), words, percent), "links")]
     if not large.isEmpty():
         stars_ = written(stars.join(large, "key"), "large")
@@ -313,9 +324,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     roots = components(every)
     forget(stars, nodes, *found)
     of_class = class_.select(*sets, "class").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select(*sets, F.coalesce("root", "class").alias("root"))
-    rows = signed.select("key", *sets).join(of_class, sets)
-    component = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("key"))
-    return rows.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+    rows = signed.select("key", "row", *sets).join(of_class, sets)
+    return rows.select("key", "row", "n", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("key")).alias("component"))
 
 
 def _alone() -> list[Column]:
@@ -354,9 +364,16 @@ def _blocks(stars: DataFrame, joined: DataFrame, unit: int) -> DataFrame:
     return rows.select("key", F.concat_ws(":", F.lit("b"), "head", low, high).alias("unit"), side.cast("long").alias("side"), "known")
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """The rows of docs that stay: of each component the one of least key, once
-    if it is repeated; rows without words and rows without a key, less their repetitions."""
-    kept = near_duplicates(docs, key=key, text=text, **more).where("kept").select(F.col(key).alias("__kept")).distinct()
-    rows = docs.join(kept, F.col(key).eqNullSafe(F.col("__kept")), "left_semi")
-    return rows.dropDuplicates([key, text]).select(*own(docs.columns))
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, unit: int = UNIT) -> DataFrame:
+    """The rows of docs that stay: of each component one of least key; rows without words and rows without a key, less
+    their repetitions. Of several rows of that key in the component, and of repeated rows, one stays.
+
+    Rows are found again by their key and a hash of their text, so that a key's other texts don't keep a duplicate; texts
+    are sent once, as the join deals them as the repetitions want it.
+    """
+    found = _members(docs, words, percent, key, text, unit).where(F.col("key").eqNullSafe(F.col("component")))
+    alone = F.when((F.col("n") == 0) | F.col("key").isNull(), F.col("row"))
+    name, row = free(docs.columns, "key", "row")
+    kept = found.groupBy("key", alone.alias("alone")).agg(F.min("row").alias(row)).select(F.coalesce("key", F.lit(0)).alias(name), row)
+    rows = docs.select("*", F.coalesce(F.col(quoted(key)).cast("long"), F.lit(0).cast("long")).alias(name), _row(key, text).alias(row))
+    return rows.join(kept, [name, row], "left_semi").dropDuplicates([name, row]).select(*own(docs.columns))

@@ -324,3 +324,15 @@ def test_shards_edge(edge, empty, spark):
     same = spark.createDataFrame([(k, "same text") for k in range(40)], "doc_id long, text string")
     counts = {r.shard: r.n for r in sharding.assign(same, 4, ["size", "text_crc32"]).groupBy("shard").agg(F.count("*").alias("n")).collect()}
     assert counts == {0: 10, 1: 10, 2: 10, 3: 10}
+
+
+def test_duplicates_of_repeated_keys_and_clashing_names(spark):
+    """A key's other text doesn't keep its duplicate; columns of any names, keys with dots."""
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen"
+    rows = [(3, a), (5, a), (5, b), (6, a + "  "), (7, b), (8, None), (8, None), (8, ""), (None, a), (None, "no key here at all but words")]
+    docs = spark.createDataFrame(rows, "`my.id` long, text string").withColumn("__kept", F.lit(77)).withColumn("KEY", F.lit(1)).withColumn("row", F.lit(2))
+    out = minhash.deduplicated(docs, key="my.id")
+    assert out.columns == docs.columns
+    assert sorted(((r["my.id"], r.text) for r in out.collect()), key=repr) == sorted([(3, a), (5, b), (8, None), (8, ""), (None, "no key here at all but words")], key=repr)
+    assert {(r["__kept"], r["KEY"], r["row"]) for r in out.collect()} == {(77, 1, 2)}
+    assert minhash.near_duplicates(docs, key="my.id").count() == len(rows)
