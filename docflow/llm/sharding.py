@@ -1,11 +1,14 @@
 """Shards as leaves of a k-d tree over document metadata, split at distributed weighted medians.
 
 A node that shall become n shards is split along its widest dimension (its extent over that of all rows) into
-parts for n // 2 and n - n // 2 shards, at the place where the bytes so far come nearest to that share. The
-place is found without sorting or moving rows: sums of bytes by bin, then by finer bins within the one bin
-that holds it, until that bin holds a single row. The driver sees at most BINS sums for each node of a level.
+parts for n // 2 and n - n // 2 shards, at the place where the bytes so far come nearest to that share. All nodes of a level
+are split at once: a narrow table is sorted in ranges by node and by the node's dimension, running sums of bytes within
+ranges and the sums of ranges before give the bytes before each row, and a row's place against its node's cut is its new
+node. The node is a column, so work and plans don't grow with the tree; what is broadcast is a row for each node of the
+level, or for each range and node. The driver sees none of these.
 
-The number of shards is given, or follows from target bytes: as many as it takes for shards of that many on average.
+The number of shards is given, or follows from target bytes: as many as it takes for shards of that many on average. A part
+never gets more shards than it has rows: shards that a single large row would span go back to the rest of its node.
 
 Each dimension is one integer per row: its scaled coordinate, then bits of the text's hash, then bits of the
 key's hash. The coordinate of a string is its rank among the distinct ones. So rows that are equal in a coordinate still have an order, and rows of equal texts stand side by
@@ -13,15 +16,16 @@ side in all orders. A split goes beside their group if that is at most as large
 it (a group can be larger than a shard).
 
 Defined results: null texts have 16 bytes, null metadata the lowest coordinate. Repeated rows are placed one by
-one. An empty table gives no rows. Shards may be empty if there are fewer rows than shards.
+one. An empty table gives no rows. Shards are empty only if there are fewer rows than shards.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from docflow.llm.common import forget, quoted, text_or_empty, written
 
@@ -29,29 +33,10 @@ OVERHEAD = 16
 COORDINATE_BITS, TIE_BITS = 24, 38
 #: Keys of one coordinate and one hash of the text.
 GROUP = 1 << (TIE_BITS // 2)
-BINS = 4096
 #: Rows of a slot bucket, on average; the numbering of a shard is put together from its buckets.
 BUCKET_ROWS = 20_000
 
 
-@dataclass
-class Node:
-    """A node for shards first to first + shards - 1; a leaf if dimension is None."""
-
-    first: int
-    shards: int
-    dimension: int | None = None
-    threshold: int = 0
-    low: Node | None = None
-    high: Node | None = None
-
-    def number(self, keys: list[str]) -> Column:
-        """The first shard of the leaf that a row is in."""
-        if self.dimension is None:
-            return F.lit(self.first)
-        return F.when(F.col(keys[self.dimension]) <= F.lit(self.threshold), self.low.number(keys)).otherwise(self.high.number(keys))
-
-
 def _ranks(rows: DataFrame, name: str) -> DataFrame:
     """(value, rank) of the distinct strings of a column, in byte order: places in sorted ranges, by ranges' counts.
 
@@ -75,9 +60,9 @@ def metadata(docs: DataFrame, dimensions: list[str], key: str = "doc_id", text:
     body, kinds = text_or_empty(text), dict(docs.dtypes)
     made = {"size": (F.octet_length(body) + OVERHEAD).cast("long"), "text_crc32": F.crc32(body)}
     rows = docs.select(
-        F.col(key).alias("key"), *[c.alias(n) for n, c in made.items()],
+        F.col(quoted(key)).alias("key"), *[c.alias(n) for n, c in made.items()],
         *[(made[d].cast("double") if d in made else F.coalesce(F.col(quoted(d)), F.lit("")) if kinds[d] == "string" else F.coalesce(F.col(quoted(d)).cast("double"), F.lit(0.0))).alias(f"__c{k}") for k, d in enumerate(dimensions)],
-        F.xxhash64(body).alias("__text"), F.xxhash64(F.col(key), F.lit(7)).alias("__row"),
+        F.xxhash64(body).alias("__text"), F.xxhash64(F.col(quoted(key)), F.lit(7)).alias("__row"),
     )
     rows = first = written(rows, "metadata")
     for k, d in enumerate(dimensions):
@@ -101,61 +86,71 @@ def metadata(docs: DataFrame, dimensions: list[str], key: str = "doc_id", text:
     return keyed, names
 
 
-def _width(low: int, high: int) -> int:
-    """Width of a bin; whole groups as long as there are several."""
-    width = (high - low) // BINS + 1
-    return -(-width // GROUP) * GROUP if high - low >= GROUP else width
-
-
-def _split(rows: DataFrame, tree: Node, nodes: list[Node], keys: list[str], whole: list[float], largest: int) -> None:
-    """Splits all nodes of a level; one job for their extents and one for each refinement of the bins."""
-    placed = rows.withColumn("node", tree.number(keys))
-    some = placed.where(F.col("node").isin([n.first for n in nodes]))
-    found = some.groupBy("node").agg(
-        F.sum("size").alias("size"), *[f(k).alias(n + k) for k in keys for n, f in (("a", F.min), ("b", F.max))]
-    ).collect()
-    stats = {r.node: r for r in found}
-    spans: dict[int, list] = {}
-    for n in nodes:
-        n.low, n.high = Node(n.first, n.shards // 2), Node(n.first + n.shards // 2, n.shards - n.shards // 2)
-        if n.first not in stats:
-            n.dimension, n.threshold = 0, 0
-            continue
-        r = stats[n.first]
-        extent = [(r["b" + k] - r["a" + k]) / w for k, w in zip(keys, whole, strict=True)]
-        n.dimension = extent.index(max(extent))
-        k = keys[n.dimension]
-        spans[n.first] = [n, r["a" + k] // GROUP * GROUP, r["b" + k] // GROUP * GROUP + GROUP - 1, r["size"] * (n.shards // 2) / n.shards, 0]
-    while spans:
-        at = F.lit(None).cast("long")
-        for first, (n, low, high, _, _) in spans.items():
-            k = F.col(keys[n.dimension])
-            width = _width(low, high)
-            at = F.when((F.col("node") == first) & k.between(low, high), F.expr(f"({keys[n.dimension]} - {low}L) div {width}L")).otherwise(at)
-        sums = (
-            some.where(F.col("node").isin(list(spans)))
-            .select("node", "size", at.alias("bin"))
-            .where("bin is not null")
-            .groupBy("node", "bin")
-            .agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-            .collect()
-        )
-        by: dict[int, list] = {}
-        for r in sums:
-            by.setdefault(r.node, []).append((r.bin, r["size"], r.n))
-        for first in list(spans):
-            n, low, high, target, before = spans[first]
-            width = _width(low, high)
-            for bin_, size, count in sorted(by[first]):
-                if before + size >= target:
-                    break
-                before += size
-            start, end = low + bin_ * width, min(high, low + (bin_ + 1) * width - 1)
-            if count == 1 or start == end or (end - start + 1 == GROUP and size <= largest):
-                n.threshold = end if target - before > before + size - target else start - 1
-                del spans[first]
-            else:
-                spans[first] = [n, start, end, target, before]
+def _with_sums(rows: DataFrame) -> DataFrame:
+    """Rows sorted in ranges of (first, v), with the range and the bytes before each row in its node and range."""
+    schema = StructType([*rows.schema.fields, StructField("part", IntegerType()), StructField("before", LongType())])
+    first, size = rows.columns.index("first"), rows.columns.index("size")
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, node, held = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            nodes, sizes = b.column(first).to_numpy(), b.column(size).to_numpy()
+            until = np.cumsum(sizes)
+            start = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
+            base = (until - sizes)[start]
+            base[0] -= held if nodes[0] == node else 0
+            before = until - sizes - np.repeat(base, np.diff(np.append(start, len(nodes))))
+            node, held = nodes[-1], int(before[-1] + sizes[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(nodes), part, np.int32)), pa.array(before)], names=schema.names)
+
+    return rows.repartitionByRange("first", "v").sortWithinPartitions("first", "v").mapInArrow(run, schema)
+
+
+def _level(rows: DataFrame, keys: list[str], whole: list[float], largest: int) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """One level: (rows that are done, rows of the parts or None, tables that these are read from).
+
+    rows: key, size, text_crc32, keys, first (shard of the node), shards (of the node).
+    """
+    ends = [f(k).alias(n + k) for k in keys for n, f in (("a", F.min), ("b", F.max))]
+    extents = F.array(*[(F.col("b" + k) - F.col("a" + k)) / F.lit(w) for k, w in zip(keys, whole, strict=True)])
+    found = rows.where("shards > 1").groupBy("first", "shards").agg(F.sum("size").alias("total"), F.count("*").alias("n"), *ends).where("n > 1")
+    nodes = written(found.select("first", "total", "n", (F.array_position(extents, F.array_max(extents)) - 1).alias("d"), (F.col("total") * F.floor(F.col("shards") / 2) / F.col("shards")).alias("target")), "nodes")
+    if nodes.isEmpty():
+        return rows, None, [nodes]
+    known = F.broadcast(nodes)
+    done = rows.join(known.select("first"), "first", "left_anti")
+    v = F.element_at(F.array(*keys), (F.col("d") + 1).cast("int"))
+    open_ = rows.join(known, "first").withColumn("v", v).select(*rows.columns, "v", "n", "total", "target")
+    ranges = written(_with_sums(open_), "ranges")
+    sums = ranges.groupBy("first", "part").agg(F.sum("size").alias("bytes"))
+    earlier = Window.partitionBy("first").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = written(sums.select("first", "part", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("shift")), "shifts")
+    placed = ranges.join(F.broadcast(shift), ["first", "part"]).withColumn("before", F.col("before") + F.col("shift")).drop("shift")
+
+    group, after = F.shiftright("v", TIE_BITS // 2), F.col("before") + F.col("size")
+    median = placed.where((F.col("before") < F.col("target")) & (after >= F.col("target")))
+    median = written(median.select("first", group.alias("group"), F.col("before").alias("row_start"), F.col("size").alias("row_size"), "n", "total", "target"), "medians")
+    same = placed.select("first", group.alias("group"), "before", "size").join(F.broadcast(median.select("first", "group")), ["first", "group"])
+    same = same.groupBy("first").agg(F.min("before").alias("group_start"), F.sum("size").alias("group_size"), F.count("*").alias("members"))
+    by_group = (F.col("group_size") <= largest) & (F.col("members") < F.col("n"))
+    unit = median.join(same, "first").select("first", "total", "target", F.when(by_group, F.col("group_start")).otherwise(F.col("row_start")).alias("start"), F.when(by_group, F.col("group_size")).otherwise(F.col("row_size")).alias("size"))
+    end = F.col("start") + F.col("size")
+    low = (F.col("target") - F.col("start") > end - F.col("target")) & (end < F.col("total")) | (F.col("start") == 0)
+    cuts = written(unit.select("first", F.when(low, end).otherwise(F.col("start")).alias("cut")), "cuts")
+
+    sided = placed.join(F.broadcast(cuts), "first").withColumn("is_low", F.col("before") < F.col("cut"))
+    counts = sided.groupBy("first", "shards").agg(F.count_if("is_low").alias("lows"), F.count_if(~F.col("is_low")).alias("highs"))
+    half = counts.withColumn("low", F.least(F.floor(F.col("shards") / 2), "lows")).withColumn("high", F.least(F.col("shards") - F.col("low"), "highs"))
+    parts = written(half.select("first", F.least(F.col("shards") - F.col("high"), "lows").cast("int").alias("low"), F.col("high").cast("int").alias("high")), "parts")
+    split = sided.join(F.broadcast(parts), "first")
+    first = F.col("first") + F.when(F.col("is_low"), 0).otherwise(F.col("low"))
+    onward = split.select("key", "size", "text_crc32", *keys, first.cast("int").alias("first"), F.when(F.col("is_low"), F.col("low")).otherwise(F.col("high")).alias("shards"))
+    forget(median)
+    return done, onward, [nodes, ranges, shift, cuts, parts]
 
 
 def assign(docs: DataFrame, shards: int | None, dimensions: list[str], key: str = "doc_id", text: str = "text", target_bytes: int | None = None) -> DataFrame:
@@ -164,16 +159,20 @@ def assign(docs: DataFrame, shards: int | None, dimensions: list[str], key: str
     Without a number of shards, there are as many as it takes for target_bytes on average.
     """
     rows, keys = metadata(docs, dimensions, key, text)
+    total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("size").alias("largest"), *[(F.max(k) - F.min(k)).cast("double").alias(k) for k in keys]).first()
     if shards is None:
-        shards = max(1, -(-(rows.agg(F.sum("size").alias("n")).first().n or 0) // target_bytes))
-    total = rows.agg(F.count("*").alias("n"), F.max("size").alias("largest"), *[(F.max(k) - F.min(k)).cast("double").alias(k) for k in keys]).first()
-    tree = Node(0, shards)
-    level = [tree] if shards > 1 and total.n else []
-    while level:
-        _split(rows, tree, level, keys, [max(1.0, total[k]) for k in keys], total.largest)
-        level = [c for n in level for c in (n.low, n.high) if c.shards > 1]
+        shards = max(1, -(-(total.bytes or 0) // target_bytes))
+    whole = [max(1.0, total[k] or 0.0) for k in keys]
+    ended, level = [], rows.select("key", "size", "text_crc32", *keys, F.lit(0).alias("first"), F.lit(shards).alias("shards"))
+    while level is not None:
+        done, level, _ = _level(level, keys, whole, total.largest or 0)
+        ended.append(done.select("key", "size", "text_crc32", F.col("first").alias("shard")))
+    every = ended[0]
+    for more in ended[1:]:
+        every = every.unionByName(more)
+    every = written(every, "shards")
     buckets = max(8, -(-total.n // (shards * BUCKET_ROWS)))
-    placed = rows.select("key", "size", "text_crc32", tree.number(keys).alias("shard"), F.pmod(F.xxhash64("key", "text_crc32"), F.lit(buckets)).alias("bucket"))
+    placed = every.select("key", "size", "text_crc32", "shard", F.pmod(F.xxhash64("key", "text_crc32"), F.lit(buckets)).alias("bucket"))
     count = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     start = count.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))

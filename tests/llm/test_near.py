@@ -275,9 +275,8 @@ def test_shards(documents, texts):
 def plain_tree(rows: list[tuple], first: int, shards: int, whole: list[int], largest: int) -> dict:
     """Shards by sorting: rows are (row, size, keys). A cut goes where the bytes come nearest to the share, and not
     through rows of one coordinate and text of at most the largest row's bytes."""
-    if shards == 1 or not rows:
+    if shards == 1 or len(rows) < 2:
         return {r[0]: first for r in rows}
-    low = shards // 2
     extent = [(max(r[2][d] for r in rows) - min(r[2][d] for r in rows)) / w for d, w in enumerate(whole)]
     d = extent.index(max(extent))
     rows = sorted(rows, key=lambda r: r[2][d])
@@ -287,16 +286,19 @@ def plain_tree(rows: list[tuple], first: int, shards: int, whole: list[int], lar
             units[-1].append(r)
         else:
             units.append([r])
-    units = [x for u in units for x in ([u] if sum(r[1] for r in u) <= largest else [[r] for r in u])]
-    target, before, cut = sum(r[1] for r in rows) * low / shards, 0, 0
+    units = [x for u in units for x in ([u] if sum(r[1] for r in u) <= largest and len(u) < len(rows) else [[r] for r in u])]
+    target, before, cut = sum(r[1] for r in rows) * (shards // 2) / shards, 0, 0
     for k, u in enumerate(units):
         size = sum(r[1] for r in u)
         if before + size >= target:
-            cut = k + (target - before > before + size - target)
+            cut = min(max(1, k + (target - before > before + size - target)), len(units) - 1)
             break
         before += size
     left, right = ([r for u in part for r in u] for part in (units[:cut], units[cut:]))
-    return plain_tree(left, first, low, whole, largest) | plain_tree(right, first + low, shards - low, whole, largest)
+    low = min(shards // 2, len(left))
+    high = min(shards - low, len(right))
+    low = min(shards - high, len(left))
+    return plain_tree(left, first, low, whole, largest) | plain_tree(right, first + low, high, whole, largest)
 
 
 @pytest.mark.parametrize(("shards", "dimensions"), [(7, ["size", "lang", "text_crc32"]), (40, ["n_chars", "source"])])
@@ -317,6 +319,23 @@ def test_shards_by_whole_strings_and_target_bytes(spark):
     assert set(got.values()) == {0, 1, 2, 3} and [got[k] for k in range(400)] == sorted(got.values())
 
 
+def test_shards_of_large_rows_go_back(spark):
+    """Rows larger than a shard's share are alone, and all shards are used."""
+    docs = spark.range(60).selectExpr("id doc_id", "repeat('x', if(id < 3, 30000, 100 + cast(id as int))) text")
+    found = sharding.assign(docs, 12, ["size", "text_crc32"]).collect()
+    assert {r.shard for r in found} == set(range(12))
+    rows, keys = sharding.metadata(docs, ["size", "text_crc32"])
+    plain = [(r.key, r["size"], [r[k] for k in keys]) for r in rows.collect()]
+    whole = [max(1, max(r[2][d] for r in plain) - min(r[2][d] for r in plain)) for d in range(len(keys))]
+    assert {r.doc_id: r.shard for r in found} == plain_tree(plain, 0, 12, whole, max(r[1] for r in plain))
+
+
+def test_more_than_a_thousand_shards(spark):
+    docs = spark.range(6000).selectExpr("id as `my.id`", "repeat('x', 80 + cast(id * 7 % 13 as int)) text", "id * 31 % 6000 place")
+    counts = [r.n for r in sharding.assign(docs, None, ["place", "size"], key="my.id", target_bytes=500).groupBy("shard").agg(F.count("*").alias("n")).collect()]
+    assert len(counts) > 1100 and sum(counts) == 6000 and max(counts) <= 7
+
+
 def test_shards_edge(edge, empty, spark):
     rows = sharding.assign(edge, 5, ["size", "lang", "n_chars"]).collect()
     assert len(rows) == edge.count() and {r["size"] for r in rows if r.doc_id in (2, 3)} == {16}
