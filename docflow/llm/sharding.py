@@ -110,19 +110,19 @@ def _with_sums(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange("first", "v").sortWithinPartitions("first", "v").mapInArrow(run, schema)
 
 
-def _level(rows: DataFrame, keys: list[str], whole: list[float], largest: int) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
-    """One level: (rows that are done, rows of the parts or None, tables that these are read from).
+def _level(rows: DataFrame, keys: list[str], whole: list[float], largest: int) -> DataFrame | None:
+    """The rows of split nodes' parts, or None if no node is left to split.
 
-    rows: key, size, text_crc32, keys, first (shard of the node), shards (of the node).
+    rows: key, size, text_crc32, keys, first (shard of the node), shards (of the node, at most its rows).
     """
     ends = [f(k).alias(n + k) for k in keys for n, f in (("a", F.min), ("b", F.max))]
     extents = F.array(*[(F.col("b" + k) - F.col("a" + k)) / F.lit(w) for k, w in zip(keys, whole, strict=True)])
-    found = rows.where("shards > 1").groupBy("first", "shards").agg(F.sum("size").alias("total"), F.count("*").alias("n"), *ends).where("n > 1")
+    found = rows.where("shards > 1").groupBy("first", "shards").agg(F.sum("size").alias("total"), F.count("*").alias("n"), *ends)
     nodes = written(found.select("first", "total", "n", (F.array_position(extents, F.array_max(extents)) - 1).alias("d"), (F.col("total") * F.floor(F.col("shards") / 2) / F.col("shards")).alias("target")), "nodes")
     if nodes.isEmpty():
-        return rows, None, [nodes]
+        forget(nodes)
+        return None
     known = F.broadcast(nodes)
-    done = rows.join(known.select("first"), "first", "left_anti")
     v = F.element_at(F.array(*keys), (F.col("d") + 1).cast("int"))
     open_ = rows.join(known, "first").withColumn("v", v).select(*rows.columns, "v", "n", "total", "target")
     ranges = written(_with_sums(open_), "ranges")
@@ -133,7 +133,7 @@ def _level(rows: DataFrame, keys: list[str], whole: list[float], largest: int) -
 
     group, after = F.shiftright("v", TIE_BITS // 2), F.col("before") + F.col("size")
     median = placed.where((F.col("before") < F.col("target")) & (after >= F.col("target")))
-    median = written(median.select("first", group.alias("group"), F.col("before").alias("row_start"), F.col("size").alias("row_size"), "n", "total", "target"), "medians")
+    median = median.select("first", group.alias("group"), F.col("before").alias("row_start"), F.col("size").alias("row_size"), "n", "total", "target")
     same = placed.select("first", group.alias("group"), "before", "size").join(F.broadcast(median.select("first", "group")), ["first", "group"])
     same = same.groupBy("first").agg(F.min("before").alias("group_start"), F.sum("size").alias("group_size"), F.count("*").alias("members"))
     by_group = (F.col("group_size") <= largest) & (F.col("members") < F.col("n"))
@@ -148,9 +148,10 @@ def _level(rows: DataFrame, keys: list[str], whole: list[float], largest: int) -
     parts = written(half.select("first", F.least(F.col("shards") - F.col("high"), "lows").cast("int").alias("low"), F.col("high").cast("int").alias("high")), "parts")
     split = sided.join(F.broadcast(parts), "first")
     first = F.col("first") + F.when(F.col("is_low"), 0).otherwise(F.col("low"))
-    onward = split.select("key", "size", "text_crc32", *keys, first.cast("int").alias("first"), F.when(F.col("is_low"), F.col("low")).otherwise(F.col("high")).alias("shards"))
-    forget(median)
-    return done, onward, [nodes, ranges, shift, cuts, parts]
+    parted = split.select("key", "size", "text_crc32", *keys, first.cast("int").alias("first"), F.when(F.col("is_low"), F.col("low")).otherwise(F.col("high")).alias("shards"))
+    onward = written(parted, "level")
+    forget(nodes, ranges, shift, cuts, parts)
+    return onward
 
 
 def assign(docs: DataFrame, shards: int | None, dimensions: list[str], key: str = "doc_id", text: str = "text", target_bytes: int | None = None) -> DataFrame:
@@ -163,14 +164,14 @@ def assign(docs: DataFrame, shards: int | None, dimensions: list[str], key: str
     if shards is None:
         shards = max(1, -(-(total.bytes or 0) // target_bytes))
     whole = [max(1.0, total[k] or 0.0) for k in keys]
-    ended, level = [], rows.select("key", "size", "text_crc32", *keys, F.lit(0).alias("first"), F.lit(shards).alias("shards"))
+    columns = [F.lit(0).alias("first"), F.lit(max(1, min(shards, total.n))).alias("shards")]
+    ended, level = [], rows.select("key", "size", "text_crc32", *keys, *columns)
     while level is not None:
-        done, level, _ = _level(level, keys, whole, total.largest or 0)
-        ended.append(done.select("key", "size", "text_crc32", F.col("first").alias("shard")))
+        ended.append(level.where("shards = 1").select("key", "size", "text_crc32", F.col("first").alias("shard")))
+        level = _level(level, keys, whole, total.largest or 0)
     every = ended[0]
     for more in ended[1:]:
         every = every.unionByName(more)
-    every = written(every, "shards")
     buckets = max(8, -(-total.n // (shards * BUCKET_ROWS)))
     placed = every.select("key", "size", "text_crc32", "shard", F.pmod(F.xxhash64("key", "text_crc32"), F.lit(buckets)).alias("bucket"))
     count = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
