@@ -113,13 +113,22 @@ def slices(batches, text: int, rows: int = 1024, limit: int = 8 << 20):
 
 class WordCache:
     """Values by word, about `most` of them. A generation takes up all words asked for; when it has half of that, a new
-    one starts and the one before goes, so that words in use stay. Values must not be None."""
+    one starts and the one before goes, so that words in use stay. Values must not be None.
+
+    A worker that goes on to another operator's cache empties the one before, so that the stages of a pipeline, whose
+    workers are the same, don't add up their caches."""
+
+    active: WordCache | None = None
 
     def __init__(self, most: int):
         self.half, self.new, self.old = max(1, most // 2), {}, {}
 
     def known(self, words: set, make: Callable[[list], Iterable]) -> dict:
         """A table that has the values of these words; those of new ones come from `make`."""
+        if WordCache.active is not self:
+            if WordCache.active is not None:
+                WordCache.active.new, WordCache.active.old = {}, {}
+            WordCache.active = self
         fresh = words - self.new.keys()
         if fresh and self.new and len(self.new) + len(fresh) > self.half:
             self.old, self.new, fresh = self.new, {}, words
