@@ -150,7 +150,8 @@ def segments(pixels: DataFrame, keys: list[str], least: Column, threshold: int =
     bands = lines.withColumn("line", F.col("offset")).withColumn("offset", F.explode(F.sequence(F.col("offset") - BAND, F.col("offset") + BAND)))
     turned = pixels.withColumn("least", least).select(*keys, "least", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.explode(F.sequence(F.col("angle") - spread, F.col("angle") + spread)).alias("angle"))
     turned = turned.withColumn("angle", F.pmod("angle", F.lit(180))).withColumn("offset", offset(F.col("x"), F.col("y"), F.col("angle")))
-    on = turned.join(bands, [*keys, "angle", "offset"])
+    # A sorted join: the size of packed pixels says little about that of their votes, which mustn't be broadcast.
+    on = turned.join(bands.hint("merge"), [*keys, "angle", "offset"])
     line = [*keys, "angle", "line"]
     places = on.select(*line, "votes", "least", along(F.col("x"), F.col("y"), F.col("angle")).alias("t")).distinct()
     w = Window.partitionBy(*line).orderBy("t")
