@@ -6,6 +6,10 @@ least so many pairs as `least_shared` says. If each side keeps only its rarest p
 them is still shared. Candidates therefore come from an equi-join on (pair, its number within the text), and only these
 are compared, by bit-parallel steps over words of 61 bits. Nothing is lost, and frequent pairs are seldom keys.
 
+Short texts keep nearly all their pairs, so the join meets many that are not alike. It therefore drops those that have too
+few letters in common, whatever their order: a common subsequence is no longer. Letters are counted in bags of bits, so this
+is a few bitwise steps a pair, before anything is sent on.
+
 Where a threshold is so low, or a text so short, that no pair need be shared, keys are single characters: texts that have
 any similarity share one.
 """
@@ -14,13 +18,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from docflow.sources.work import written
+from docflow.sources.work import forget, written
 
 WORD = 61
 FULL = (1 << WORD) - 1
+#: A bag has BAGS words of bits; characters go to its cells by their code, and a cell counts up to CELL of them.
+BAGS, CELL = 2, 4
+#: Distinct readings that a task compares.
+TEXTS = 2000
 
 
 def characters(text: Column) -> Column:
@@ -32,6 +40,24 @@ def allowed(size: Column, other: Column, threshold: int) -> Column:
     return 200 * F.least(size, other) >= threshold * (size + other)
 
 
+def bags(chars: Column) -> list[Column]:
+    """The characters whatever their order: a cell has as many bits as characters fall to it, CELL at most."""
+    cells = 64 // CELL
+    codes = F.transform(chars, lambda c: F.pmod(F.ascii(c), F.lit(BAGS * cells)))
+    filled = lambda cell, at: F.call_function("shiftleft", _bit(F.least(F.size(F.filter(codes, lambda x: x == cell)), F.lit(CELL))) - 1, at * CELL)
+    word = lambda first: F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda k: filled(k + first, k))
+    return [F.aggregate(word(w * cells), F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b)).alias(f"bag{w}") for w in range(BAGS)]
+
+
+def common_letters(a: str, m: Column, b: str, n: Column) -> Column:
+    """At least the number of characters that two texts of these sizes have in common, from the bags in structs a and b. Where
+    both have more than a cell counts, these may be common too: no more than the fewer of either text's."""
+    held = lambda *x: sum((F.bit_count(y) for y in x[1:]), F.bit_count(x[0]))
+    words = [(F.col(f"{a}.bag{k}"), F.col(f"{b}.bag{k}")) for k in range(BAGS)]
+    over = F.least(m - held(*[x for x, _ in words]), n - held(*[y for _, y in words]))
+    return held(*[x.bitwiseAND(y) for x, y in words]) + over
+
+
 def least_shared(size, threshold: int, up=F.ceil, least=F.least):
     """Pairs of letters that a text of this size shares with any text that is similar enough.
 
@@ -103,17 +129,19 @@ def common_subsequence(chars: Column, size: Column, masks: Column) -> Column:
     return words * WORD - ones
 
 
-def _rarest(keyed: DataFrame, name: str, often: DataFrame, shared: Column) -> DataFrame:
-    """(name, size, gram, nth) of the rarest keys of each text, all but `shared` less one; so many that similar texts share
-    one of these."""
+def _rarest(keyed: DataFrame, name: str, often: DataFrame, shared: Column, tasks: int | None) -> DataFrame:
+    """(name, size, bag, gram, nth) of the rarest keys of each text, all but `shared` less one; so many that similar texts
+    share one of these."""
     counted = keyed.join(often, ["gram", "nth"], "left").select(name, "size", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "nth").alias("k"))
-    ranked = counted.groupBy(name, "size").agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    dealt = counted.repartition(tasks, name) if tasks else counted
+    ranked = dealt.groupBy(name, "size").agg(F.sort_array(F.collect_list("k")).alias("ks"))
     kept = F.slice("ks", F.lit(1), F.size("ks") - F.greatest(shared, F.lit(1)) + 1)
-    return ranked.where(F.size("ks") >= shared).select(name, "size", F.explode(kept).alias("k")).select(name, "size", "k.gram", "k.nth")
+    bagged = ranked.where(F.size("ks") >= shared).select(name, "size", F.struct(*bags(characters(F.col(name)))).alias("bag"), kept.alias("kept"))
+    return bagged.select(name, "size", "bag", F.explode("kept").alias("k")).select(name, "size", "bag", "k.gram", "k.nth")
 
 
-def _sharing(texts: DataFrame, terms: DataFrame, pairs: bool, threshold: int) -> DataFrame:
-    """(text, term) of those that share a rare key and whose sizes may reach the threshold."""
+def _sharing(texts: DataFrame, terms: DataFrame, pairs: bool, threshold: int, tasks: int | None) -> DataFrame:
+    """(text, term) of those that share a rare key and whose sizes and letters may reach the threshold."""
 
     def keyed(rows: DataFrame, name: str) -> DataFrame:
         chars = characters(F.col(name))
@@ -123,23 +151,26 @@ def _sharing(texts: DataFrame, terms: DataFrame, pairs: bool, threshold: int) ->
     shared = (least_shared(size, threshold) if pairs else F.ceil(size * F.lit(threshold / (200 - threshold)) - 1e-9)).cast("int")
     own = keyed(terms, "term")
     often = own.groupBy("gram", "nth").agg(F.count("*").alias("n"))
-    a = _rarest(keyed(texts, "text"), "text", often, shared).withColumnRenamed("size", "m")
-    b = _rarest(own, "term", often, shared).withColumnRenamed("size", "n")
-    return a.join(b, ["gram", "nth"]).where(allowed(F.col("m"), F.col("n"), threshold)).select("text", "term")
+    a = _rarest(keyed(texts, "text"), "text", often, shared, tasks).withColumnsRenamed({"size": "m", "bag": "a"})
+    b = _rarest(own, "term", often, shared, tasks).withColumnsRenamed({"size": "n", "bag": "b"})
+    m, n = F.col("m"), F.col("n")
+    return a.join(b, ["gram", "nth"]).where(allowed(m, n, threshold) & (200 * common_letters("a", m, "b", n) >= threshold * (m + n))).select("text", "term")
 
 
-def candidates(texts: DataFrame, terms: DataFrame, threshold: int) -> DataFrame:
-    """(text, term) of all that may reach the threshold, each once. Both sides are distinct and not empty."""
+def candidates(texts: DataFrame, terms: DataFrame, threshold: int, tasks: int | None = None) -> DataFrame:
+    """(text, term) of all that may reach the threshold, each once. Both sides are distinct and not empty. tasks: how many
+    the texts are dealt to, whose size tells little about the work that they make."""
     short = longest_short(threshold)
     size = lambda name: F.size(characters(F.col(name)))
     found = []
     if short is not None:
-        found.append(_sharing(texts.where(size("text") > short), terms, True, threshold))
+        found.append(_sharing(texts.where(size("text") > short), terms, True, threshold, tasks))
     if short != 0:
         near = None if short is None else short * (200 - threshold) // threshold
         some = (texts, terms) if near is None else (texts.where(size("text") <= short), terms.where(size("term") <= near))
-        found.append(_sharing(*some, False, threshold))
-    return (found[0] if len(found) == 1 else found[0].unionByName(found[1])).distinct()
+        found.append(_sharing(*some, False, threshold, tasks))
+    every = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    return (every.repartition(tasks, "text") if tasks else every).distinct()
 
 
 def matched(readings: DataFrame, terms: DataFrame, threshold: int = 82, text: str = "text", term: str = "term") -> DataFrame:
@@ -150,10 +181,13 @@ def matched(readings: DataFrame, terms: DataFrame, threshold: int = 82, text: st
     """
     if not 0 < threshold <= 100:
         raise ValueError("the threshold must be above 0 and at most 100")
-    texts = readings.select(F.col(f"`{text}`").alias("text")).where("text <> ''").distinct()
+    seen = Observation()
+    texts = written(readings.select(F.col(f"`{text}`").alias("text")).where("text <> ''").distinct(), seen, n=F.count("*"))
+    tasks = max(1, -(-seen.get["n"] // TEXTS))
     ranked = terms.select(F.col(f"`{term}`").alias("term"), *(["rank"] if "rank" in terms.columns else [F.col(f"`{term}`").alias("rank")])).where("term <> ''")
-    ranked = ranked.groupBy("term").agg(F.min("rank").alias("rank"))
-    pairs = written(candidates(texts, ranked.select("term"), threshold))
+    ranked = written(ranked.groupBy("term").agg(F.min("rank").alias("rank")))
+    pairs = written(candidates(texts.repartition(tasks), ranked.select("term"), threshold, tasks))
+    forget(texts)
     chars, own = characters(F.col("term")), characters(F.col("text"))
     known = ranked.join(pairs.select("term"), "term", "left_semi").select("term", "rank", F.size(chars).alias("n"), masks(chars).alias("masks"))
     compared = pairs.join(known, "term").select("text", "term", "rank", (200.0 * common_subsequence(own, F.col("n"), F.col("masks")) / (F.size(own) + F.col("n"))).alias("score")).where(F.col("score") >= threshold)

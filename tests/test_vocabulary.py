@@ -1,6 +1,8 @@
 """The vocabulary index against all pairs."""
 
+import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +74,34 @@ def test_bounds():
     assert vocabulary.longest_short(82) == 2 and vocabulary.longest_short(40) is None
 
 
+def test_letters_in_common(spark):
+    """The bound from bags is never below the letters that texts have in common, and exact for short texts of a to z."""
+    r = random.Random(3)
+    texts = ["".join(r.choice(some) for _ in range(r.randrange(1, 80))) for some in ("ab", "abcdefgh", "aé日😀", "qrstuvwxyz") for _ in range(30)]
+    rows = spark.createDataFrame([(a, b) for a in texts for b in texts], "t string, u string")
+    rows = rows.select("t", "u", *[F.struct(*vocabulary.bags(vocabulary.characters(F.col(c)))).alias(n) for c, n in (("t", "a"), ("u", "b"))])
+    for x in rows.select("t", "u", vocabulary.common_letters("a", F.char_length("t"), "b", F.char_length("u")).alias("n")).collect():
+        common = sum(min(x.t.count(c), x.u.count(c)) for c in set(x.t))
+        assert x.n >= common
+        if x.t.isascii() and x.u.isascii() and all(y.count(c) <= 4 for y in (x.t, x.u) for c in y):
+            assert x.n == common
+
+
+def test_few_candidates_of_syllables(spark):
+    """Words of few syllables share most pairs of letters; those of other letters aren't candidates, and the readings are dealt."""
+    parts = ["lle", "rra", "mente", "gasci", "ezdo", "bonu", "jaco", "osue"]
+    words = ["".join(c) for c in itertools.product(parts, repeat=3)]
+    rows = spark.createDataFrame([(w,) for w in words], "text string")
+    terms = spark.createDataFrame([(w,) for w in words[::3]], "term string")
+    n = vocabulary.candidates(rows, terms, 82, 3).count()
+    some = [(a, b) for a in words for b in words[::3]]
+    alike = sum(200 * subsequence(a, b) >= 82 * (len(a) + len(b)) for a, b in some)
+    lettered = sum(200 * (Counter(a) & Counter(b)).total() >= 82 * (len(a) + len(b)) for a, b in some)
+    assert alike <= n <= 1.2 * lettered
+    plan = vocabulary.candidates(rows, terms, 82, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(text" in plan and "REPARTITION_BY_NUM" in plan
+
+
 def test_corrections_by_a_table_of_terms(spark):
     entries = spark.createDataFrame([("haemoglobyn", 0.5), ("haemoglobyn", 0.9), ("  ", 0.1), ("qqq", 0.2)], "text string, score double")
     terms = spark.createDataFrame([("haemoglobin", 1), ("globin", 0)], "term string, rank int")
