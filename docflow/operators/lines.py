@@ -140,6 +140,23 @@ def standing(cells: DataFrame, keys: list[str], least: int) -> DataFrame:
     return best.where(own).select(*keys, "angle", "offset", "rank.votes")
 
 
+def page_votes(edges: DataFrame, keys: list[str], spread: int, least: int) -> DataFrame:
+    """What votes() gives, of those with at least `least`, for pages whose pixels are in one row (edges): they are counted within
+    the row, so only cells with enough votes go on. Of sorted cells those have enough whose like stands `least` - 1 further."""
+    cell = lambda e, a: F.shiftleft(a.cast("long"), 32) + offset(e["x"].cast("long"), e["y"].cast("long"), a) + (1 << 31)
+    of_pixel = lambda e: F.transform(F.sequence(e["angle"] - spread, e["angle"] + spread), lambda a: cell(e, F.pmod(a, F.lit(180))))
+    cells = F.sort_array(F.flatten(F.transform("edges", of_pixel)))
+    enough = F.flatten(F.transform(F.array(cells), lambda all_: F.filter(all_, lambda c, i: c == F.try_element_at(all_, i + least))))
+    counted = edges.select(*keys, F.explode(enough).alias("c")).groupBy(*keys, "c").agg((F.count("*") + least - 1).alias("votes"))
+    return counted.select(*keys, F.shiftright("c", 32).cast("int").alias("angle"), (F.col("c").bitwiseAND(0xFFFFFFFF) - (1 << 31)).alias("offset"), "votes")
+
+
+def by_page(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a page with its lines. It is joined sorted: the size of packed pixels says little about that of their rows, which
+    mustn't be broadcast."""
+    return lines.groupBy(*keys).agg(F.collect_list(F.struct("angle", "offset", "votes")).alias("lines")).hint("merge")
+
+
 def segments(pixels: DataFrame, keys: list[str], least: Column, threshold: int = 150, gap: int = 10, spread: int = 8) -> DataFrame:
     """(keys, x1, y1, x2, y2, angle, offset, votes) of the segments of all lines with enough votes.
 
@@ -147,25 +164,34 @@ def segments(pixels: DataFrame, keys: list[str], least: Column, threshold: int =
     the line (BAND) belong to it; places up to `gap` apart belong together.
     """
     lines = standing(votes(pixels, keys, spread), keys, threshold)
-    bands = lines.withColumn("line", F.col("offset")).withColumn("offset", F.explode(F.sequence(F.col("offset") - BAND, F.col("offset") + BAND)))
-    turned = pixels.withColumn("least", least).select(*keys, "least", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.explode(F.sequence(F.col("angle") - spread, F.col("angle") + spread)).alias("angle"))
-    turned = turned.withColumn("angle", F.pmod("angle", F.lit(180))).withColumn("offset", offset(F.col("x"), F.col("y"), F.col("angle")))
-    # A sorted join: the size of packed pixels says little about that of their votes, which mustn't be broadcast.
-    on = turned.join(bands.hint("merge"), [*keys, "angle", "offset"])
+    lined = pixels.withColumn("least", least).select(*keys, "least", "x", "y", "angle").join(by_page(lines, keys), keys)
+    return islands(lined, keys, gap, spread)
+
+
+def islands(lined: DataFrame, keys: list[str], gap: int, spread: int) -> DataFrame:
+    """The segments of segments(), from pixels (keys, least, x, y, angle) with the lines of their page: each is held against
+    these, so that no pixel moves once for each of its votes."""
+    held = lined.select(*keys, "least", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("angle").alias("own"), F.explode("lines").alias("l"))
+    held = held.select(*keys, "least", "x", "y", "own", "l.angle", F.col("l.offset").alias("line"), "l.votes")
+    angle = F.col("angle")
+    turned = F.abs(F.pmod(F.col("own") - angle + 90, F.lit(180)) - 90) <= spread
+    on = held.where(turned & (F.abs(offset(F.col("x"), F.col("y"), angle) - F.col("line")) <= BAND))
     line = [*keys, "angle", "line"]
     places = on.select(*line, "votes", "least", along(F.col("x"), F.col("y"), F.col("angle")).alias("t")).distinct()
     w = Window.partitionBy(*line).orderBy("t")
     starts = places.withColumn("s", F.coalesce((F.col("t") - F.lag("t").over(w) > gap).cast("int"), F.lit(0)))
-    islands = starts.withColumn("s", F.sum("s").over(w)).groupBy(*line, "s").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.max("votes").alias("votes"), F.max("least").alias("least"))
+    found = starts.withColumn("s", F.sum("s").over(w)).groupBy(*line, "s").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.max("votes").alias("votes"), F.max("least").alias("least"))
     ends = [point(F.col("line"), F.col(t), F.col("angle")) for t in ("a", "b")]
     named = [e.cast("int").alias(n) for e, n in zip([*ends[0], *ends[1]], ("x1", "y1", "x2", "y2"), strict=True)]
-    return islands.where(F.col("b") - F.col("a") >= F.col("least")).select(*keys, *named, "angle", F.col("line").alias("offset"), "votes")
+    return found.where(F.col("b") - F.col("a") >= F.col("least")).select(*keys, *named, "angle", F.col("line").alias("offset"), "votes")
 
 
 def ruled(edges: DataFrame, keys: list[str], settings: Settings = DEFAULTS) -> DataFrame:
     """Segments of pages: keys, height, width, x1, y1, x2, y2. edges: keys, height, width, edges."""
     size = F.struct("height", "width").alias("size")
-    pixels = edges.select(*keys, size, F.explode("edges").alias("e")).select(*keys, "size", "e.*")
+    sized, own = edges.select(*keys, size, "edges"), [*keys, "size"]
     least = F.floor(F.least("size.height", "size.width") * F.lit(settings.structural_min_fraction))
-    found = segments(pixels, [*keys, "size"], least, settings.line_votes, settings.line_gap, settings.line_spread)
+    lines = standing(page_votes(sized, own, settings.line_spread, settings.line_votes), own, settings.line_votes)
+    lined = sized.join(by_page(lines, own), own).select(*own, least.alias("least"), "lines", F.explode("edges").alias("e"))
+    found = islands(lined.select(*own, "least", "lines", "e.*"), own, settings.line_gap, settings.line_spread)
     return found.select(*keys, "size.height", "size.width", "x1", "y1", "x2", "y2")

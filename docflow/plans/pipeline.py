@@ -28,9 +28,13 @@ def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def classified(items: DataFrame, cache: DataFrame, scorer: Callable = models.stand_in_scorer, settings: Settings = DEFAULTS) -> DataFrame:
-    """Items (keys, content) with their decision, and whether it was cached."""
+    """Items (keys, content) with their decision, and whether it was cached. Pages of equal bytes are decided once, under the
+    least of their keys."""
     hits, misses = classify.cache_split(items, cache, settings)
-    open_ = images.with_png(misses.select(*KEYS, "content"), cap=settings.classifier_max_side)
+    digest = F.coalesce(F.sha2("content", 256), F.lit("")).alias("__digest")
+    named = misses.select(*KEYS, "content", digest).groupBy("__digest").agg(F.min(F.struct(*KEYS)).alias("k"), F.any_value("content").alias("content"))
+    distinct = written(named.select("k.*", "content", "__digest"))
+    open_ = images.with_png(distinct.select(*KEYS, "content"), cap=settings.classifier_max_side).drop("content")
 
     def tabular(pages: DataFrame) -> DataFrame:
         """Whether pages have ruled lines. Edges are looked up twice, by votes and by lines, so they are kept meanwhile."""
@@ -47,8 +51,10 @@ def classified(items: DataFrame, cache: DataFrame, scorer: Callable = models.sta
         good = models.scored(found.where("error is null").select(*KEYS, "ink", "data"), KEYS, scorer)
         return good.unionByName(found.where("error is not null").select(*KEYS, "error"), allowMissingColumns=True)
 
-    decided = classify.cascade(open_, tabular, page, tiles, settings).select(*KEYS, "decision")
-    return hits.withColumn("cached", F.lit(True)).unionByName(misses.join(decided, KEYS).withColumn("cached", F.lit(False)))
+    found = classify.cascade(open_, tabular, page, tiles, settings).select(*KEYS, "decision")
+    decided = distinct.select(*KEYS, "__digest").join(found, KEYS).select("__digest", "decision")
+    fresh = misses.select("*", digest).join(decided, "__digest").select(*misses.columns, "decision")
+    return hits.withColumn("cached", F.lit(True)).unionByName(fresh.withColumn("cached", F.lit(False)))
 
 
 def printed_lines(readings: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

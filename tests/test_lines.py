@@ -1,5 +1,6 @@
 """Lines on pages against a plain accumulator in NumPy."""
 
+import random
 from collections import Counter
 
 import numpy as np
@@ -96,3 +97,16 @@ def test_tables_and_edges(spark):
     assert len(flat) >= 4 and len(tall) >= 1
     x, y, a = lines.edge_pixels(ruled)
     assert set(a[(y > 40) & (y < 70) & (abs(x - 150) < 5)].tolist()) <= {0, 179, 1}
+
+
+def test_votes_within_a_row(spark):
+    """Votes counted within a page's row are those of its exploded pixels, and no pixel moves once for each vote."""
+    r = random.Random(8)
+    pages = [(f"p{k}", [(r.randrange(40), r.randrange(30), r.choice([0, 3, 90, 179, r.randrange(180)])) for _ in range(n)]) for k, n in enumerate([0, 1, 40, 300, 900])]
+    edges = spark.createDataFrame(pages, f"page string, edges {lines.EDGE}")
+    pixels = edges.select("page", F.explode("edges").alias("e")).select("page", "e.*")
+    for least in (1, 2, 9):
+        want = sorted(tuple(x) for x in lines.votes(pixels, ["page"], 8).where(F.col("votes") >= least).collect())
+        assert sorted(tuple(x) for x in lines.page_votes(edges, ["page"], 8, least).collect()) == want
+    plan = lines.segments(pixels, ["page"], F.lit(5), 9)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and plan.split("Join")[1].count("Generate explode(sequence(") == 2  # votes and neighbours, on the lines' side only

@@ -331,6 +331,31 @@ def test_broken_run_goes_on_behind_its_last_part(spark, tmp_path, stage):
     assert sorted(r.file_name for r in rows) == sorted(f"{k}.png" for k in range(12)) and all(r.content == "read" for r in rows)
 
 
+def test_equal_pages_are_decided_once(spark, tmp_path):
+    """Models see each distinct page once, and every item gets its page's decision."""
+    seen = tmp_path / "seen"
+
+    def scorer():
+        def score(batch):
+            with seen.open("a") as f:
+                f.writelines(f"{images.png_size(x)}\n" for x in batch)
+            return [(0.5, 0.5) if images.png_size(x) == (48, 48) else (0.05, 0.95) for x in batch]
+
+        return score
+
+    page = np.full((48, 48), 255, np.uint8)
+    page[::4] = 0
+    other = images.encode_png(images.three_channels(255 - page))
+    kinds = [images.encode_png(images.three_channels(page)), other, b"\xff\xd8", None]
+    items = spark.createDataFrame([("f", f"{k}.png", kinds[k % 4]) for k in range(40)], "folder_name string, file_name string, content binary")
+    cache = spark.createDataFrame([], pipeline.DECISION_STORE)
+    got = {x.file_name: x.decision for x in pipeline.classified(items, cache, scorer).collect()}
+    assert len(got) == 40
+    for k in range(40):
+        assert got[f"{k}.png"].decision == ("tile_vote" if k % 4 < 2 else "error")
+    assert seen.read_text().splitlines().count("(48, 48)") == 2
+
+
 def test_files_of_one_name_are_one_item(spark, tmp_path):
     """Two files of one folder and name give one decision and one row, by the one that comes last in order."""
     page = lambda k: images.encode_png(np.full((30, 20, 3), 40 * k, np.uint8))
