@@ -5,11 +5,13 @@ import json
 import os
 import struct
 import threading
+import tracemalloc
 import zlib
 from contextlib import contextmanager
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,6 +209,18 @@ def test_ink_density(spark):
     assert images.ink_density(np.zeros((0, 5, 3), np.uint8)) == 0.0
 
 
+def test_ink_of_a_batch_without_copies():
+    """A batch's pixels aren't copied into Python objects; null and empty ones have no ink."""
+    rows = [bytes([k % 256, 255] * 2000) for k in range(3000)] + [None, b""]
+    data, size = pa.array(rows, pa.binary()), [len(x or b"") for x in rows]
+    tracemalloc.start()
+    got = images.ink_densities(data, pa.array(size, pa.int32()), pa.array([1] * len(rows), pa.int32()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < data.nbytes / 4
+    assert got.to_pylist() == [images.ink_density(np.frombuffer(x, np.uint8)) if x else 0.0 for x in rows]
+
+
 def test_encoding_for_requests():
     small, large = images.encode_png(picture(1)), images.encode_png(picture(1, 900, 100))
     text, mime = images.encoded(small, "x.PNG")
