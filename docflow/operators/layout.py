@@ -1,7 +1,8 @@
 """From recognised boxes to lines in reading order.
 
 Input rows: page, ins (order of arrival within the page), box, text, score. All steps group by page or by page
-and something else, so one exchange by page serves them all.
+and something else, so one exchange by page serves them all. As a task sorts its boxes several times, it is given a number
+of boxes that doesn't grow with the input (or one page, if that has more).
 """
 
 from __future__ import annotations
@@ -15,9 +16,21 @@ from docflow.functions.text import best_match, strip, unit_tag
 from docflow.operators import vocabulary
 
 
-def best_readings(boxes: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Of boxes that snap to one place the reading of highest score, the first of equals; in the place of the first to come."""
-    dealt = boxes.repartition("page").withColumn("place", box_key(F.col("box"), settings.box_grid))
+#: Boxes of a task.
+BOXES = 250_000
+
+
+def tasks_for(boxes: DataFrame, each: int = BOXES) -> int:
+    """How many tasks boxes are dealt to: by their number, as their packed size says little about what a task's sorts hold."""
+    return max(boxes.sparkSession.sparkContext.defaultParallelism, -(-boxes.count() // each))
+
+
+def best_readings(boxes: DataFrame, settings: Settings = DEFAULTS, tasks: int | None = None) -> DataFrame:
+    """Of boxes that snap to one place the reading of highest score, the first of equals; in the place of the first to come.
+
+    tasks: how many the pages are dealt to; if it isn't known, boxes are counted for it.
+    """
+    dealt = boxes.repartition(tasks or tasks_for(boxes), "page").withColumn("place", box_key(F.col("box"), settings.box_grid))
     best = F.max_by(F.struct("box", "text", "score"), F.struct(F.col("score"), -F.col("ins")))
     return dealt.groupBy("page", "place").agg(best.alias("best"), F.min("ins").alias("ins")).select("page", "ins", "best.box", "best.text", "best.score")
 

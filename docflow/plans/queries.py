@@ -205,6 +205,7 @@ ROWS_SQL = f"""a AS (SELECT page, col_id, list_reduce(list_transform(list_sort(l
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
+    rows = rows.repartition(layout.tasks_for(rows), "l_suppkey")
     w = Window.partitionBy("l_suppkey").orderBy(F.col("l_linenumber") % 2, *BOX_ORDER)
     x1 = (F.col("l_partkey") % 4) * 400 + (F.col("l_partkey") % 17) * 5
     y1 = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13) % 1500
@@ -213,9 +214,13 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("l_suppkey").alias("page"), F.row_number().over(w).cast("long").alias("ins"), box.alias("box"), F.lit("").alias("text"), score.alias("score"))
 
 
+def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.best_readings(boxes(spark, sf_dir), tasks=layout.tasks_for(table(spark, sf_dir, "lineitem")))
+
+
 @query(f"WITH {BOXES_SQL} SELECT page, ins, x1, y1, x2, y2, score FROM e")
 def ensemble_box_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = layout.best_readings(boxes(spark, sf_dir))
+    best = merged(spark, sf_dir)
     return best.select("page", "ins", *[F.col("box")[k].cast("long").alias(c) for k, c in enumerate(("x1", "y1", "x2", "y2"))], "score")
 
 
@@ -226,18 +231,18 @@ def box_center(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BOXES_SQL}, {COLUMNS_SQL} SELECT page, ins, x, col_id FROM c")
 def column_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.columns(layout.centred(layout.best_readings(boxes(spark, sf_dir)))).select("page", "ins", "x", "col_id")
+    return layout.columns(layout.centred(merged(spark, sf_dir))).select("page", "ins", "x", "col_id")
 
 
 @query(f"WITH {BOXES_SQL}, {COLUMNS_SQL}, {ROWS_SQL} SELECT page, ins, y, col_id, row_id FROM r")
 def row_clusters_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.rows(layout.columns(layout.centred(layout.best_readings(boxes(spark, sf_dir))))).select("page", "ins", "y", "col_id", "row_id")
+    return layout.rows(layout.columns(layout.centred(merged(spark, sf_dir)))).select("page", "ins", "y", "col_id", "row_id")
 
 
 @query(f"""WITH {BOXES_SQL}, {COLUMNS_SQL}, {ROWS_SQL} SELECT page, ins, col_id, row_id, score,
     row_number() OVER (PARTITION BY page ORDER BY col_id, row_id, x, y, ins)::INT AS line_no FROM r""")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.reading_order(layout.centred(layout.best_readings(boxes(spark, sf_dir)))).select("page", "ins", "col_id", "row_id", "score", "line_no")
+    return layout.reading_order(layout.centred(merged(spark, sf_dir))).select("page", "ins", "col_id", "row_id", "score", "line_no")
 
 
 # --- text -------------------------------------------------------------------------------------------------

@@ -63,6 +63,17 @@ def test_one_exchange_by_page(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_boxes_of_a_task_do_not_grow(spark, monkeypatch):
+    """Tasks follow the number of boxes, and Spark doesn't make fewer of them."""
+    monkeypatch.setattr(layout.tasks_for, "__defaults__", (500,))
+    for n in (2_000, 8_000):
+        boxes = spark.range(n).select(F.floor(F.col("id") / 20).alias("page"), "id", F.lit(0.5).alias("score"), F.lit("").alias("text"))
+        boxes = boxes.select("page", F.col("id").alias("ins"), F.array(*[(F.col("id") * k % 700).cast("int") for k in (3, 5, 7, 11)]).alias("box"), "text", "score")
+        found = layout.reading_order(layout.centred(layout.best_readings(boxes)))
+        most = found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert most < 1_500
+
+
 def test_finished_entries(spark):
     table = spark.createDataFrame(random_pages(3), "page long, ins long, box array<int>, text string, score double")
     ordered = layout.reading_order(layout.centred(layout.best_readings(table)))
